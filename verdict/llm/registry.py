@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.llm import byte_bpe, chat_format, exact_topk, mixing, token_counts
+from verdict.llm import byte_bpe, chat_format, exact_topk, mixing, token_counts, vector_dedup
 from verdict.llm.common import table
 
 
@@ -37,9 +37,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix)}
+    return {f.__name__: f for f in (op1_token_counts, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": exact_topk.SEARCH_SQL, "op7_chat_format": chat_format.FORMAT_SQL, "op8_source_mix": mixing.MIX_SQL}
+    return {"op6_exact_topk": exact_topk.SEARCH_SQL, "op7_chat_format": chat_format.FORMAT_SQL, "op8_source_mix": mixing.MIX_SQL, "op9_vector_dedup": vector_dedup.DEDUP_SQL}
