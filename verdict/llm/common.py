@@ -35,3 +35,23 @@ def fold(doc_id: Column, modulus: int, held: int) -> Column:
 def words(text: str | None) -> list[bytes]:
     """The words of a text with A-Z in lower case (bytes.lower and bytes.split know ASCII only)."""
     return (text or "").encode().lower().split()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: dict[int, int], *, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict[int, float]]:
+    """(label, text) of a bounded sample of labelled rows, and how many labelled rows each sampled one stands for.
+
+    learn: over labels, the rows that may be learnt from. per_class: the most ids taken of each class, by the order
+    of a hash of the id, so the same ids come each time. An id with several labels has the largest; labels other
+    than 0 and 1, null ids and null labels are left out. The ids are few, so they are broadcast.
+    """
+    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    taken = None
+    for value, most in sorted(per_class.items()):
+        own = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        taken = own if taken is None else taken.unionByName(own)
+    ids = taken.withColumnRenamed("doc_id", "_id")
+    sample = docs.select(F.col(id_column).alias("_doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    sample = sample.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("label", "text")
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    return sample, {v: max(1.0, counts.get(v, 0) / most) for v, most in per_class.items()}

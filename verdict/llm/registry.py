@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.llm import byte_bpe, chat_format, exact_topk, mixing, token_counts, vector_dedup
-from verdict.llm.common import table
+from verdict.llm import byte_bpe, chat_format, exact_topk, mixing, quality_mil, token_counts, toxicity_crf, vector_dedup
+from verdict.llm.common import fold, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5, 0)
+    field = toxicity_crf.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return toxicity_crf.score(docs, field).select("doc_id", held.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3, 1)
+    model = quality_mil.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return quality_mil.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "top_passage")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.digests(byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
@@ -42,7 +54,7 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
