@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.llm import byte_bpe, chat_format, exact_topk, mixing, quality_mil, token_counts, toxicity_crf, vector_dedup
+from verdict.llm import byte_bpe, chat_format, exact_topk, jaccard_join, mixing, quality_mil, token_counts, toxicity_crf, vector_dedup
 from verdict.llm.common import fold, table
 
 
@@ -17,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5, 0)
     field = toxicity_crf.fit(docs, table(spark, sf_dir, "labels"), ~held)
@@ -54,7 +58,7 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
