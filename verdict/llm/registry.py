@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.llm import byte_bpe, chat_format, exact_topk, jaccard_join, mixing, quality_mil, token_counts, toxicity_crf, vector_dedup
+from verdict.llm import byte_bpe, chat_format, exact_topk, jaccard_join, mixing, pitman_yor, quality_mil, token_counts, toxicity_crf, vector_dedup
 from verdict.llm.common import fold, table
 
 
@@ -57,8 +57,14 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5, 1)
+    scored = pitman_yor.score(docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
