@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,8 +64,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup, op10_lm_score)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup, op10_lm_score, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
