@@ -1,11 +1,15 @@
-"""The registered queries, by topic."""
+"""The registered queries, by topic, with their SQL."""
 
 from __future__ import annotations
 
+from verdict.plans import decision_queries, money_queries, temporal_queries
+
+_MODULES = (decision_queries, money_queries, temporal_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.SQL.items()}
