@@ -13,13 +13,14 @@ MISSING, STALE, UNCONFIRMED = "MISSING_OR_CONFLICTING_FACT", "STALE_EVIDENCE", "
 
 
 def fact(value: Column, confirmation: Column, stale: Column | None = None, evidence_ids: Column | None = None) -> Column:
-    """A fact as one struct column."""
-    return F.struct(
-        value.alias("value"),
-        confirmation.alias("confirmation"),
-        F.coalesce(stale if stale is not None else F.lit(False), F.lit(False)).alias("stale"),
-        (evidence_ids if evidence_ids is not None else F.array().cast("array<string>")).alias("evidence_ids"),
-    )
+    """A fact as one struct column. `state` says whether it may be used: null if so, else why not.
+
+    The order of the tests matters: no value, then stale evidence, then conflicting, then not confirmed.
+    """
+    stale = F.coalesce(stale if stale is not None else F.lit(False), F.lit(False))
+    state = F.when(value.isNull(), "missing").when(stale, "stale").when(confirmation == "conflicting", "conflicting").when(F.coalesce(confirmation.isin("user", "ai_structured"), F.lit(False)), F.lit(None)).otherwise("unconfirmed")
+    evidence = evidence_ids if evidence_ids is not None else F.array().cast("array<string>")
+    return F.struct(value.alias("value"), confirmation.alias("confirmation"), stale.alias("stale"), evidence.alias("evidence_ids"), state.alias("state"))
 
 
 @dataclass(frozen=True)
@@ -33,14 +34,10 @@ class Gate:
 
 
 def gate(of: Column) -> Gate:
-    """The order matters: no value, then stale evidence, then conflicting, then not confirmed."""
-    value, confirmation, stale = of["value"], of["confirmation"], of["stale"]
-    absent = of.isNull() | value.isNull()
-    trusted = F.coalesce(confirmation.isin("user", "ai_structured"), F.lit(False))
-    disputed = F.coalesce(confirmation == "conflicting", F.lit(False))
-    reason = F.when(absent, MISSING).when(stale, STALE).when(disputed, MISSING).when(~trusted, UNCONFIRMED)
-    conflicting = ~absent & (stale | disputed)
-    return Gate(reason.isNull(), reason, reason.isNotNull() & ~conflicting, conflicting)
+    """The gate of a fact column."""
+    state = of["state"]
+    reason = F.when(state == "stale", STALE).when(state == "unconfirmed", UNCONFIRMED).when(state.isNotNull(), MISSING)
+    return Gate(state.isNull(), reason, F.coalesce(state.isin("missing", "unconfirmed"), F.lit(False)), F.coalesce(state.isin("stale", "conflicting"), F.lit(False)))
 
 
 def normalized(text: Column, kind: str) -> tuple[Column, Column]:

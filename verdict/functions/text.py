@@ -8,15 +8,16 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no function for it."""
     return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(texts: pd.Series) -> pd.Series:
     """Compatibility composition, then case folding."""
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())

@@ -9,7 +9,7 @@ from verdict.functions.facts import normalized, provenance
 from verdict.functions.tristate import collapse, exclude, label, truth
 from verdict.operators import decisions
 from verdict.plans.rules import compile_expression, compile_rule
-from verdict.plans.stand_ins import FACTS_SQL, FIELDS, column, order_facts
+from verdict.plans.stand_ins import FACTS_SQL, FIELDS, order_facts
 from verdict.sources.tables import table
 
 
@@ -44,7 +44,7 @@ def rule_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     outcomes = []
     for name, document in RULES.items():
         rule = compile_rule(name, document, FIELDS)
-        outcome = compile_expression(rule.expression, FIELDS, column, "Event.day").struct()
+        outcome = compile_expression(rule.expression, FIELDS, reference="Event.day").struct()
         outcomes.append(F.struct(F.lit(name).alias("rule"), F.lit(rule.kind).alias("rule_kind"), F.lit(rule.required).alias("required"), outcome.alias("outcome")))
     rows = order_facts(spark, folder).select("o_orderkey", "o_custkey", F.explode(F.array(*outcomes)).alias("r"))
     return rows.select("o_orderkey", "o_custkey", "r.rule", "r.rule_kind", "r.required", "r.outcome.*")

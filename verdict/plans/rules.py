@@ -12,13 +12,11 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdict.functions.binding import let
-from verdict.functions.facts import gate
+from verdict.functions.facts import MISSING, STALE, UNCONFIRMED
 from verdict.functions.tristate import label
 
 #: Fixed values of the language.
@@ -229,70 +227,97 @@ class Outcome:
 
 
 _PARTS = ("result", "reason", "missing", "conflicting", "evidence")
+#: Trees up to this height are compiled without bindings.
+FLAT = 3
 
 
-def _names(condition: Column, name: str) -> Column:
-    return F.when(condition, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+def column_name(field: str) -> str:
+    """The column that holds a field's fact, unless a query names another."""
+    return field.replace(".", "_").lower()
 
 
-def compile_expression(node: Mapping, fields: Mapping[str, Field], column=F.col, reference: str | None = None) -> Outcome:
-    """The outcome of a validated predicate over fact columns. column: the fact column of a field; reference: the
+def _height(node: Mapping) -> int:
+    return 1 + max((_height(a) for a in node.get("args", ()) if isinstance(a, Mapping)), default=0)
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def compile_expression(node: Mapping, fields: Mapping[str, Field], name=column_name, reference: str | None = None) -> Outcome:
+    """The outcome of a validated predicate over fact columns. name: the column of a field's fact; reference: the
     field of the date that `days_since` counts to.
 
-    Every child's diagnostics are kept: nothing is cut short when the result is already known.
+    Every child's diagnostics are kept: nothing is cut short when the result is already known. The predicate becomes
+    one SQL expression, parsed once.
     """
-    x = _compile(node, fields, column, reference)
+    x = F.expr(_compile(node, fields, name, reference))
     return Outcome(*(x[p] for p in _PARTS))
 
 
-def _outcome(*parts: Column) -> Column:
-    return F.struct(*(p.alias(n) for p, n in zip(parts, _PARTS, strict=True)))
+def _struct(*parts: str) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {p}" for n, p in zip(_PARTS, parts, strict=True)) + ")"
 
 
-def _compile(node: Mapping, fields: Mapping[str, Field], column, reference: str | None) -> Column:
-    """A struct; each child's stands in it once, so its size grows with the rule's."""
-    op = node["op"]
-    if op in ("all", "any", "not"):
-        n = len(node["args"])
-
-        def combined(children: Column) -> Column:
-            results = [children[i]["result"] for i in range(n)]
-            together = [F.array_distinct(F.concat(*(children[i][p] for i in range(n)))) for p in _PARTS[2:]]
-            if op == "not":
-                reason = F.when(results[0], "NOT_MATCH").when(~results[0], "NOT_NO_MATCH").otherwise("NOT_UNKNOWN")
-                return _outcome(~results[0], reason, *together)
-            result = reduce(lambda a, b: a & b if op == "all" else a | b, results)
-            return _outcome(result, F.concat(F.lit(op.upper() + "_"), label(result)), *together)
-
-        return let(F.array(*(_compile(a, fields, column, reference) for a in node["args"])), combined)
-    name = node["field"]
-    fact, spec = column(name), fields[name]
-    g, value = gate(fact), fact["value"]
-    met, yes, no = _leaf(node, spec, value, fact, column, reference)
-    result, reason = F.when(g.open, met), F.coalesce(g.reason, F.when(met, yes).when(~met, no).otherwise("MISSING_REFERENCE_DATE"))
-    missing = _names(g.missing, name)
-    if op == "days_since":
-        missing = F.concat(missing, _names(g.open & met.isNull(), reference or ""))
-    kept = g.open & met.isNotNull() | (~fact["stale"] & (fact["confirmation"] == "conflicting") & value.isNotNull())
-    evidence = F.when(kept, fact["evidence_ids"]).otherwise(F.array().cast("array<string>"))
-    return _outcome(result, reason, missing, _names(g.conflicting, name), evidence)
-
-
-def _leaf(node: Mapping, spec: Field, value: Column, fact: Column, column, reference: str | None) -> tuple[Column, str, str]:
-    """Whether a usable fact meets a leaf, and the reasons for yes and no."""
+def _label(result: str) -> str:
+    return f"CASE WHEN {result} THEN 'MATCH' WHEN NOT ({result}) THEN 'NO_MATCH' ELSE 'UNKNOWN' END"
+
+
+def _compile(node: Mapping, fields: Mapping[str, Field], name, reference: str | None, depth: int = 0) -> str:
+    """A struct. Beyond height FLAT each child's struct is bound, so the text grows with the rule, not with its paths."""
     op = node["op"]
-    as_literal = lambda x: F.lit(_literal(spec.kind, x, spec))
+    if op not in ("all", "any", "not"):
+        return _leaf(node, fields, name, reference)
+    children = [_compile(a, fields, name, reference, depth + 1) for a in node["args"]]
+    bound = _height(node) > FLAT
+    own = [f"v{depth}[{i}]" for i in range(len(children))] if bound else children
+    results = [f"{c}.result" for c in own]
+    together = [f"array_distinct(concat({', '.join(f'{c}.{p}' for c in own)}))" for p in _PARTS[2:]]
+    if op == "not":
+        result, reason = f"NOT {results[0]}", f"CASE WHEN {results[0]} THEN 'NOT_MATCH' WHEN NOT {results[0]} THEN 'NOT_NO_MATCH' ELSE 'NOT_UNKNOWN' END"
+    else:
+        result = "(" + (" AND " if op == "all" else " OR ").join(results) + ")"
+        reason = f"concat('{op.upper()}_', {_label(result)})"
+    out = _struct(result, reason, *together)
+    return f"transform(array(array({', '.join(children)})), v{depth} -> {out})[0]" if bound else out
+
+
+def _sql_literal(kind: str, x: object, spec: Field) -> str:
+    value = _literal(kind, x, spec)
+    if kind == "date":
+        return f"DATE'{value.isoformat()}'"
+    if kind == "decimal":
+        return f"CAST({_text(str(value))} AS DECIMAL(18,6))"
+    return _text(value) if kind == "string" else str(value).upper() if kind == "boolean" else f"{value}L"
+
+
+def _leaf(node: Mapping, fields: Mapping[str, Field], name, reference: str | None) -> str:
+    """The outcome of a leaf: closed by the fact's gate, else whether its value meets the test."""
+    op, field_name = node["op"], node["field"]
+    spec, fact = fields[field_name], name(field_name)
+    value, state, given = f"{fact}.value", f"{fact}.state", node.get("value")
+    literal = lambda x: _sql_literal(spec.kind, x, spec)
+    yes, no, extra = "DETERMINISTIC_VALUE_MATCH", "DETERMINISTIC_VALUE_MISMATCH", ""
     if op == "present":
-        return F.lit(True), "FACT_PRESENT", ""
-    if op == "equals":
-        return value == as_literal(node["value"]), "DETERMINISTIC_VALUE_MATCH", "DETERMINISTIC_VALUE_MISMATCH"
-    if op == "in":
-        return value.isin([_literal(spec.kind, x, spec) for x in node["value"]]), "DETERMINISTIC_VALUE_MATCH", "DETERMINISTIC_VALUE_MISMATCH"
-    if op in ("range", "date_between"):
-        low, high = map(as_literal, node["value"])
-        return value.between(low, high), "VALUE_IN_RANGE" if op == "range" else "DATE_IN_RANGE", "DETERMINISTIC_VALUE_MISMATCH"
-    if op == "days_since":
-        to = column(reference)
-        since = F.when(gate(to).open, F.datediff(to["value"], value))
-        return since >= node["value"], "DAYS_THRESHOLD_MET", "DAYS_THRESHOLD_NOT_MET"
-    return value >= node["value"], "HISTORY_COUNT_MET", "HISTORY_COUNT_NOT_MET"  # count_before: at least so many
+        met, yes = "TRUE", "FACT_PRESENT"
+    elif op == "equals":
+        met = f"{value} = {literal(given)}"
+    elif op == "in":
+        met = f"{value} IN ({', '.join(map(literal, given))})"
+    elif op in ("range", "date_between"):
+        met, yes = f"{value} BETWEEN {literal(given[0])} AND {literal(given[1])}", "VALUE_IN_RANGE" if op == "range" else "DATE_IN_RANGE"
+    elif op == "days_since":
+        to = name(reference)
+        met, yes, no = f"CASE WHEN {to}.state IS NULL THEN datediff({to}.value, {value}) >= {int(given)} END", "DAYS_THRESHOLD_MET", "DAYS_THRESHOLD_NOT_MET"
+        extra = f" WHEN {state} IS NULL AND {to}.state IS NOT NULL THEN array({_text(reference)})"
+    else:  # count_before: at least so many
+        met, yes, no = f"{value} >= {int(given)}", "HISTORY_COUNT_MET", "HISTORY_COUNT_NOT_MET"
+    none = "CAST(array() AS ARRAY<STRING>)"
+    why = f"CASE WHEN {state} = 'stale' THEN '{STALE}' WHEN {state} = 'unconfirmed' THEN '{UNCONFIRMED}' WHEN {state} IS NOT NULL THEN '{MISSING}'"
+    return _struct(
+        f"CASE WHEN {state} IS NULL THEN {met} END",
+        f"{why} WHEN {met} THEN '{yes}' WHEN NOT ({met}) THEN '{no}' ELSE 'MISSING_REFERENCE_DATE' END",
+        f"CASE WHEN {state} IN ('missing', 'unconfirmed') THEN array({_text(field_name)}){extra} ELSE {none} END",
+        f"CASE WHEN {state} IN ('stale', 'conflicting') THEN array({_text(field_name)}) ELSE {none} END",
+        f"CASE WHEN {state} = 'conflicting' OR ({state} IS NULL AND ({met}) IS NOT NULL) THEN {fact}.evidence_ids ELSE {none} END",
+    )
