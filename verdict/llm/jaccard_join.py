@@ -188,26 +188,30 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
 
 
 def _candidates(grouped: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """(a, b) from rows (key, left, right, node, n, component, bits, side), a block pair for each key, left and right."""
+    """(a, b) from rows (leader, key, left, right, node, n, component, bits, side), a block pair for each key, left and right.
+
+    Copies meet under many keys. The groups of these mostly have the same smallest node, their leader, and go to the
+    task of their leader, which gives each pair once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: set[tuple[int, int]] = set()
-        for group in _groups(batches, 3):
-            group.sort(key=lambda r: (r[4], r[3]))
-            nodes, sizes = [r[3] for r in group], np.array([r[4] for r in group], np.int64)
-            bitmaps = np.frombuffer(b"".join(r[6] for r in group), np.uint64).reshape(len(group), -1)
-            _, component = np.unique(np.array([r[5] for r in group], np.int64), return_inverse=True)
-            sides = np.array([r[7] for r in group])
-            across = (lambda i, j: sides[i] != sides[j]) if group[0][1] != group[0][2] and not spanning else None  # noqa: B023
+        for group in _groups(batches, 4):
+            group.sort(key=lambda r: (r[5], r[4]))
+            nodes, sizes = [r[4] for r in group], np.array([r[5] for r in group], np.int64)
+            bitmaps = np.frombuffer(b"".join(r[7] for r in group), np.uint64).reshape(len(group), -1)
+            _, component = np.unique(np.array([r[6] for r in group], np.int64), return_inverse=True)
+            sides = np.array([r[8] for r in group])
+            across = (lambda i, j: sides[i] != sides[j]) if group[0][2] != group[0][3] and not spanning else None  # noqa: B023
             for i, j in SignatureTree(sizes, bitmaps).candidates(component, spanning, percent, across):
                 pending.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-            if len(pending) >= 20_000:
+            if len(pending) >= 200_000:
                 yield _edges(pending)
                 pending = set()
         if pending:
             yield _edges(pending)
 
-    ordered = grouped.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    ordered = grouped.repartition("leader", "left", "right").sortWithinPartitions("leader", "key", "left", "right")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -217,7 +221,7 @@ def _edges(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _dealt(members: DataFrame, classes: DataFrame, block: int, spanning: bool) -> DataFrame:
-    """The rows of each block pair. members: (key, node, count, component); counts beyond `block` make several blocks."""
+    """The rows of each block pair. members: (leader, key, node, count, component); counts beyond `block` make several blocks."""
     parts = F.ceil(F.col("count") / block).cast("long")
     side = F.pmod(F.xxhash64("node"), parts)
     others = F.sequence(F.lit(0).cast("long"), parts - 1)
@@ -225,21 +229,42 @@ def _dealt(members: DataFrame, classes: DataFrame, block: int, spanning: bool) -
         others = F.when(side == 0, others).otherwise(F.array(F.lit(0).cast("long"), side))
     # A block is on the left of the pairs with later ones and on the right of those with earlier ones.
     dealt = members.withColumn("side", side).withColumn("other", F.explode(F.array_distinct(others)))
-    dealt = dealt.select("key", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "node", "component", "side")
-    return dealt.join(classes.select("node", "n", "bits"), "node").select("key", "left", "right", "node", "n", "component", "bits", "side")
+    dealt = dealt.select("leader", "key", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "node", "component", "side")
+    return dealt.join(classes.select("node", "n", "bits"), "node").select("leader", "key", "left", "right", "node", "n", "component", "bits", "side")
+
+
+def _filter(nodes: DataFrame) -> tuple[bytes, int]:
+    """A bitmap of the hashes of nodes, and how many bits it has: 16 for each node, from 2**16 to 2**27 (16 MB)."""
+    bits = 1 << min(27, max(16, (16 * nodes.count()).bit_length()))
+    place = F.pmod(F.xxhash64("node"), F.lit(bits))
+    parts = nodes.groupBy(F.floor(place / 32768).alias("at")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(32768))).alias("bits"))
+    out = bytearray(bits // 8)
+    for r in parts.collect():
+        out[r["at"] * 4096 : (r["at"] + 1) * 4096] = r["bits"]
+    return bytes(out), bits
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) those that link, by their whole sets. docs: (node, text)."""
+    """Of candidate pairs (a, b) those that link, by their whole sets. docs: (node, text).
+
+    Texts are not shuffled: a broadcast filter of bounded size passes the documents of the pairs and some others,
+    and their sets go into the joins.
+    """
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    passed, bits = _filter(ends)
+    shared = docs.sparkSession.sparkContext.broadcast(passed)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x.as_py(), width).tobytes() for x in part.column(1)], pa.binary())], ["node", "own"])
 
-    own = checkpoint(docs.join(ends, "node").mapInArrow(sets, "node long, own binary"))
+    placed = docs.where("node is not null").select("node", "text", F.pmod(F.xxhash64("node"), F.lit(bits)).alias("place"))
+    own = checkpoint(placed.mapInArrow(sets, "node long, own binary"))
     left, right = own.select(F.col("node").alias("a"), F.col("own").alias("x")), own.select(F.col("node").alias("b"), F.col("own").alias("y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +307,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     all_docs, classes = classes_of(docs, id_column=id_column, text_column=text_column, width=width)
     texts = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text"))
     keyed = classes.select(F.explode("keys").alias("key"), "node")
-    counts = keyed.groupBy("key").count().where(F.col("count") > 1)
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("leader")).where(F.col("count") > 1)
     shared = checkpoint(keyed.join(counts, "key"))
     first = checkpoint(_candidates(_dealt(shared.withColumn("component", F.col("node")), classes, block, True), percent, True))
     links = checkpoint(_verified(first, texts, width, percent))
