@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but these bytes; bytes.split() splits on the same six.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from verdict.functions.checkpoints import checkpoint
+from verdict.sources.tables import table
 
+__all__ = ["WORD", "checkpoint", "fold", "labelled_sample", "table", "words"]
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df with its lineage cut, kept in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is unset (tests on one machine) a folder of our own is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint(eager)
+#: Words are runs of anything but these bytes; bytes.split() splits on the same six.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fold(doc_id: Column, modulus: int, held: int) -> Column:

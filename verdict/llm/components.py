@@ -1,41 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components, for the joins of this subpackage."""
 
-from __future__ import annotations
+from verdict.operators.components import components as connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from verdict.llm.common import checkpoint
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours link to the smallest of the node and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours link to the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.unionByName(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b: long): component is the smallest node that it is connected to.
-
-    The rounds end when the edge set no longer changes, then every edge leads from a node to its component. Their
-    number grows with the logarithm of the longest path; each round's edges are checkpointed. Loops and repeated
-    edges do no harm; a null end leaves an edge out. Nodes that only have loops are not returned.
-    """
-    edges = checkpoint(edges.select("a", "b").where("a <> b").distinct())
-    before = None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        before, edges = mark, checkpoint(_small_star(_large_star(edges)))
-    leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return leaves.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+__all__ = ["connected_components"]
