@@ -227,19 +227,11 @@ class Outcome:
 
 
 _PARTS = ("result", "reason", "missing", "conflicting", "evidence")
-#: Trees up to this height are compiled without bindings.
-FLAT = 3
-
-
 def column_name(field: str) -> str:
     """The column that holds a field's fact, unless a query names another."""
     return field.replace(".", "_").lower()
 
 
-def _height(node: Mapping) -> int:
-    return 1 + max((_height(a) for a in node.get("args", ()) if isinstance(a, Mapping)), default=0)
-
-
 def _text(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -248,38 +240,32 @@ def compile_expression(node: Mapping, fields: Mapping[str, Field], name=column_n
     """The outcome of a validated predicate over fact columns. name: the column of a field's fact; reference: the
     field of the date that `days_since` counts to.
 
-    Every child's diagnostics are kept: nothing is cut short when the result is already known. The predicate becomes
-    one SQL expression, parsed once.
+    Every child's diagnostics are kept: nothing is cut short when the result is already known. Each part becomes one
+    SQL expression.
     """
-    x = F.expr(_compile(node, fields, name, reference))
-    return Outcome(*(x[p] for p in _PARTS))
-
-
-def _struct(*parts: str) -> str:
-    return "named_struct(" + ", ".join(f"'{n}', {p}" for n, p in zip(_PARTS, parts, strict=True)) + ")"
+    x = _compile(node, fields, name, reference)
+    return Outcome(*(F.expr(x[p]) for p in _PARTS))
 
 
 def _label(result: str) -> str:
     return f"CASE WHEN {result} THEN 'MATCH' WHEN NOT ({result}) THEN 'NO_MATCH' ELSE 'UNKNOWN' END"
 
 
-def _compile(node: Mapping, fields: Mapping[str, Field], name, reference: str | None, depth: int = 0) -> str:
-    """A struct. Beyond height FLAT each child's struct is bound, so the text grows with the rule, not with its paths."""
+def _compile(node: Mapping, fields: Mapping[str, Field], name, reference: str | None) -> dict[str, str]:
+    """The SQL of each part. A parent takes each child's result and diagnostics once, so the text grows with the rule."""
     op = node["op"]
     if op not in ("all", "any", "not"):
         return _leaf(node, fields, name, reference)
-    children = [_compile(a, fields, name, reference, depth + 1) for a in node["args"]]
-    bound = _height(node) > FLAT
-    own = [f"v{depth}[{i}]" for i in range(len(children))] if bound else children
-    results = [f"{c}.result" for c in own]
-    together = [f"array_distinct(concat({', '.join(f'{c}.{p}' for c in own)}))" for p in _PARTS[2:]]
+    children = [_compile(a, fields, name, reference) for a in node["args"]]
+    results = [c["result"] for c in children]
+    together = [f"array_distinct(concat({', '.join(c[p] for c in children)}))" for p in _PARTS[2:]]
     if op == "not":
-        result, reason = f"NOT {results[0]}", f"CASE WHEN {results[0]} THEN 'NOT_MATCH' WHEN NOT {results[0]} THEN 'NOT_NO_MATCH' ELSE 'NOT_UNKNOWN' END"
+        result = f"(NOT {results[0]})"
+        reason = f"CASE WHEN {results[0]} THEN 'NOT_MATCH' WHEN NOT {results[0]} THEN 'NOT_NO_MATCH' ELSE 'NOT_UNKNOWN' END"
     else:
         result = "(" + (" AND " if op == "all" else " OR ").join(results) + ")"
         reason = f"concat('{op.upper()}_', {_label(result)})"
-    out = _struct(result, reason, *together)
-    return f"transform(array(array({', '.join(children)})), v{depth} -> {out})[0]" if bound else out
+    return dict(zip(_PARTS, (result, reason, *together), strict=True))
 
 
 def _sql_literal(kind: str, x: object, spec: Field) -> str:
@@ -291,7 +277,7 @@ def _sql_literal(kind: str, x: object, spec: Field) -> str:
     return _text(value) if kind == "string" else str(value).upper() if kind == "boolean" else f"{value}L"
 
 
-def _leaf(node: Mapping, fields: Mapping[str, Field], name, reference: str | None) -> str:
+def _leaf(node: Mapping, fields: Mapping[str, Field], name, reference: str | None) -> dict[str, str]:
     """The outcome of a leaf: closed by the fact's gate, else whether its value meets the test."""
     op, field_name = node["op"], node["field"]
     spec, fact = fields[field_name], name(field_name)
@@ -314,10 +300,11 @@ def _leaf(node: Mapping, fields: Mapping[str, Field], name, reference: str | Non
         met, yes, no = f"{value} >= {int(given)}", "HISTORY_COUNT_MET", "HISTORY_COUNT_NOT_MET"
     none = "CAST(array() AS ARRAY<STRING>)"
     why = f"CASE WHEN {state} = 'stale' THEN '{STALE}' WHEN {state} = 'unconfirmed' THEN '{UNCONFIRMED}' WHEN {state} IS NOT NULL THEN '{MISSING}'"
-    return _struct(
-        f"CASE WHEN {state} IS NULL THEN {met} END",
+    parts = (
+        f"(CASE WHEN {state} IS NULL THEN {met} END)",
         f"{why} WHEN {met} THEN '{yes}' WHEN NOT ({met}) THEN '{no}' ELSE 'MISSING_REFERENCE_DATE' END",
         f"CASE WHEN {state} IN ('missing', 'unconfirmed') THEN array({_text(field_name)}){extra} ELSE {none} END",
         f"CASE WHEN {state} IN ('stale', 'conflicting') THEN array({_text(field_name)}) ELSE {none} END",
         f"CASE WHEN {state} = 'conflicting' OR ({state} IS NULL AND ({met}) IS NOT NULL) THEN {fact}.evidence_ids ELSE {none} END",
     )
+    return dict(zip(_PARTS, parts, strict=True))
