@@ -146,3 +146,29 @@ def test_lm_without_texts(spark):
     got = pitman_yor.score(docs, F.lit(False)).collect()
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == [(1, 3, 0, 0), (2, 1, 0, 0)]
     assert pitman_yor.score(docs.where("false"), F.lit(True)).count() == 0
+
+
+def test_lm_has_a_restaurant_for_every_preceding_word(spark):
+    n = 3 * pitman_yor.CONTEXTS
+    texts = [(None, f"x{i} y{i}") for i in range(n) for _ in range(5)]
+    asked = [(i, f"x{i} y{i}") for i in range(n)] + [(n + i, f"x{i} y{(i + 1) % n}") for i in range(n)]
+    docs = spark.createDataFrame(texts + asked, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id").isNull()).where("doc_id is not null").collect()}
+    assert len(got) == 2 * n
+    assert all(got[i] > got[n + i] + 0.5 for i in range(n))
+
+
+def test_lm_every_context_sums_to_one(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.lit(True).alias("train"), "text")
+    model, seats, contexts, vocabulary, discount = pitman_yor._fit(docs, 2, 3)
+    seen = {}
+    for t in docs.collect():
+        own = [" end", *(t["text"] or "").encode().lower().split(), " end"]
+        for pair in itertools.pairwise(own):
+            seen[pair] = seen.get(pair, 0) + 1
+    assert seats.agg(F.count(F.lit(1)), F.sum("c")).first() == (len(seen), sum(seen.values()))
+    assert contexts.count() == len({u for u, _ in seen}) > pitman_yor.CONTEXTS
+    whole = vocabulary.agg(F.sum("p_root")).first()[0] + model.unknown
+    own = (F.sum("c") - discount * F.sum("t")) / (pitman_yor.STRENGTH + F.first("customers"))
+    sums = seats.join(contexts, "u").groupBy("u").agg((own + whole * F.first("back_off")).alias("p"))
+    assert sums.where("abs(p - 1) > 1e-6").count() == 0
