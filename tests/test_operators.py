@@ -9,6 +9,7 @@ from verdict.functions import money, text
 from verdict.functions.tristate import collapse, fold, label
 from verdict.operators import audits, documents, payments
 from verdict.operators.components import components, reachable
+from verdict.plans import text_queries
 from verdict.sources.tables import manifest, read_package
 from verdict.streaming import queues
 
@@ -113,3 +114,19 @@ def test_streams(spark, tmp_path, small):
     quota.processAllAvailable()
     quota.stop()
     assert spark.sql("select sum(n) from quota_test").first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_text_lines_reads_whole_pages(spark, tmp_path):
+    pages = {1: " ".join("w" * (i * 7 % 17 + 1) for i in range(450)), 2: "one two", 3: ""}
+    spark.createDataFrame([(i, "u", t) for i, t in pages.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = set()
+    for page, t in pages.items():
+        lines, first, last = 0, None, None
+        for i, w in enumerate(t.split(" ")):
+            left, top = i % 7 * 50.0, i // 7 * 12 + i % 2
+            shared = 10 - abs(first - top) if first is not None else 0
+            if shared < 8 or left - last > 15:
+                lines, first = lines + 1, top
+            last = left + min(len(w), 12) * 4
+        want.add((page, lines, len(t.split(" "))))
+    assert {tuple(r) for r in text_queries.text_lines(spark, str(tmp_path)).select("page", "n_lines", "n_words").collect()} == want

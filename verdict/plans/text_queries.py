@@ -134,7 +134,7 @@ def box_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Words of pages laid out by a rule, grouped to lines."""
-    words = _pages(spark, folder).select(F.col("page_id").alias("page"), F.posexplode(F.slice(F.split("html", r"\s+"), 1, 200)).alias("position", "word"))
+    words = _pages(spark, folder).select(F.col("page_id").alias("page"), F.posexplode(F.split("html", r"\s+")).alias("position", "word"))
     row = F.floor(F.col("position") / 7)
     left = (F.col("position") % 7) * 50.0
     boxes = words.select("page", "position", left.alias("left"), (left + F.least(F.length("word"), F.lit(12)) * 4.0).alias("right"), (row * 12.0 + F.col("position") % 2).alias("top"), (row * 12.0 + 10 + F.col("position") % 2).alias("bottom"))
