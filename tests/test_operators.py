@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from verdict.functions import money, text
 from verdict.functions.tristate import collapse, fold, label
-from verdict.operators import audits, documents, payments
+from verdict.operators import audits, documents, payments, search
 from verdict.operators.components import components, reachable
 from verdict.plans import text_queries
 from verdict.sources.tables import manifest, read_package
@@ -130,3 +130,16 @@ def test_text_lines_reads_whole_pages(spark, tmp_path):
             last = left + min(len(w), 12) * 4
         want.add((page, lines, len(t.split(" "))))
     assert {tuple(r) for r in text_queries.text_lines(spark, str(tmp_path)).select("page", "n_lines", "n_words").collect()} == want
+
+
+def test_overlap_counts_common_tokens(spark):
+    common = [f"c{c}" for c in "abcdefgh"]
+    passages = {i: " ".join([*(w for j, w in enumerate(common) if (i >> j % 5) & 1), f"rare{i % 20}"]) for i in range(40)}
+    asked = {1: " ".join(common), 2: " ".join([*common, "rare3"]), 3: "rare4 rare5", 4: "ca", 5: "nowhere", 6: "rare6 ca"}
+    docs = spark.createDataFrame(list(passages.items()), "doc long, body string")
+    queries = spark.createDataFrame(list(asked.items()), "item long, body string")
+    want = set()
+    for q, t in asked.items():
+        scores = sorted((-len(set(t.split()) & set(x.split())), d) for d, x in passages.items())
+        want |= {(q, i + 1, d, -n) for i, (n, d) in enumerate(scores[:2]) if n}
+    assert {tuple(r) for r in search.overlap_top(queries, docs, "item", "doc", "body").collect()} == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdict.functions.checkpoints import checkpoint
 from verdict.functions.text import similarity, tokens, trigrams
 
 #: Bounds of a query.
@@ -31,18 +32,28 @@ def search(corpus: DataFrame, query: str, *, id_column: str, title: str, text: s
 def overlap_top(queries: DataFrame, passages: DataFrame, query_id: str, passage_id: str, text: str, *, per_query: int = 2, least: int = 1, common: float = 0.2) -> DataFrame:
     """For each query the passages that share most distinct tokens with it: (query_id, position, passage_id, score).
 
-    Tokens are joined as rows, so no pair without a common token arises. Tokens in more than `common` of all
-    passages would pair nearly everything; they do not find passages, but they count in the scores.
+    Tokens are joined as rows. Those in more than `common` of all passages would pair nearly everything, so the others
+    find passages first. A passage found by none of these shares at most the query's common tokens: where their
+    number reaches the query's last score so far, all passages are scored, by a join that no key deals out.
     """
     p = passages.select(passage_id, tokens(F.col(text)).alias("_p"))
     q = queries.select(query_id, tokens(F.col(text), 64).alias("_q"))
     words = p.select(passage_id, F.explode("_p").alias("_w"))
     total = passages.count()
-    rare = words.groupBy("_w").count().where(F.col("count") <= F.lit(max(1.0, common * total))).select("_w")
-    pairs = q.select(query_id, F.explode("_q").alias("_w")).join(rare, "_w", "left_semi").join(words, "_w").select(query_id, passage_id).distinct()
-    scored = pairs.join(q, query_id).join(p, passage_id).select(query_id, passage_id, F.size(F.array_intersect("_q", "_p")).alias("score")).where(F.col("score") >= least)
+    held = words.groupBy("_w").count().withColumn("_rare", F.col("count") <= F.lit(max(1.0, common * total)))
+    rare, frequent = held.where("_rare").select("_w"), held.where("not _rare").select("_w")
+    asked = q.select(query_id, F.explode("_q").alias("_w"))
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), passage_id))
-    return scored.withColumn("position", place).where(F.col("position") <= per_query).select(query_id, "position", passage_id, "score")
+    shared = F.size(F.array_intersect("_q", "_p")).alias("score")
+    pairs = asked.join(rare, "_w", "left_semi").join(words, "_w").select(query_id, passage_id).distinct()
+    scored = pairs.join(p, passage_id).join(q, query_id).select(query_id, passage_id, shared).where(F.col("score") >= least)
+    first = checkpoint(scored.withColumn("position", place).where(F.col("position") <= per_query))
+    unseen = asked.join(frequent, "_w", "left_semi").groupBy(query_id).agg(F.count(F.lit(1)).alias("_most"))
+    last = first.where(F.col("position") == per_query).select(query_id, F.col("score").alias("_last"))
+    open_ = checkpoint(unseen.join(last, query_id, "left").where(F.col("_most") >= F.greatest(F.coalesce("_last", F.lit(0)), F.lit(least))).select(query_id))
+    again = q.join(F.broadcast(open_), query_id, "left_semi").join(p, F.arrays_overlap("_q", "_p")).select(query_id, passage_id, shared).where(F.col("score") >= least)
+    again = again.withColumn("position", place).where(F.col("position") <= per_query)
+    return first.join(F.broadcast(open_), query_id, "left_anti").unionByName(again).select(query_id, "position", passage_id, "score")
 
 
 def substring_score(text, asked):
