@@ -40,6 +40,14 @@ def test_long_stretches():
     np.testing.assert_allclose(f.tag([(0, 0), (3, 0), (700, 0)], 1000), f.marginals(words)[0][0][[0, 3, 700]], atol=1e-9)
 
 
+def test_windows_hold_every_hit():
+    hits = [(3 * i, i % 2) for i in range(1000)]
+    words, tags, _ = toxicity_crf._windows([(1, hits, 3000)], np.ones(1), 2)
+    assert (words < 2).sum() >= tags.sum() >= len(hits)
+    far = [(i * 100, 0) for i in range(500)]
+    assert len(toxicity_crf._windows([(1, far, 50000)], np.ones(1), 2)[0]) == len(far)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(3)
     model = quality_mil.Attention()

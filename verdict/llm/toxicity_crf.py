@@ -21,6 +21,7 @@ empty table gives none. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -259,15 +260,15 @@ def _windows(rows: list, weight: np.ndarray, other: int) -> tuple[np.ndarray, np
             tags.append([0] * length)
             weights.append(w)
         until = -1
-        for place, _ in hits[:200]:
+        at = [place for place, _ in hits]
+        for place in at:
             if place < until:
                 continue
             start = max(0, place - WINDOW)
             until = start + length
             own, tag = [other] * length, [0] * length
-            for p, x in hits:
-                if start <= p < until:
-                    own[p - start], tag[p - start] = x, label
+            for p, x in hits[bisect_left(at, start) : bisect_left(at, until)]:
+                own[p - start], tag[p - start] = x, label
             words.append(own)
             tags.append(tag)
             weights.append(w)
