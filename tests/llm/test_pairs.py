@@ -112,7 +112,7 @@ def test_vector_links_agree_with_brute_force(spark):
         rows += [(len(rows) + k, [float(x) for x in centre + rng.normal(size=16) * rng.choice([0, 0.05, 0.12, 0.2])], c % 3, 1) for k in range(12)]
     n = len(rows)
     rows += [(n, [0.0] * 16, 0, 1), (n + 1, None, 0, 1), (n + 2, rows[0][1], None, 1), (n + 3, rows[0][1], 0, 1), (n + 4, rows[0][1][:4], 0, 1), (n + 5, [float("nan")] * 16, 0, 1)]
-    got = {r["vec_id"]: tuple(r)[1:] for r in vector_dedup.near_duplicates(vectors(spark, rows), rows_in_list=10, block=16, codewords=8).collect()}
+    got = {r["vec_id"]: tuple(r)[1:] for r in vector_dedup.near_duplicates(vectors(spark, rows), lists=6, block=16, codewords=8).collect()}
     ok = [(i, np.array(v, np.float32).astype(float), label) for i, v, label, _ in rows if v is not None and label is not None and all(np.isfinite(x) for x in v) and any(v)]
     links, parent = {i: 0 for i, *_ in rows}, {i: i for i, *_ in rows}
 
@@ -136,3 +136,12 @@ def test_query_agrees_with_sql(spark, small, name):
     from oracle import same
 
     same(spark, small, registry.queries()[name], registry.oracle_sql()[name])
+
+
+def test_vectors_that_repeat_ids_and_clashing_columns(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, a), (2, a), (2, a), (3, b), (4, b), (4, a), (None, a)]
+    table = spark.createDataFrame([(i, v, 0, *[9] * 7) for i, v in rows], "vec_id long, embedding array<float>, label int, node int, size int, n int, list int, at int, code int, vector int")
+    got = sorted({tuple(r)[:3] for r in vector_dedup.near_duplicates(table).where("vec_id is not null").collect()})
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 1, 1), (4, 2, 1)]  # 3 reaches 1 through 4
+    assert vector_dedup.near_duplicates(table).count() == len(rows)
