@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verdict.llm import exact_topk, jaccard_join, registry, vector_dedup
-from verdict.llm.components import connected_components
+from verdict.operators.components import components as connected_components
 
 
 def sets(text):
@@ -52,6 +53,51 @@ def test_joins_agree_with_brute_force(spark, block):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize(("block", "most"), [(6, 10**6), (2048, 300)])
+def test_dense_family_below_the_threshold(spark, block, most):
+    """Copies of one text that share keys, most of which do not link: nothing is lost, also between blocks."""
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(5)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert 3 < len({c for _, c in want.values()}) < 60
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs, block=block, most=most).collect()}
+    assert got == want
+
+
+def test_very_long_texts_link(spark):
+    base = [f"w{i}" for i in range(12_000)]
+    near = base[:11_000] + [f"v{i}" for i in range(1000)]
+    docs = spark.createDataFrame([(5, " ".join(base)), (2, " ".join(near)), (9, " ".join(base[:6000]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == {5: 2, 2: 2, 9: 9}
+
+
+def test_group_gives_spanning_links_only():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 500, np.uint64)
+    sets = [np.unique(np.concatenate([base[:480], rng.integers(0, 2**63, 20, np.uint64)])) for _ in range(300)]
+    assert len(jaccard_join.Group(sets, np.arange(300), 75).links()) == 299
+    far = [np.unique(np.concatenate([base[:420], rng.integers(0, 2**63, 80, np.uint64)])) for _ in range(300)]
+    assert jaccard_join.Group(far, np.arange(300), 75).links() == []
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(7, "a b c d e f", 1), (None, "a b c d e f", 2), (3, "A B c d e f", 3), (3, "A B c d e f", 4), (3, "other words here", 5), (None, "q", 6), (None, "q", 7), (1, None, 8), (1, None, 9), (2, " ", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h int").withColumn("again", F.col("h")).withColumn("k", F.col("h"))
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+    assert got == sorted([("3", "A B c d e f"), ("3", "other words here"), ("None", "q"), ("1", None), ("1", None), ("2", " ")], key=str)
+    assert jaccard_join.keep_one(docs.where("false")).count() == 0
+
+
 def test_join_edges(spark):
     docs = spark.createDataFrame([(7, "a b c d e f"), (None, "a b c d e f"), (3, "A B c d e f"), (3, "A B c d e f"), (None, "q")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()), key=str)
@@ -62,13 +108,14 @@ def test_join_edges(spark):
 def test_tree_drops_no_pair():
     texts = [t for t in corpus(3, 8, 20) if t]
     own = sorted((jaccard_join.shingles(t) for t in texts), key=len)
-    bits = np.frombuffer(b"".join(jaccard_join.sketch(x)[3] for x in own), np.uint64).reshape(len(own), -1)
-    found = set(jaccard_join.SignatureTree(np.array([len(x) for x in own]), bits).candidates(np.arange(len(own)), False, 75))
-    for i in range(len(own)):
-        for j in range(i + 1, len(own)):
-            shared = len(np.intersect1d(own[i], own[j]))
-            if jaccard_join.enough(shared, len(own[i]), len(own[j]), 75):
-                assert (i, j) in found
+    for address in (6, 8, 12):
+        tree = jaccard_join.SignatureTree(np.array([len(x) for x in own]), np.stack([jaccard_join.bitmap(x, address) for x in own]))
+        found = {(int(i), int(j)) for x in tree.leaves(75, lambda a, b: False) for i, j in zip(*x, strict=True)}
+        for i in range(len(own)):
+            for j in range(i + 1, len(own)):
+                shared = len(np.intersect1d(own[i], own[j]))
+                if jaccard_join.enough(shared, len(own[i]), len(own[j]), 75):
+                    assert (i, j) in found
 
 
 def test_components(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verdict.functions.checkpoints import checkpoint
 from verdict.sources.tables import table
 
-__all__ = ["WORD", "checkpoint", "fold", "labelled_sample", "table", "words"]
+__all__ = ["WORD", "checkpoint", "fold", "labelled_sample", "table", "unused", "words"]
 
 #: Words are runs of anything but these bytes; bytes.split() splits on the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,14 @@ def fold(doc_id: Column, modulus: int, held: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == held, F.lit(True))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A name like `name` that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text with A-Z in lower case (bytes.lower and bytes.split know ASCII only)."""
     return (text or "").encode().lower().split()

@@ -1,24 +1,26 @@
 """Operator 2, an n-gram Jaccard join by signature trees: documents whose sets of word shingles overlap enough link.
 
-1. Each text gives its set of shingles (64-bit hashes of `width` words). Equal sets are one class, its smallest
-   doc_id the class's node; the rest works on classes, so copies are never expanded.
-2. Classes meet in groups, by `BANDS` keys of `ROWS` minima each under random hashes of their sets. Two classes at
-   the threshold share no key with a probability of (1 - 0.75**3)**32, or 2e-8; groups of one are dropped.
-3. In a group a signature tree holds, for each node, the OR of its members' bitmaps (a bit for each range of hashes),
-   their AND, and the range of their set sizes. A traversal of pairs of nodes drops a pair when no member of one can
-   overlap one of the other enough: each bit that all of one side have and none of the other has is a shingle that
-   is not shared. In leaves the same bound is taken for each pair of classes.
-4. Candidates are held against each other by their whole sets, exactly.
-
-A first round takes from each group only pairs that join two trees of candidates, so a group of n copies gives n - 1
-pairs. After its links are known, a second round takes every pair that the bound allows, in groups whose members
-are not yet in one component, between components: what the first round left out is either connected already or
-tested then. Groups beyond `block` members are cut into blocks: the first round compares each block with itself
-and the first one, the second all pairs of blocks.
-
-Null and empty texts have no shingle and link with nothing; a text of fewer words than `width` has one. Rows that
-repeat a doc_id each get the component of their own text. A row with a null doc_id has the component of the
-documents of equal sets, null if none has an id. Other columns are ignored. An empty table gives none.
+1. Each text gives its set of shingles (64-bit hashes of `width` words). Equal sets are one class; the rest works on
+   classes, so copies are never expanded.
+2. Classes are routed to groups, by `BANDS` keys of `ROWS` minima each under random hashes of their sets. Two classes
+   at the threshold share no key with a probability of (1 - 0.75**3)**32, or 2e-8. The groups of all keys with the
+   same smallest class, their leader, are one, so a class is sent once for each of its leaders, not for each key.
+3. In a group a signature tree holds, for each node, the OR of its members' bitmaps (a bit for each range of hashes, at
+   least `LOAD` bits for each shingle of the smaller sets), their AND, and the range of their set sizes. A traversal
+   of pairs of nodes drops a pair when no member of one can overlap one of the other enough: each bit that all of one
+   side have and none of the other has is a shingle that is not shared. In leaves the same bound is taken for each
+   pair of classes.
+4. Pairs that pass are held against each other by their whole sets, exactly, in the same task. Only pairs that join two
+   components are, so a group gives at most one link less than it has members, whatever its size.
+
+A group beyond `block` classes (or `most` shingles) is cut into blocks. A first round compares each block with itself and the
+first one. Where that leaves the members of a large group in several components, a second round compares the other
+pairs of blocks, if they hold more than one component between them. Small groups need no second round.
+
+Null and empty texts have no shingle and link with nothing; a text of fewer words than `width` has one. Each row has the
+component of its own text, also where rows repeat a doc_id. Rows with a null doc_id link as others do; a
+component's id is the smallest that is not null, null if none has an id. Texts of any length are taken whole. Other
+columns are ignored, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpoint, words
-from verdict.llm.components import connected_components
+from verdict.llm.common import checkpoint, unused, words
+from verdict.operators.components import components as connected_components
 
-BANDS, ROWS, BITS, LEAF = 32, 3, 1024, 32
+BANDS, ROWS, LOAD, LEAF = 32, 3, 8, 32
 
 _draw = np.random.default_rng(2)
 _A = _draw.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,24 +80,33 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def sketch(own: np.ndarray) -> tuple[int, int, list[int], bytes]:
-    """Of a set: two fingerprints of the whole set, the band keys and the bitmap."""
+def sketch(own: np.ndarray) -> tuple[int, int, list[int]]:
+    """Of a set: two fingerprints of the whole set and the band keys."""
     least = np.full(BANDS * ROWS, 2**32 - 1, np.uint64)
     for i in range(0, len(own), 1024):
         least = np.minimum(least, ((own[i : i + 1024, None] * _A + _B) >> np.uint64(32)).min(0))
     keys = _mix((least.reshape(BANDS, ROWS) * _P[:ROWS]).sum(1, dtype=np.uint64) + _BAND)
-    bits = np.zeros(BITS, bool)
-    bits[own >> np.uint64(54)] = True
     signed = lambda x: int(x.astype(np.int64))
-    return signed(own.sum(dtype=np.uint64)), signed((_mix(own) * (own | np.uint64(1))).sum(dtype=np.uint64)), keys.astype(np.int64).tolist(), np.packbits(bits).tobytes()
+    return signed(own.sum(dtype=np.uint64)), signed((_mix(own) * (own | np.uint64(1))).sum(dtype=np.uint64)), keys.astype(np.int64).tolist()
 
 
-def enough(shared: int, a: int, b: int, percent: int) -> bool:
+def enough(shared: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * shared >= percent * (a + b - shared)
 
 
+def scale(n: int) -> int:
+    """The number of address bits of a bitmap for n shingles."""
+    return max(6, (LOAD * n - 1).bit_length())
+
+
+def bitmap(own: np.ndarray, address: int) -> np.ndarray:
+    bits = np.zeros(1 << address, bool)
+    bits[own >> np.uint64(64 - address)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
 class SignatureTree:
-    """A binary tree over classes in order of set size: each node is a run of them."""
+    """A binary tree over sets in order of size: each node is a run of them."""
 
     def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray):
         self.sizes, self.bits = sizes, bitmaps
@@ -114,7 +125,7 @@ class SignatureTree:
         return len(self.nodes) - 1
 
     def pruned(self, a: int, b: int, percent: int) -> bool:
-        """Whether no class under node a can link with one under node b."""
+        """Whether no set under node a can link with one under node b."""
         (a0, a1, a_or, a_and, _), (b0, b1, b_or, b_and, _) = self.nodes[a], self.nodes[b]
         small, large = (self.sizes[a0], self.sizes[a1 - 1]), (self.sizes[b0], self.sizes[b1 - 1])
         if 100 * small[1] < percent * large[0] or 100 * large[1] < percent * small[0]:
@@ -123,11 +134,12 @@ class SignatureTree:
         return (100 + percent) * overlap < percent * int(small[0] + large[0])
 
     def pairs(self, a: int, b: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of classes of two leaves (or of one) that the bound allows."""
+        """The pairs of sets of two leaves (or of one) that the bound allows."""
         (a0, a1, *_), (b0, b1, *_) = self.nodes[a], self.nodes[b]
-        x, y, n, m = self.bits[a0:a1, None], self.bits[None, b0:b1], self.sizes[a0:a1, None], self.sizes[None, b0:b1]
-        only_x = np.bitwise_count(x & ~y).sum(2, dtype=np.int64)
-        only_y = np.bitwise_count(y & ~x).sum(2, dtype=np.int64)
+        x, y, n, m = self.bits[a0:a1], self.bits[b0:b1], self.sizes[a0:a1, None], self.sizes[None, b0:b1]
+        both = np.stack([np.bitwise_count(one & y).sum(1, dtype=np.int64) for one in x])
+        only_x = np.bitwise_count(x).sum(1, dtype=np.int64)[:, None] - both
+        only_y = np.bitwise_count(y).sum(1, dtype=np.int64)[None] - both
         overlap = np.minimum(n - only_x, m - only_y)
         fit = (100 + percent) * overlap >= percent * (n + m)
         if a == b:
@@ -135,49 +147,88 @@ class SignatureTree:
         i, j = np.nonzero(fit)
         return i + a0, j + b0
 
-    def candidates(self, component: np.ndarray, spanning: bool, percent: int, wanted=None) -> list[tuple[int, int]]:
-        """Pairs between components that the bound allows; with spanning, such that each joins two components anew.
-
-        component: changes with spanning. wanted: a function of two arrays of classes that says which pairs count.
-        """
-        found, stack = [], [(self.root, self.root)]
+    def leaves(self, percent: int, done) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of sets that the bounds allow, those of two leaves at a time; done: a function of two runs of sets
+        that says whether their pairs are of no use."""
+        stack = [(self.root, self.root)]
         while stack:
             a, b = stack.pop()
             (a0, a1, _, _, left), (b0, b1, _, _, right) = self.nodes[a], self.nodes[b]
-            one = component[a0]
-            if (component[a0:a1] == one).all() and (component[b0:b1] == one).all():
-                continue
-            if a != b and self.pruned(a, b, percent):
+            if done(slice(a0, a1), slice(b0, b1)) or (a != b and self.pruned(a, b, percent)):
                 continue
             if left is None and right is None:
-                i, j = self.pairs(a, b, percent)
-                if wanted is not None:
-                    keep = wanted(i, j)
-                    i, j = i[keep], j[keep]
-                apart = component[i] != component[j]
-                i, j = i[apart], j[apart]
-                if not spanning:
-                    found += zip(i.tolist(), j.tolist(), strict=True)
-                while spanning and len(i):
-                    p, q = int(i[0]), int(j[0])
-                    found.append((p, q))
-                    component[component == component[q]] = component[p]
-                    apart = component[i] != component[j]
-                    i, j = i[apart], j[apart]
+                yield self.pairs(a, b, percent)
             elif a == b:
-                stack += [(left[1], left[1]), (left[0], left[1]), (left[0], left[0])]
+                stack += [(left[0], left[1]), (left[1], left[1]), (left[0], left[0])]
             elif right is None or (left is not None and a1 - a0 >= b1 - b0):
                 stack += [(x, b) for x in reversed(left)]
             else:
                 stack += [(a, x) for x in reversed(right)]
-        return found
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+class Group:
+    """Sets of one group, their components, and the links found that join two of these."""
+
+    def __init__(self, sets: list[np.ndarray], component: np.ndarray, percent: int, sides: np.ndarray | None = None):
+        self.order = np.argsort([len(x) for x in sets], kind="stable")
+        self.sets = [sets[i] for i in self.order]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+        self.component, self.percent = np.unique(component[self.order], return_inverse=True)[1], percent
+        self.sides = None if sides is None else sides[self.order]  # only pairs of two sides count
+        self.found: list[tuple[int, int]] = []
+
+    def links(self) -> list[tuple[int, int]]:
+        """Pairs of linked sets (by their place in the input) such that each joins two components anew."""
+        scales = np.array([scale(int(n)) for n in self.sizes])
+        for own in np.unique(scales):  # linked sets differ by one scale at most
+            at = np.flatnonzero((scales == own) | (scales == own + 1))
+            if len(at) < 2 or (self.component[at] == self.component[at[0]]).all():
+                continue
+            if len(at) <= 4:
+                i, j = np.triu_indices(len(at), 1)
+                self.test(at[i], at[j])
+                continue
+            tree = SignatureTree(self.sizes[at], np.stack([bitmap(self.sets[k], int(own)) for k in at]))
+            for i, j in tree.leaves(self.percent, lambda x, y: self.settled(at[x], at[y])):  # noqa: B023
+                lower = scales[at[i]] == own
+                self.test(at[i[lower]], at[j[lower]])
+        return [(int(self.order[i]), int(self.order[j])) for i, j in self.found]
+
+    def settled(self, x: np.ndarray, y: np.ndarray) -> bool:
+        one = self.component[x[0]]
+        return bool((self.component[x] == one).all() and (self.component[y] == one).all())
+
+    def test(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Takes up the pairs i, j that link, each set of i against all of its j by their whole sets."""
+        apart = self.component[i] != self.component[j]
+        if self.sides is not None:
+            apart &= self.sides[i] != self.sides[j]
+        i, j = i[apart], j[apart]
+        for one in np.unique(i):
+            own, others = self.sets[one], j[i == one]
+            others = others[self.component[others] != self.component[one]]
+            others = others[100 * self.sizes[np.minimum(one, others)] >= self.percent * self.sizes[np.maximum(one, others)]]
+            for start in range(0, len(others), 256):
+                part = others[start : start + 256]
+                part = part[self.component[part] != self.component[one]]
+                if not len(part):
+                    continue
+                whole = np.concatenate([self.sets[k] for k in part])
+                at = np.searchsorted(own, whole)
+                hit = own[np.minimum(at, len(own) - 1)] == whole
+                shared = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *self.sizes[part[:-1]]]))
+                for k in part[enough(shared, len(own), self.sizes[part], self.percent)]:
+                    if self.component[k] != self.component[one]:
+                        self.component[self.component == self.component[k]] = self.component[one]
+                        self.found.append((int(one), int(k)))
+
+
+def _units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Runs of rows that agree in the first columns, from batches that are sorted by them."""
     key, run = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        columns = [c.to_pylist() if not pa.types.is_binary(c.type) else list(c) for c in batch.columns]
+        for row in zip(*columns, strict=True):
             if row[:keys] != key:
                 if len(run) > 1:
                     yield run
@@ -187,137 +238,143 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield run
 
 
-def _candidates(grouped: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """(a, b) from rows (leader, key, left, right, node, n, component, bits, side), a block pair for each key, left and right.
+def _linked(units: DataFrame, percent: int) -> DataFrame:
+    """(a, b), links of classes, from rows (leader, low, high, k, side, component, own): the blocks low and high of a leader's group.
 
-    Copies meet under many keys. The groups of these mostly have the same smallest node, their leader, and go to the
-    task of their leader, which gives each pair once.
+    With low 0 all pairs of these blocks count, else those between the two.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: set[tuple[int, int]] = set()
-        for group in _groups(batches, 4):
-            group.sort(key=lambda r: (r[5], r[4]))
-            nodes, sizes = [r[4] for r in group], np.array([r[5] for r in group], np.int64)
-            bitmaps = np.frombuffer(b"".join(r[7] for r in group), np.uint64).reshape(len(group), -1)
-            _, component = np.unique(np.array([r[6] for r in group], np.int64), return_inverse=True)
-            sides = np.array([r[8] for r in group])
-            across = (lambda i, j: sides[i] != sides[j]) if group[0][2] != group[0][3] and not spanning else None  # noqa: B023
-            for i, j in SignatureTree(sizes, bitmaps).candidates(component, spanning, percent, across):
-                pending.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-            if len(pending) >= 200_000:
-                yield _edges(pending)
-                pending = set()
-        if pending:
-            yield _edges(pending)
-
-    ordered = grouped.repartition("leader", "left", "right").sortWithinPartitions("leader", "key", "left", "right")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
-
-
-def _edges(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*sorted(pairs), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _dealt(members: DataFrame, classes: DataFrame, block: int, spanning: bool) -> DataFrame:
-    """The rows of each block pair. members: (leader, key, node, count, component); counts beyond `block` make several blocks."""
-    parts = F.ceil(F.col("count") / block).cast("long")
-    side = F.pmod(F.xxhash64("node"), parts)
-    others = F.sequence(F.lit(0).cast("long"), parts - 1)
-    if spanning:  # with itself, and with the first block
-        others = F.when(side == 0, others).otherwise(F.array(F.lit(0).cast("long"), side))
-    # A block is on the left of the pairs with later ones and on the right of those with earlier ones.
-    dealt = members.withColumn("side", side).withColumn("other", F.explode(F.array_distinct(others)))
-    dealt = dealt.select("leader", "key", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "node", "component", "side")
-    return dealt.join(classes.select("node", "n", "bits"), "node").select("leader", "key", "left", "right", "node", "n", "component", "bits", "side")
-
-
-def _filter(nodes: DataFrame) -> tuple[bytes, int]:
-    """A bitmap of the hashes of nodes, and how many bits it has: 16 for each node, from 2**16 to 2**27 (16 MB)."""
-    bits = 1 << min(27, max(16, (16 * nodes.count()).bit_length()))
-    place = F.pmod(F.xxhash64("node"), F.lit(bits))
-    parts = nodes.groupBy(F.floor(place / 32768).alias("at")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(32768))).alias("bits"))
+        for unit in _units(batches, 3):
+            sets = [np.frombuffer(r[6].as_buffer(), np.uint64) for r in unit]
+            sides = np.array([r[4] for r in unit]) if unit[0][1] else None
+            found = Group(sets, np.array([r[5] for r in unit], np.int64), percent, sides).links()
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([unit[i][3] for i in x], pa.int64()) for x in (a, b)], ["a", "b"])
+
+    columns = ["leader", "low", "high", "k", "side", "component", "own"]
+    tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.sparkSession.sparkContext.defaultParallelism)
+    dealt = units.select(*columns).repartition(tasks, "leader", "low", "high").sortWithinPartitions("leader", "low", "high")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _filter(places: DataFrame) -> tuple[bytes, int]:
+    """A bitmap of hashes (h), and how many bits it has: 16 for each, from 2**16 to 2**27 (16 MB)."""
+    bits = 1 << min(27, max(16, (16 * places.count()).bit_length()))
+    place = F.pmod("h", F.lit(bits))
+    parts = places.groupBy(F.floor(place / 32768).alias("at")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(32768))).alias("bits"))
     out = bytearray(bits // 8)
     for r in parts.collect():
         out[r["at"] * 4096 : (r["at"] + 1) * 4096] = r["bits"]
     return bytes(out), bits
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) those that link, by their whole sets. docs: (node, text).
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(k, own): the whole sets of the wanted classes (k, h: the row that stands for each). docs: (h, text).
 
-    Texts are not shuffled: a broadcast filter of bounded size passes the documents of the pairs and some others,
-    and their sets go into the joins.
+    Texts are not shuffled: a broadcast filter of bounded size passes the wanted rows and some others, whose sets the
+    join drops.
     """
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    passed, bits = _filter(ends)
+    passed, bits = _filter(wanted)
     shared = docs.sparkSession.sparkContext.broadcast(passed)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             place = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x.as_py(), width).tobytes() for x in part.column(1)], pa.binary())], ["node", "own"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x.as_py(), width).tobytes() for x in part.column(1)], pa.binary())], ["h", "own"])
 
-    placed = docs.where("node is not null").select("node", "text", F.pmod(F.xxhash64("node"), F.lit(bits)).alias("place"))
-    own = checkpoint(placed.mapInArrow(sets, "node long, own binary"))
-    left, right = own.select(F.col("node").alias("a"), F.col("own").alias("x")), own.select(F.col("node").alias("b"), F.col("own").alias("y"))
+    own = docs.select("h", "text", F.pmod("h", F.lit(bits)).alias("place")).mapInArrow(run, "h long, own binary")
+    return wanted.join(own.groupBy("h").agg(F.first("own").alias("own")), "h").select("k", "own")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(enough(len(p) + len(q) - len(np.union1d(p, q)), len(p), len(q), percent))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+def _hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, text and h, which tells apart rows of other ids or texts."""
+    slim = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+    return slim.withColumn("h", F.xxhash64("doc_id", "text"))
 
 
-def classes_of(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Every document (doc_id, n, f, g: its set's size and fingerprints) and the classes (node, n, f, g, keys, bits)."""
+def classes_of(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, h, n, k: its set's size and fingerprint, null without words) and the classes (k, n, doc_id, h, keys).
+
+    docs: (doc_id, text, h). A class's doc_id is its smallest, its h that of a row of this id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "f", "g", "keys", "bits"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        names = ["doc_id", "h", "n", "f", "g", "keys"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part, rows = batch.slice(start, 1000), []
-                for x in part.column(1):
+                for x in part.column(2):
                     own = shingles(x.as_py(), width)
-                    rows.append((len(own), *(sketch(own) if len(own) else (0, 0, [], b""))))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+                    rows.append((len(own), *(sketch(own) if len(own) else (0, 0, []))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
-    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    all_docs = checkpoint(slim.mapInArrow(run, "doc_id long, n long, f long, g long, keys array<long>, bits binary"))
-    first = F.min(F.struct("doc_id", "keys", "bits")).alias("first")
-    classes = all_docs.where("n > 0 and doc_id is not null").groupBy("n", "f", "g").agg(first)
-    return all_docs.select("doc_id", "n", "f", "g"), checkpoint(classes.select(F.col("first.doc_id").alias("node"), "n", "f", "g", "first.keys", "first.bits"))
+    found = docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n long, f long, g long, keys array<long>")
+    rows = checkpoint(found.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.xxhash64("n", "f", "g")).alias("k"), "keys"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "keys")).alias("first")
+    classes = rows.where(F.col("k").isNotNull()).groupBy("k", "n").agg(first)
+    return rows.drop("keys"), checkpoint(classes.select("k", "n", "first.doc_id", "first.h", "first.keys"))
 
 
-def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 75, block: int = 2048) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row.
+def linked_rows(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 75, block: int = 2048, most: int = 4_000_000) -> DataFrame:
+    """doc_id, h (tells apart rows of other ids or texts), n_shingles, component (null without words), component_id and kept_h of every row.
 
-    percent: documents link when 100 * |intersection| >= percent * |union|.
+    percent: documents link when 100 * |intersection| >= percent * |union|. component_id: the smallest doc_id of the
+    component; kept_h: the h of a row of this id.
     """
-    all_docs, classes = classes_of(docs, id_column=id_column, text_column=text_column, width=width)
-    texts = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text"))
-    keyed = classes.select(F.explode("keys").alias("key"), "node")
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("leader")).where(F.col("count") > 1)
-    shared = checkpoint(keyed.join(counts, "key"))
-    first = checkpoint(_candidates(_dealt(shared.withColumn("component", F.col("node")), classes, block, True), percent, True))
-    links = checkpoint(_verified(first, texts, width, percent))
+    hashed = _hashed(docs, id_column, text_column)
+    rows, classes = classes_of(hashed, width)
+    keyed = classes.select(F.explode("keys").alias("key"), "k", "n", "h")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("k").alias("leader")).where("count > 1").drop("count")
+    routes = checkpoint(keyed.join(counts, "key").select("leader", "k", "n", "h").distinct())
+    sets = checkpoint(_sets(hashed, routes.select("k", "h").distinct(), width))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / most)).cast("int")
+    large = routes.groupBy("leader").agg(blocks.alias("blocks"))
+    side = F.pmod(F.xxhash64("k", "leader"), F.col("blocks")).cast("int")
+    placed = checkpoint(routes.join(large, "leader").select("leader", "k", "blocks", side.alias("side")))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("side") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("side"))
+    first = placed.join(sets, "k").select("leader", F.lit(0).alias("low"), F.explode(others).alias("high"), "k", "side", F.col("k").alias("component"), "own")
+    links = checkpoint(_linked(first, percent))
     parts = connected_components(links)
-    placed = shared.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    again = _candidates(_dealt(placed.join(split, "key"), classes, block, False), percent, False)
-    rest = checkpoint(again.join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        parts = connected_components(links.unionByName(_verified(rest, texts, width, percent)))
-    known = classes.select("n", "f", "g", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    whole = all_docs.join(known, ["n", "f", "g"], "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    beyond = placed.where("blocks > 2 and side > 0").join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    of_block = beyond.groupBy("leader", "side").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    of_block = checkpoint(of_block.join(of_block.groupBy("leader").agg(F.min("x").alias("_x"), F.max("y").alias("_y")).where("_x <> _y"), "leader"))
+    if not of_block.isEmpty():
+        low, high = (of_block.select("leader", F.col("side").alias(s), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}")) for s in ("low", "high"))
+        pairs = low.join(high, "leader").where("low < high and least(x_low, x_high) <> greatest(y_low, y_high)").select("leader", "low", "high")
+        units = pairs.withColumn("side", F.explode(F.array("low", "high"))).join(beyond, ["leader", "side"]).join(sets, "k")
+        parts = connected_components(links.unionByName(_linked(units, percent)))
+    known = classes.join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    least = known.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"))
+    known = known.select("k", "component").join(least, "component").select("k", "component", F.col("least.doc_id").alias("component_id"), F.col("least.h").alias("kept_h"))
+    whole = rows.join(known, "k", "left")
+    return whole.select("doc_id", "h", F.col("n").alias("n_shingles"), "component", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "kept_h")
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row."""
+    return linked_rows(docs, **how).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
+    """The rows of docs, with all their columns, but one of each component: a row of its smallest id.
+
+    Rows without words all stay. Of rows that repeat an id and text (with words), one stays.
+    """
+    found = linked_rows(docs, id_column=id_column, text_column=text_column, **how).where("component is not null").select("h", "kept_h")
+    found = checkpoint(found.groupBy("h").agg(F.first("kept_h").alias("kept_h"), F.count(F.lit(1)).alias("count")))
+    h, again = unused(docs.columns, "h"), unused(docs.columns, "again")
+    own = docs.withColumn(h, F.xxhash64(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`")))
+    kept = own.join(found.where("h <> kept_h").select(F.col("h").alias(h)), h, "left_anti")
+    repeated = found.where("h = kept_h and count > 1").select(F.col("h").alias(h), F.lit(True).alias(again))
+    if repeated.isEmpty():
+        return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = kept.join(repeated, h, "left")
+    whole = marked.where(F.col(again).isNull()).unionByName(marked.where(again).dropDuplicates([h]))
+    return whole.select(*(F.col(f"`{c}`") for c in docs.columns))
