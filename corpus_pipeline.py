@@ -5,9 +5,8 @@ next stage's docs. All stages but the last return the columns of documents; rows
 the later ones, and a document that the mix takes twice has two rows from then on.
 
 Rejections: quality and toxicity learn from the labels of `sf_dir` for the rows of their own input, by the same folds as the
-queries of these operators. Near duplicates: the document of the smallest doc_id stays for each group of linked
-documents. Rows that share a doc_id go together, and one of those with the same text stays; rows with a null doc_id
-stay. The mix takes no document without words.
+queries of these operators. Near duplicates: one row stays for each group of linked documents, one of the smallest doc_id
+that is not null; documents without words all stay. The mix takes no document without words.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdict.llm import byte_bpe, jaccard_join, mixing, quality_mil, toxicity_crf
-from verdict.llm.common import checkpoint, fold, table
+from verdict.llm.common import fold, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +36,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    found = checkpoint(jaccard_join.near_duplicates(docs))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if repeated.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    return jaccard_join.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
