@@ -139,14 +139,120 @@ def test_lm_counts_and_probabilities(spark):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
-def test_lm_sums_to_one(spark, small):
-    texts = spark.read.parquet(f"{small}/documents.parquet").select("text")
-    model, rest = pitman_yor.fit(texts)
-    rare = rest.collect()
-    for u in (0, 5, pitman_yor.CONTEXTS):
-        total = (10.0 ** model.table[u]).sum() + model.unknown * model.back_off[u]
-        total += sum(dict(zip(r["u"], np.frombuffer(r["p"]), strict=True)).get(u, r["root_p"] * model.back_off[u]) for r in rare)
-        assert total == pytest.approx(1.0, abs=0.03)
+def test_lm_every_context_sums_to_one(spark, monkeypatch):
+    """The scores of one and two words give, for every context, the probabilities of all that may follow it."""
+    monkeypatch.setattr(pitman_yor, "BUCKET", 60)
+    monkeypatch.setattr(pitman_yor, "HOT", 6)
+    rng = np.random.default_rng(8)
+    vocabulary = ["the", "a", "x", "yy", "zzz", "q", "r", "s"]
+    texts = [(None, " ".join(rng.choice(vocabulary, 12, p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.05, 0.03, 0.02]))) for _ in range(60)]
+    every = [*vocabulary, "unknown"]
+    asked = ["", *every, *(f"{a} {b}" for a in every for b in every)]
+    docs = spark.createDataFrame(texts + list(enumerate(asked)), "doc_id long, text string")
+    out = pitman_yor.score(docs, F.col("doc_id").isNull()).where("doc_id is not null").collect()
+    p = {asked[r["doc_id"]]: 10 ** r["score"] for r in out}
+    # With y(a) the probability of a first word a: y(a) = sum over b of p(a b) / p(b) * y(b) + p(a).
+    n = len(every)
+    m = np.array([[p[f"{a} {b}"] / p[b] for b in every] for a in every])
+    y = np.linalg.solve(np.eye(n) - m, np.array([p[a] for a in every]))
+    assert y.sum() + p[""] == pytest.approx(1, abs=1e-4)
+
+
+def sequential_sampler(texts, sweeps, burn, discount, root_discount, seed):
+    """A plain sampler of the same model, one customer at a time with everything up to date; mean probabilities by pair."""
+    rng = np.random.default_rng(seed)
+    tokens = [(a, b) for t in texts for a, b in itertools.pairwise(["", *t.split(), ""])]
+    known = sorted({b for _, b in tokens})
+    base = 1 / (len(known) + 1)
+    rooms, root = {}, {}
+
+    def p_root(w):
+        k, t = sum(map(sum, root.values())), sum(map(len, root.values()))
+        own = root.get(w, [])
+        return (sum(own) - root_discount * len(own) + (pitman_yor.STRENGTH_ROOT + root_discount * t) * base) / (pitman_yor.STRENGTH_ROOT + k)
+
+    def sit(tables, d, fresh):
+        x = rng.random() * (sum(tables) - d * len(tables) + fresh)
+        for i, n in enumerate(tables):
+            x -= n - d
+            if x < 0:
+                tables[i] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        i = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[i] -= 1
+        if not tables[i]:
+            del tables[i]
+            return True
+        return False
+
+    def add(u, w):
+        own = rooms.setdefault(u, {})
+        if sit(own.setdefault(w, []), discount, (pitman_yor.STRENGTH + discount * sum(map(len, own.values()))) * p_root(w)):
+            t = sum(map(len, root.values()))
+            sit(root.setdefault(w, []), root_discount, (pitman_yor.STRENGTH_ROOT + root_discount * t) * base)
+
+    for u, w in tokens:
+        add(u, w)
+    total = {}
+    for i in range(sweeps):
+        for u, w in tokens:
+            if leave(rooms[u][w]):
+                leave(root[w])
+            add(u, w)
+        if i >= burn:
+            for u in rooms:
+                c, t = sum(map(sum, rooms[u].values())), sum(map(len, rooms[u].values()))
+                for w in known:
+                    own = rooms[u].get(w, [])
+                    q = (sum(own) - discount * len(own) + (pitman_yor.STRENGTH + discount * t) * p_root(w)) / (pitman_yor.STRENGTH + c)
+                    total[u, w] = total.get((u, w), 0) + q / (sweeps - burn)
+    return total
+
+
+def test_lm_agrees_with_a_sequential_sampler(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["the", "a", "b", "c", "d"]
+    texts = [" ".join(rng.choice(words, 8, p=[0.5, 0.2, 0.1, 0.1, 0.1])) for _ in range(40)]
+    monkeypatch.setattr(pitman_yor, "_discounted", lambda one, two: 0.6)
+    docs = spark.createDataFrame([(None, t) for t in texts] + list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id").isNull(), burn_in=20, samples=40).where("doc_id is not null").collect()}
+    p = sequential_sampler(texts, 150, 30, 0.6, 0.6, 1)
+    want = [sum(np.log10(p[x]) for x in itertools.pairwise(["", *t.split(), ""])) for t in texts]
+    np.testing.assert_allclose([got[i] for i in range(len(texts))], want, rtol=0.02)  # samples of both vary by about 0.01
+
+
+def test_seating_keeps_the_distribution_of_tables():
+    """Tables of one pair of four customers, after sweeps, against the probabilities of all seatings."""
+    d, fresh, n = 0.4, 0.7, 20_000
+    s = pitman_yor.Seating(np.full(n, 4))
+    draw = np.random.default_rng(1)
+    for _ in range(12):
+        s.sweep(d, lambda pairs, emptied: np.full(len(pairs), fresh), lambda pairs, x: None, draw)
+    assert len(s.sizes) == s.t.sum() and s.sizes.sum() == 4 * n
+    # Partitions of four customers in t tables: the weight is fresh per table and (1 - d)(2 - d)... within each.
+    rise = {1: 1.0, 2: 1 - d, 3: (1 - d) * (2 - d), 4: (1 - d) * (2 - d) * (3 - d)}
+    weight = {1: fresh * rise[4], 2: fresh**2 * (4 * rise[3] + 3 * rise[2] ** 2), 3: fresh**3 * 6 * rise[2], 4: fresh**4}
+    got = np.bincount(s.t, minlength=5)[1:] / n
+    np.testing.assert_allclose(got, [weight[t] / sum(weight.values()) for t in range(1, 5)], atol=0.02)
+    begun = pitman_yor.Seating(np.array([2, 70, 5000])).seat(d, np.array([0.1, 3.0, 50.0]), draw)
+    assert np.add.reduceat(begun.sizes, np.cumsum(begun.t) - begun.t).tolist() == [2, 70, 5000] and begun.sizes.min() >= 1
+
+
+def test_lm_hot_pairs_and_dealt_contexts(spark, monkeypatch):
+    """A pair and a context of a third of all tokens: counts are whole, and the score is that of one bucket."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(["ha", "ho"] * 15 + list(rng.choice([f"w{i}" for i in range(30)], 10))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    whole = {r["doc_id"]: r for r in pitman_yor.score(docs, F.col("doc_id") % 5 != 1, burn_in=5, samples=25).collect()}
+    monkeypatch.setattr(pitman_yor, "BUCKET", 300)
+    dealt = {r["doc_id"]: r for r in pitman_yor.score(docs, F.col("doc_id") % 5 != 1, burn_in=5, samples=25).collect()}
+    for i, r in whole.items():
+        assert dealt[i][:4] == r[:4] and dealt[i]["base_score"] == pytest.approx(r["base_score"], rel=1e-9)
+        assert dealt[i]["score"] == pytest.approx(r["score"], rel=0.02)
 
 
 def test_lm_without_texts(spark):
@@ -157,26 +263,10 @@ def test_lm_without_texts(spark):
 
 
 def test_lm_has_a_restaurant_for_every_preceding_word(spark):
-    n = 3 * pitman_yor.CONTEXTS
+    n = 200
     texts = [(None, f"x{i} y{i}") for i in range(n) for _ in range(5)]
     asked = [(i, f"x{i} y{i}") for i in range(n)] + [(n + i, f"x{i} y{(i + 1) % n}") for i in range(n)]
     docs = spark.createDataFrame(texts + asked, "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id").isNull()).where("doc_id is not null").collect()}
     assert len(got) == 2 * n
     assert all(got[i] > got[n + i] + 0.5 for i in range(n))
-
-
-def test_lm_every_context_sums_to_one(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.lit(True).alias("train"), "text")
-    model, seats, contexts, vocabulary, discount = pitman_yor._fit(docs, 2, 3)
-    seen = {}
-    for t in docs.collect():
-        own = [" end", *(t["text"] or "").encode().lower().split(), " end"]
-        for pair in itertools.pairwise(own):
-            seen[pair] = seen.get(pair, 0) + 1
-    assert seats.agg(F.count(F.lit(1)), F.sum("c")).first() == (len(seen), sum(seen.values()))
-    assert contexts.count() == len({u for u, _ in seen}) > pitman_yor.CONTEXTS
-    whole = vocabulary.agg(F.sum("p_root")).first()[0] + model.unknown
-    own = (F.sum("c") - discount * F.sum("t")) / (pitman_yor.STRENGTH + F.first("customers"))
-    sums = seats.join(contexts, "u").groupBy("u").agg((own + whole * F.first("back_off")).alias("p"))
-    assert sums.where("abs(p - 1) > 1e-6").count() == 0

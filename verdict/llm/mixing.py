@@ -1,6 +1,7 @@
 """Operator 8, mixing sources to target weights by weighted fair queueing, with DataFrame functions alone.
 
-A document's size is its number of words. Each source's documents are shuffled (by the MD5 of their ids) and
+A document's size is its number of words. Each source's documents are shuffled (by the MD5 of their ids, of the text where
+the id is null) and
 queued twice over; an item's virtual finish time is the words its source has sent up to and including it, divided
 by the source's target. All items are taken in the order of that time, until the budget is spent, so every source
 advances at the pace of its target and no document is taken more than twice.
@@ -8,12 +9,15 @@ advances at the pace of its target and no document is taken more than twice.
 Targets: sources in code point order (null last) get the weights in turn and share `share` times all words; a
 target stops at `repeats` times its source's size, and what it leaves is reshared by weight until none is above.
 
-Running sums never gather a source in one task: documents are cut into ranges of their shuffle key, ranges are
-summed first, and a document adds its range's offset to the sum within its range. The cut is found the same way
-over ranges of the finish time. The number of ranges follows the number of rows and does not change any result.
+Running sums never gather a source in one task: documents are cut into ranges of their shuffle key, and these into
+coarser ones. Sums of ranges are added up within the coarser range, those of coarser ranges within the source, and a
+document adds its range's offset to the sum within its range. The cut is found the same way over ranges of the
+finish time. The number of ranges follows the number of rows and does not change any result. The sources themselves, a
+row each, are ordered in one task.
 
 Null text has size 0. A null source is a source of its own. Rows of size 0 are never taken. Repeated rows are
-documents each. An empty table gives an empty result. Columns of any name pass through `mixed`.
+documents each; rows that share an id are in order of size, then of a hash of the text. An empty table gives an empty
+result. Other columns pass through `apply_mix` whatever their names.
 """
 
 from __future__ import annotations
@@ -53,34 +57,43 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: i
 
 def _timed(keyed: DataFrame, offsets: DataFrame) -> DataFrame:
     """keyed with _first and _second: the finish times of a document's two items."""
-    within = Window.partitionBy("_rank", "_range").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_rank", "_range").orderBy("_key", "_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     x = keyed.join(offsets, keyed["_source"].eqNullSafe(offsets["_of"]) & (keyed["_range"] == offsets["_at"]), "left").drop("_of", "_at")
     sent = F.col("_offset") + F.sum("_size").over(within)
     return x.withColumn("_first", F.try_divide(sent.cast("double"), "_target")).withColumn("_second", F.try_divide((F.col("_total") + sent).cast("double"), "_target"))
 
 
-def mixed(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """Every row of docs with _size, _total (its source's words), _target (its source's) and _taken (words taken)."""
+def _offsets(ranges: DataFrame, coarse: int) -> DataFrame:
+    """ranges (_source, _range, _sum) with _offset, the words of the source's ranges before; coarse: digits of a coarser range."""
+    wide = F.substring("_range", 1, coarse)
+    until = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("_source", wide.alias("_wide")).agg(F.sum("_sum").alias("_sum"))
+    sums = sums.select(F.col("_source").alias("_of"), "_wide", F.coalesce(F.sum("_sum").over(until("_source").orderBy("_wide")), F.lit(0)).alias("_before"))
+    own = ranges.withColumn("_own", wide)
+    own = own.withColumn("_offset", F.coalesce(F.sum("_sum").over(until("_source", "_own").orderBy("_range")), F.lit(0)))
+    both = own.join(sums, own["_source"].eqNullSafe(sums["_of"]) & (own["_own"] == sums["_wide"]))
+    return both.select("_source", "_range", (F.col("_offset") + F.col("_before")).alias("_offset"))
+
+
+def mixed(docs: DataFrame, kept: list[str], *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """Of every row of docs: _row, a struct of its kept columns, _size, _total (its source's words), _target (its source's) and _taken (words taken)."""
     if repeats != 2:
         raise ValueError("items are queued twice")
     rows = docs.count()
     digits = max(1, math.ceil(math.log(max(1, rows / 20_000), 16)) + 1)
-    key = F.md5(F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).cast("binary"))
-
-    def keyed(x: DataFrame) -> DataFrame:
-        return x.withColumn("_source", F.col(f"`{source_column}`")).withColumn("_size", word_count(F.col(f"`{text_column}`"))).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, digits))
-
-    slim = checkpoint(keyed(docs).select("_source", "_size", "_key", "_range"))
+    doc_id, text = F.col(f"`{id_column}`").cast("string"), F.col(f"`{text_column}`")
+    key = F.md5(F.coalesce(doc_id, text, F.lit("")).cast("binary"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(f"`{source_column}`").alias("_source"), word_count(text).alias("_size"), key.alias("_key"), F.xxhash64(text).alias("_tie"))
+    keyed = own.withColumn("_range", F.substring("_key", 1, digits))
+    slim = checkpoint(keyed.drop("_row"))
     ranges = slim.groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
     sources = checkpoint(targets(ranges.groupBy("_source").agg(F.sum("_sum").alias("_total")), weights, share, repeats))
-    so_far = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_offset", F.coalesce(F.sum("_sum").over(so_far), F.lit(0)))
-    offsets = offsets.join(sources.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of")))
+    offsets = _offsets(ranges, (digits + 1) // 2).join(sources.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of")))
     offsets = checkpoint(offsets.select("_of", F.col("_range").alias("_at"), "_offset", "_rank", "_total", "_target"))
     time, rank = _cut(_timed(slim, offsets), share * (sources.agg(F.sum("_total")).first()[0] or 0), 1 << math.ceil(math.log2(max(1024, 16 * math.sqrt(rows)))))
     last = F.struct(F.lit(time).cast("double"), F.lit(rank).cast("int"))
     taken = sum((F.when(F.struct(F.col(c), F.col("_rank")) <= last, F.col("_size")).otherwise(F.lit(0)) for c in ("_first", "_second")), F.lit(0).cast("long"))
-    return _timed(keyed(docs), offsets).withColumn("_taken", taken).drop("_source", "_key", "_range", "_offset", "_rank", "_first", "_second")
+    return _timed(keyed, offsets).select("_row", "_size", "_total", "_target", taken.alias("_taken"))
 
 
 def _cut(timed: DataFrame, budget: float, per_unit: int) -> tuple[float, int]:
@@ -103,24 +116,23 @@ def _cut(timed: DataFrame, budget: float, per_unit: int) -> tuple[float, int]:
     return (last["_time"], last["_rank"]) if last else (at["_step"] / per_unit, -1)
 
 
-def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **how) -> DataFrame:
+def mix(docs: DataFrame, *, id_column: str = "doc_id", **how) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    slim = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"), F.col(f"`{source_column}`").alias("source"))
-    x = mixed(slim, **how)
-    return x.select("doc_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    x = mixed(docs, [id_column], id_column=id_column, **how)
+    return x.select(F.col(f"_row.`{id_column}`").alias("doc_id"), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    x = mixed(docs, **how)
+    x = mixed(docs, docs.columns, **how)
     times = F.when(F.col("_size") > 0, (F.col("_taken") / F.col("_size")).cast("int")).otherwise(0)
-    return x.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return x.select("_row", F.explode(F.array_repeat(F.lit(1), times))).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 MIX_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS key
+         md5(coalesce(doc_id::VARCHAR, text, '')) AS key
   FROM documents),
 ranked AS (
   SELECT source, total, row_number() OVER (ORDER BY source NULLS LAST) AS rank, 2 * total AS filled
