@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdict.llm import pitman_yor, quality_mil, registry, toxicity_crf
-from verdict.llm.common import fold
+from verdict.llm.common import fold, words
 
 SCHEMA = "doc_id long, text string, score string, spans string, label int"
 
@@ -270,3 +270,17 @@ def test_lm_has_a_restaurant_for_every_preceding_word(spark):
     got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id").isNull()).where("doc_id is not null").collect()}
     assert len(got) == 2 * n
     assert all(got[i] > got[n + i] + 0.5 for i in range(n))
+
+
+def test_lm_chunks_split_as_words_do():
+    import pyarrow as pa
+    import xxhash
+
+    rng = np.random.default_rng(2)
+    letters = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", " ", "A", "z", "É", "ß", "漢", "-"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(400)] + [None, "", "   ", "x" * 10_000]
+    chunk = pitman_yor.Chunk([()] * len(texts), [pa.array(texts[:100], pa.string()), pa.array(texts[100:], pa.string())], pitman_yor._Coder({}))
+    code = lambda w: xxhash.xxh3_64_intdigest(w) >> 1 | 1 << 63
+    want = [[*(code(w) for w in words(t)), code(" end")] for t in texts]
+    assert chunk.codes[chunk.w].tolist() == [c for own in want for c in own]
+    assert chunk.codes[chunk.u].tolist() == [c for own in want for c in [code(" end"), *own[:-1]]]
