@@ -144,6 +144,21 @@ def test_search_agrees_with_brute_force(spark):
     assert exact_topk.search(table.where("false"), table["vec_id"] == 0).count() == 0
 
 
+def test_search_with_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i // 2 * 2 if i < 40 else i, [float(x) for x in rng.normal(size=6).round(2)], 0, 1) for i in range(120)]
+    rows += rows[:3]
+    table = vectors(spark, rows)
+    wide = table.select("*", *(F.lit(1).alias(c) for c in ("id", "vector", "raw", "cutoff", "is_query", "rank")))
+    got = sorted(tuple(r) for r in exact_topk.search(wide, F.col("vec_id") % 20 == 0, k=5, rows_in_block=16, queries_in_block=3).collect())
+    whole = [(i, np.floor(1024 * np.array(v, np.float32).astype(np.float64)).astype(int)) for i, v, *_ in rows]
+    want = []
+    for query in {i for i, _ in whole if i % 20 == 0}:
+        best = sorted((-int(a @ b), j) for i, a in whole if i == query for j, b in whole if j != query)[:5]
+        want += [(query, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_large_scores_are_exact(spark):
     table = vectors(spark, [(0, [2.0e6, 1.0], 0, 1), (1, [2.0e6, 1.0], 0, 1), (2, [2.0e6, 2.0], 0, 1)])
     got = [tuple(r) for r in exact_topk.search(table, table["vec_id"] == 0).collect()]

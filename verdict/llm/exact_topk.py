@@ -3,16 +3,19 @@
 Vectors become integers, floor(scale * x). A score is the sum of `parts` partial scores, one for each equal slice
 of the dimensions. Rows lie in blocks, queries in blocks, and each pair of blocks is a unit of work.
 
-1. Each block lists, for each query and slice, its k best rows by that slice's partial score and completes their
-   scores: k complete scores of a query bound its k-th best score from below.
-2. The best such bound, the cutoff, goes out with the queries. A row whose score reaches the cutoff has a slice that
-   reaches cutoff / parts; each block collects the rows for which some slice does. No other row can be in a result.
-3. The collected rows' remaining slices are added; those that reach the cutoff are ranked, ties to the smaller id.
+1. Each unit gives, for each query, its k best scores among the first rows of the block (an eighth of them): local
+   lists. The k-th best of all lists bounds a query's k-th best score from below.
+2. This bound, the cutoff, goes out with the queries. A unit adds slice after slice; a score so far plus the product of the
+   lengths of what is left of both vectors bounds a score from above. Rows and queries without a pair that may reach
+   its cutoff are left out of the next slice.
+3. Once few pairs are left, their remaining slices are added pair by pair; scores that reach the cutoff are ranked, ties
+   to the smaller id.
 
 Products are taken in double precision only where every partial sum is an integer below 2**53, else in Python
 integers, so scores are exact; one beyond 64 bits raises an error. A query's own row is no candidate (same id).
 Rows with a null id, a null vector, null or non-finite components, or another length than the query's take no part;
-repeated ids are candidates each. With fewer than k candidates a query has all of them; an empty table has no rows.
+repeated ids are candidates each, and rows that repeat a query's id are ranked as one query, scores of both together. With
+fewer than k candidates a query has all of them. Other columns are ignored, whatever their names. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from verdict.llm.common import checkpoint
 
-#: Rows of a block of candidates and of a block of queries at most, on average.
-ROWS, QUERIES = 16384, 512
+#: Rows of a block of candidates and of a block of queries at most, on average; the share of a block's rows in local lists.
+ROWS, QUERIES, SHARE = 16384, 512, 8
 #: The cutoff of a query that has none.
 NONE = -(2**63)
 
@@ -48,11 +51,11 @@ def _blocks(rows: DataFrame, name: str, count: int) -> DataFrame:
 
 def search(table: DataFrame, is_query: Column, *, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 10, scale: int = 1024, parts: int = 4, rows_in_block: int = ROWS, queries_in_block: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best rows of each query (a row for which is_query holds)."""
-    named = table.select(F.col(id_column).cast("long").alias("id"), F.transform(vector_column, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.transform(vector_column, lambda x: x.cast("double")).alias("raw"))
+    named = table.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.transform(F.col(f"`{vector_column}`"), lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.transform(F.col(f"`{vector_column}`"), lambda x: x.cast("double")).alias("raw"))
     fit = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     fitting = named.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & fit).drop("raw")
     rows = checkpoint(fitting.withColumn("cutoff", F.lit(NONE)))
-    queries = rows.where("is_query").groupBy("id").agg(F.min("vector").alias("vector"))
+    queries = rows.where("is_query").select("id", "vector")
     n, n_queries = rows.count(), queries.count()
     row_blocks, query_blocks = -(-n // rows_in_block) or 1, -(-n_queries // queries_in_block) or 1
     candidates = checkpoint(_blocks(rows, "row_block", row_blocks)).drop("cutoffs")
@@ -74,7 +77,7 @@ def search(table: DataFrame, is_query: Column, *, id_column: str = "vec_id", vec
 
         return pairs.repartition(row_blocks * query_blocks).mapInPandas(run, schema)
 
-    bounds = work(queries.withColumn("cutoff", F.lit(NONE)), lambda *x: _bounds(*x, k=k, parts=parts), "query_id long, score long")
+    bounds = work(queries.withColumn("cutoff", F.lit(NONE)), lambda *x: _bounds(*x, k=k), "query_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
     cutoffs = bounds.withColumn("at", F.row_number().over(best)).where(F.col("at") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
     again = queries.join(cutoffs, "id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NONE)))
@@ -92,37 +95,48 @@ def _of_length(ids, sizes, flat, length) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.asarray(ids, np.int64)[at], flat.reshape(len(at), length), at
 
 
-def _partials(vectors: np.ndarray, queries: np.ndarray, parts: int) -> list[np.ndarray]:
-    """For each slice of the dimensions the partial scores, queries by rows."""
+def _pair(vectors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     both = _integers(np.vstack([vectors, queries]))
-    v, q = both[: len(vectors)], both[len(vectors) :]
-    edges = np.linspace(0, v.shape[1], parts + 1).astype(int)
-    return [q[:, a:b] @ v[:, a:b].T for a, b in zip(edges, edges[1:], strict=False)]
+    return both[: len(vectors)], both[len(vectors) :]
 
 
-def _bounds(ids, vectors, query_ids, queries, _, *, k: int, parts: int) -> pd.DataFrame:
-    """Phase 1: the k best complete scores among the rows that a slice's list of k holds."""
-    partial, out = _partials(vectors, queries, parts), []
+def _bounds(ids, vectors, query_ids, queries, _, *, k: int) -> pd.DataFrame:
+    """Phase 1: the k best scores of each query among the first rows."""
+    few = max(k + 1, len(ids) // SHARE)
+    v, q = _pair(vectors[:few], queries)
+    scores, out = q @ v.T, []
     for i, query in enumerate(query_ids):
-        others = np.flatnonzero(ids != query)
-        listed: set[int] = set()
-        for p in partial:
-            listed.update(others[np.argpartition(-p[i, others].astype(np.float64), k - 1)[:k]] if len(others) > k else others)
-        whole = sorted((int(sum(p[i, j] for p in partial)) for j in listed), reverse=True)[:k]
-        out += [(int(query), s) for s in whole]
+        own = scores[i, ids[:few] != query]
+        out += [(int(query), int(x)) for x in (np.sort(own)[::-1][:k] if own.dtype == object or len(own) <= k else -np.partition(-own, k - 1)[:k])]
     return pd.DataFrame(out, columns=["query_id", "score"])
 
 
 def _reaching(ids, vectors, query_ids, queries, cutoffs, *, parts: int) -> pd.DataFrame:
-    """Phases 2 and 3: the rows of which some slice reaches cutoff / parts, completed, if they reach the cutoff."""
-    partial, out = _partials(vectors, queries, parts), []
-    for i, (query, cutoff) in enumerate(zip(query_ids, cutoffs.tolist(), strict=True)):
-        reach = np.zeros(len(ids), bool)
-        for p in partial:
-            reach |= (p[i] * parts >= cutoff).astype(bool)
-        at = np.flatnonzero(reach & (ids != query))
-        scores = sum((p[i, at] for p in partial), np.zeros(len(at), partial[0].dtype))
-        out += [(int(query), int(ids[j]), int(s)) for j, s in zip(at, scores, strict=True) if s >= cutoff]
+    """Phases 2 and 3: the scores that reach the cutoff of their query."""
+    v, q = _pair(vectors, queries)
+    edges = np.linspace(0, v.shape[1], parts + 1).astype(int)
+    rows, asked = np.arange(len(v)), np.arange(len(q))  # those that still have a pair
+    least, score = cutoffs.astype(np.float64), np.zeros((len(q), len(v)), v.dtype)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        score = score + q[asked, a:b] @ v[rows, a:b].T
+        if b == edges[-1] or v.dtype == object:
+            continue
+        rest = np.outer(np.linalg.norm(q[asked, b:], axis=1), np.linalg.norm(v[rows, b:], axis=1))
+        open_ = score + rest * (1 + 1e-9) + 1 >= least[asked, None]
+        if open_.mean() < 1 / 8:
+            i, j = np.nonzero(open_)
+            i, j, known = asked[i], rows[j], score[i, j]
+            whole = [known[n : n + 65536] + np.einsum("ij,ij->i", q[i[n : n + 65536], b:], v[j[n : n + 65536], b:]) for n in range(0, len(i), 65536)]
+            return _named(ids, query_ids, cutoffs, i, j, np.concatenate(whole) if whole else known)
+        keep_q, keep_v = open_.any(1), open_.any(0)
+        asked, rows, score = asked[keep_q], rows[keep_v], score[np.ix_(keep_q, keep_v)]
+    i, j = np.nonzero(score >= (cutoffs.astype(object) if v.dtype == object else least)[asked, None])
+    return _named(ids, query_ids, cutoffs, asked[i], rows[j], score[i, j])
+
+
+def _named(ids, query_ids, cutoffs, i, j, scores) -> pd.DataFrame:
+    """The pairs of queries i and rows j that are not of one id and reach the cutoff."""
+    out = [(int(query_ids[a]), int(ids[b]), int(s)) for a, b, s in zip(i, j, scores, strict=True) if int(s) >= int(cutoffs[a]) and query_ids[a] != ids[b]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
