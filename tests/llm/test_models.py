@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdict.llm import pitman_yor, quality_mil, registry, toxicity_crf
-from verdict.llm.common import fold, words
+from verdict.llm.common import fold, hashed_words, words
 
 SCHEMA = "doc_id long, text string, score string, spans string, label int"
 
@@ -272,15 +272,26 @@ def test_lm_has_a_restaurant_for_every_preceding_word(spark):
     assert all(got[i] > got[n + i] + 0.5 for i in range(n))
 
 
-def test_lm_chunks_split_as_words_do():
+def test_hashed_words_are_those_of_words():
     import pyarrow as pa
-    import xxhash
 
     rng = np.random.default_rng(2)
-    letters = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", " ", "A", "z", "É", "ß", "漢", "-"]
-    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(400)] + [None, "", "   ", "x" * 10_000]
-    chunk = pitman_yor.Chunk([()] * len(texts), [pa.array(texts[:100], pa.string()), pa.array(texts[100:], pa.string())], pitman_yor._Coder({}))
-    code = lambda w: xxhash.xxh3_64_intdigest(w) >> 1 | 1 << 63
-    want = [[*(code(w) for w in words(t)), code(" end")] for t in texts]
-    assert chunk.codes[chunk.w].tolist() == [c for own in want for c in own]
-    assert chunk.codes[chunk.u].tolist() == [c for own in want for c in [code(" end"), *own[:-1]]]
+    letters = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", " ", "A", "z", "É", "ß", "漢", "-"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(400)] + [None, "", "   ", "x" * 10_000 + " " + "X" * 64 + " " + "x" * 65, "x" * 64, "X" * 65]
+    array = pa.array(["cut off", *texts], pa.string()).slice(1)
+    hashes, counts = hashed_words(array)
+    plain = [words(t) for t in texts]
+    assert counts.tolist() == [len(own) for own in plain]
+    seen = {}
+    for word, h in zip([w for own in plain for w in own], hashes.tolist(), strict=True):
+        assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert [len(x) for x in hashed_words(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_lm_numbers_of_hot_words():
+    hashes = np.unique(np.random.default_rng(3).integers(2, 2**63, 5000, np.uint64))
+    m = pitman_yor.Shared(hashes[:3000])
+    codes = m.numbered(np.concatenate((hashes, hashes[:5])))
+    assert codes[:3000].tolist() == list(range(3000)) and codes[-5:].tolist() == list(range(5))
+    assert (codes[3000:-5] == hashes[3000:] | np.uint64(1 << 63)).all()
