@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import re
 import struct
+from collections import Counter
 
 import public_tokenizers as P
 import pytest
@@ -137,3 +139,48 @@ def test_pipeline_runs(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert out.count() > 0
+
+
+def plain_mix(rows):
+    """How often each row is taken: all items of all sources in order of finish time, until the budget is spent."""
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    total = {}
+    for (_, _, s), n in zip(rows, sizes, strict=True):
+        total[s] = total.get(s, 0) + n
+    ranks = {s: i for i, s in enumerate(sorted(total, key=lambda s: (s is None, s or "")))}
+    weights, budget, full = {s: (3, 1, 2)[i % 3] for s, i in ranks.items()}, 1.5 * sum(total.values()), set()
+    while True:
+        left = budget - sum(2 * total[s] for s in full)
+        open_ = sum(w for s, w in weights.items() if s not in full)
+        target = {s: 2 * total[s] if s in full else left * w / open_ for s, w in weights.items()}
+        over = {s for s in target if s not in full and target[s] > 2 * total[s]}
+        if not over:
+            break
+        full |= over
+    items = {}
+    for s in total:
+        sent = 0
+        own = [i for i, r in enumerate(rows) if r[2] == s]
+        for i in sorted(own, key=lambda i: (hashlib.md5(str(rows[i][0] if rows[i][0] is not None else rows[i][1] or "").encode()).hexdigest(), sizes[i], rows[i][1] or "")):
+            sent += sizes[i]
+            for before in (0, total[s]):
+                if sizes[i]:
+                    items.setdefault(((before + sent) / target[s], ranks[s]), []).append(i)
+    taken, spent = [0] * len(rows), 0
+    for at in sorted(items):
+        spent += sum(sizes[i] for i in items[at])
+        if spent > budget:
+            break
+        for i in items[at]:
+            taken[i] += 1
+    return taken
+
+
+def test_mix_stage_agrees_with_a_plain_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    want = Counter()
+    for row, n in zip(rows, plain_mix(rows), strict=True):
+        want[row] += n
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.mix(spark, docs, small).collect())
+    assert got == +want and 1 < max(got.values()) <= 2

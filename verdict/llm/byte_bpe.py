@@ -7,7 +7,8 @@ from their bytes: the bytes form a linked list, a heap yields the pair of lowest
 neighbours form a token. Each worker remembers what it has resolved, up to `cache_pieces` entries.
 
 Encoding gives the ids as little-endian unsigned 32-bit integers in one binary value, decoding gives bytes.
-Null text encodes as empty. Bytes that no token spells raise an error (files of ranks hold all 256 bytes).
+Null text encodes as empty. Repeated rows are encoded each, an empty table gives none, and columns other than those kept are
+ignored. Bytes that no token spells raise an error (files of ranks hold all 256 bytes).
 """
 
 from __future__ import annotations

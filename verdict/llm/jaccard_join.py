@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import checkpoint, unused, words
+from verdict.llm.common import checkpoint, hashed_words, unused
 from verdict.operators.components import components as connected_components
 
 BANDS, ROWS, LOAD, LEAF = 32, 3, 8, 32
@@ -45,39 +45,45 @@ _P = _draw.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _P[60]
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, remembered up to a number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _P[61]
     x = (x ^ (x >> np.uint64(29))) * _P[62]
     return x ^ (x >> np.uint64(32))
 
 
+def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles. Windows are hashed over all texts at once; those across two texts are left out."""
+    ids, counts = hashed_words(texts)
+    stirred = _mix(ids)
+
+    def windows(first: int, n: int, k: int) -> np.ndarray:
+        total = np.full(n, k, np.uint64) * _P[63]
+        for i in range(k):
+            total += stirred[first + i : first + i + n] * _P[i % 60]
+        return _mix(total)
+
+    whole = windows(0, max(0, len(ids) - width + 1), width)
+    out, start = [], 0
+    for n in counts.tolist():
+        out.append(np.unique(whole[start : start + n - width + 1]) if n >= width else windows(start, 1, n) if n else np.zeros(0, np.uint64))
+        start += n
+    return out
+
+
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles."""
-    own = words(text)
-    if not own:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))
-    k = min(width, len(ids))
-    n = len(ids) - k + 1
-    total = np.full(n, k, np.uint64) * _P[63]
-    for i in range(k):
-        total += _mix(ids[i : i + n]) * _P[i % 60]
-    return np.unique(_mix(total))
+    return shingle_sets(pa.array([text], pa.string()), width)[0]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most 1,000 rows and (but for one long text) 4 MB of text each."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            end = min(start + 1000, max(start + 1, int(np.searchsorted(upto, before + 4_000_000, "right"))))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def sketch(own: np.ndarray) -> tuple[int, int, list[int]]:
@@ -284,9 +290,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             place = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x.as_py(), width).tobytes() for x in part.column(1)], pa.binary())], ["h", "own"])
+            for part in _parts([batch], 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(part.column(1), width)], pa.binary())], ["h", "own"])
 
     own = docs.select("h", "text", F.pmod("h", F.lit(bits)).alias("place")).mapInArrow(run, "h long, own binary")
     return wanted.join(own.groupBy("h").agg(F.first("own").alias("own")), "h").select("k", "own")
@@ -307,13 +312,9 @@ def classes_of(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "h", "n", "f", "g", "keys"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part, rows = batch.slice(start, 1000), []
-                for x in part.column(2):
-                    own = shingles(x.as_py(), width)
-                    rows.append((len(own), *(sketch(own) if len(own) else (0, 0, []))))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+        for part in _parts(batches, 2):
+            rows = [(len(own), *(sketch(own) if len(own) else (0, 0, []))) for own in shingle_sets(part.column(2), width)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     found = docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n long, f long, g long, keys array<long>")
     rows = checkpoint(found.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.xxhash64("n", "f", "g")).alias("k"), "keys"))
