@@ -11,8 +11,6 @@ that is not null; documents without words all stay. The mix takes no document wi
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdict.functions.checkpoints import shared_folder
 from verdict.llm import byte_bpe, jaccard_join, mixing, quality_mil, toxicity_crf
 from verdict.llm.common import fold, table
 
@@ -64,11 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Stages are written under the folder in spark.checkpoint.dir (a new one where unset)."""
-    docs = table(spark, sf_dir, "documents")
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-pipeline-", dir="/tmp")
-    folder = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}")
+    """All stages over documents. Stages are written under the folder in spark.checkpoint.dir (a new one where unset); a stage's
+    folder is removed once the next one is written, the last stays for the caller."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return docs

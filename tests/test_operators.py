@@ -1,4 +1,5 @@
 import json
+import random
 from decimal import Decimal
 
 import pandas as pd
@@ -7,10 +8,10 @@ from pyspark.sql import types as T
 
 from verdict.functions import money, text
 from verdict.functions.tristate import collapse, fold, label
-from verdict.operators import audits, documents, payments, search
+from verdict.operators import audits, decisions, documents, graphs, payments, search, situations, temporal
 from verdict.operators.components import components, reachable
 from verdict.plans import text_queries
-from verdict.sources.tables import manifest, read_package
+from verdict.sources.tables import manifest, package_problems, read_package
 from verdict.streaming import queues
 
 
@@ -87,6 +88,9 @@ def test_package(spark, tmp_path):
     assert [tuple(r) for r in tables["items"].collect()] == [(1, "a")]
     assert {tuple(r) for r in problems.collect()} == {("items", "MALFORMED", 1), ("items", "TOO_LONG", 1)}
     assert manifest(spark, str(tmp_path), ["items"]).first()["file"] == "items.jsonl"
+    links = spark.createDataFrame([(1,), (2,), (None,)], "item long")
+    found = package_problems({"items": tables["items"], "links": links}, [("links", "item", "items", "id")], {"items": 1, "links": 2})
+    assert {tuple(r) for r in found.collect()} == {("links", "DANGLING", 1), ("links", "COUNT_MISMATCH", 3)}
 
 
 def test_lease_steps():
@@ -110,6 +114,16 @@ def test_streams(spark, tmp_path, small):
     query.stop()
     users = spark.read.parquet(f"{small}/events.parquet").select("user_id").distinct().count()
     assert spark.sql("select count(distinct job) from lease_test").first()[0] == users
+    claims = spark.createDataFrame([("a", "claim", "2024-01-01 00:00:00"), ("b", "claim", "2024-01-01 00:00:00"), ("b", "done", "2024-01-01 00:01:00")], "job string, kind string, at string")
+    for i, rows in enumerate((claims, spark.createDataFrame([("c", "claim", "2024-01-01 09:00:00")], claims.schema), spark.createDataFrame([("d", "claim", "2024-01-01 09:01:00")], claims.schema))):
+        rows.withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "claims"))
+        if not i:
+            told = spark.readStream.schema("job string, kind string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "claims"))
+            query = queues.leases(told, lateness="1 minute").writeStream.outputMode("update").format("memory").queryName("expiry_test").option("checkpointLocation", str(tmp_path / "c3")).start()
+        query.processAllAvailable()
+    query.stop()
+    seen = [tuple(r) for r in spark.sql("select job, status, attempts from expiry_test where job in ('a', 'b')").collect()]
+    assert seen == [("a", "leased", 1), ("b", "done", 1), ("a", "queued", 1)] or sorted(seen) == [("a", "leased", 1), ("a", "queued", 1), ("b", "done", 1)]
     quota = queues.daily_quota(stream, "ts", ["event_type"]).writeStream.outputMode("complete").format("memory").queryName("quota_test").option("checkpointLocation", str(tmp_path / "c2")).start()
     quota.processAllAvailable()
     quota.stop()
@@ -143,3 +157,133 @@ def test_overlap_counts_common_tokens(spark):
         scores = sorted((-len(set(t.split()) & set(x.split())), d) for d, x in passages.items())
         want |= {(q, i + 1, d, -n) for i, (n, d) in enumerate(scores[:2]) if n}
     assert {tuple(r) for r in search.overlap_top(queries, docs, "item", "doc", "body").collect()} == want
+
+
+def test_redaction_of_neighbours_and_labels(spark):
+    cases = {
+        "900101-1234567 900102-2345678": "[REDACTED] [REDACTED]",
+        "01012345678 010-2345-6789": "[REDACTED] [REDACTED]",
+        "1900101-1234567": "1900101-1234567",
+        "policy no AB-12345 x": "policy no: [REDACTED] x",
+        "증권번호: KR-99881 끝": "증권번호: [REDACTED] 끝",
+        "성명: 홍길동 주소: 서울 1; 기타": "성명: [REDACTED] 주소: [REDACTED]; 기타",
+        "full name Jane Roe insurer Acme": "full name: [REDACTED] insurer Acme",
+        "insured amount 500": "insured amount 500",
+        "to a.b@c.org,d@e.net": "to [REDACTED],[REDACTED]",
+        "nothing here": "nothing here",
+    }
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(text.redacted(F.col("t"))).collect()]
+    assert got == list(cases.values())
+
+
+def test_lineage_and_reached(spark):
+    nodes = spark.range(1, 3001).select(F.col("id").alias("n"), F.when(F.col("id") > 1, F.floor((F.col("id") + 1) / 3)).alias("p"))
+    plain = {}
+    for i in range(1, 3001):
+        at, d = i, 0
+        while True:
+            plain[i, at] = d
+            if at == 1 or (i, (at + 1) // 3) in plain or (at + 1) // 3 == 0:
+                break
+            at, d = (at + 1) // 3, d + 1
+    got = {(r["node"], r["ancestor"]): r["distance"] for r in graphs.lineage(nodes, "n", "p").collect()}
+    assert got == plain
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, None), (6, 99)], "n long, p long")
+    assert sorted(tuple(r) for r in graphs.lineage(loop, "n", "p").where("node in (1, 4, 5, 6)").collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (4, 4, 0), (5, 5, 0), (6, 6, 0)]
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 2), (5, 6)], "a long, b long")
+    roots = spark.createDataFrame([(1,), (3,), (4,), (5,)], "root long")
+    assert sorted(r[0] for r in graphs.affected(edges, spark.createDataFrame([(3,)], "node long"), roots).collect()) == [1, 3, 4]
+
+
+def test_as_of_and_overlay_with_nulls_and_repeats(spark):
+    probes = spark.createDataFrame([(1, "2024-01-03"), (1, "2024-01-03"), (None, "2024-01-03"), (2, None), (3, "2024-01-01")], "k long, day string").withColumn("day", F.col("day").cast("date"))
+    history = spark.createDataFrame([(1, "2024-01-01 10:00:00", "a"), (1, "2024-01-03 23:00:00", "b"), (None, "2024-01-02 00:00:00", "n"), (3, "2024-01-01 05:00:00", "x"), (3, "2024-01-01 05:00:00", "y")], "k long, at string, s string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    out = temporal.status_as_of(probes, history, ["k"], "day", "at", "s", F.lit("now"))
+    assert sorted((str(r["k"]), r["as_of"]) for r in out.collect()) == sorted([("1", "b"), ("1", "b"), ("None", "n"), ("2", "now"), ("3", "conflicting")])
+    events = spark.createDataFrame([("x", "u", "2024-01-05"), ("x", "v", "2024-01-05"), ("y", "u", "2024-03-05"), (None, "u", "2024-01-05"), ("x", "u", None)], "a string, b string, day string").withColumn("day", F.col("day").cast("date"))
+    changes = spark.createDataFrame([(None, None, None, "2024-01-31", "wide"), ("x", None, "2024-01-01", None, "ax"), (None, "u", None, None, "bu"), ("x", "u", "2024-01-01", "2024-01-31", "both")], "a string, b string, start string, stop string, choice string")
+    changes = changes.withColumn("start", F.col("start").cast("date")).withColumn("stop", F.col("stop").cast("date"))
+    got = {(r["a"], r["b"], str(r["day"])): (r["choice"], r["specificity"], r["state"]) for r in temporal.overlay(events, changes, ["a", "b"], "day", "start", "stop", "choice").collect()}
+    assert got == {("x", "u", "2024-01-05"): ("both", 2, "APPLIED"), ("x", "v", "2024-01-05"): ("ax", 1, "APPLIED"), ("y", "u", "2024-03-05"): ("bu", 1, "APPLIED"), (None, "u", "2024-01-05"): ("bu", 1, "APPLIED"), ("x", "u", "None"): (None, None, "NONE")}
+    ties = spark.createDataFrame([("x", None, "one"), (None, "u", "two")], "a string, b string, choice string").withColumn("start", F.lit(None).cast("date")).withColumn("stop", F.lit(None).cast("date"))
+    state = temporal.overlay(events.limit(1), ties, ["a", "b"], "day", "start", "stop", "choice").first()
+    assert (state["state"], state["choice"]) == ("COMPETING", None)
+
+
+def test_line_groups_by_centre(spark):
+    rng = random.Random(4)
+    rows = [(p, i, float(rng.randrange(100)), top, top + rng.choice([4.0, 8.0])) for p in range(6) for i in range(25) for top in [float(rng.randrange(60))]]
+    df = spark.createDataFrame([(p, i, left, left + 5, top, bottom) for p, i, left, top, bottom in rows], "page long, block long, left double, right double, top double, bottom double")
+    want = {}
+    for page in range(6):
+        lines = []
+        for _, i, left, top, bottom in sorted((r for r in rows if r[0] == page), key=lambda r: (r[3], r[2], r[1])):
+            near = [x for x in lines if abs((min(b[1] for b in x) + max(b[2] for b in x)) / 2 - (top + bottom) / 2) <= 3]
+            (near[0] if len(near) == 1 else lines.append([]) or lines[-1]).append((i, top, bottom))
+        want |= {(page, i): n for n, x in enumerate(lines) for i, *_ in x}
+    assert {(r["page"], r["block"]): r["line"] for r in documents.line_groups(df).collect()} == want
+
+
+def test_situations(spark):
+    cases = {
+        "입원을 했고 수술은 받지 않았다": {"Event.admission": ("true", "CONFIRMED"), "Event.surgery": ("false", "CONFIRMED")},
+        "3일간 입원했다": {"Event.admission": ("true", "CONFIRMED"), "Event.admission_days": ("3", "CONFIRMED")},
+        "아버지가 입원했다, 수술 예정": {"Event.admission": (None, "UNKNOWN"), "Event.surgery": (None, "UNKNOWN")},
+        "Kim had surgery": {"Event.surgery": ("true", "CONFIRMED")},
+        "my wife had surgery; Kim was admitted": {"Event.surgery": (None, "UNKNOWN"), "Event.admission": ("true", "CONFIRMED")},
+        "paid medical cost about 100 EUR": {"Receipt.billed": (None, "UNKNOWN")},
+        "영수증 진료비 1,234만원": {"Receipt.billed": ("12340000.00", "CONFIRMED")},
+        "coverage for surgery": {"Event.surgery": (None, "UNKNOWN")},
+        "": {},
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, t string")
+    out = situations.merged(situations.facts(situations.clauses(df, "id", "t", ("Kim",)), "id"), "id").collect()
+    got = {t: {} for t in cases}
+    for r in out:
+        got[list(cases)[r["id"]]][r["path"]] = (r["value"], r["state"])
+    assert got == cases
+    places = situations.clauses(df, "id", "t").where("id = 4").orderBy("clause").collect()
+    assert [r["start"] for r in places] == [0, len("my wife had surgery;")]
+
+
+def test_whole_texts_in_clauses(spark):
+    df = spark.createDataFrame([(1, "no surgery. " * 5000)], "id int, t string")
+    read = situations.clauses(df, "id", "t")
+    assert read.count() == 5000
+    assert situations.facts(read, "id").where("value = 'false' and state = 'CONFIRMED'").count() == 5000
+
+
+def test_decide_with_a_precondition(spark):
+    results = {"m": [True, True], "n": [True, False], "u": [True, None]}
+    rows = [(f"{k}{p}", r, p) for k, rs in results.items() for p in (True, False, None) for r in rs]
+    df = spark.createDataFrame(rows, "k string, r boolean, p boolean")
+    out = decisions.decide(df, ["k"], F.col("r"), F.lit(True), None, F.col("p"))
+    got = {r["k"]: (r["verdict"], r["n_match"], r["n_no_match"], r["n_unknown"]) for r in out.collect()}
+    # A precondition that fails wins; one that is not known only demotes a match.
+    verdicts = {"mTrue": "MATCH", "mFalse": "NO_MATCH", "mNone": "UNKNOWN", "nTrue": "NO_MATCH", "nFalse": "NO_MATCH", "nNone": "NO_MATCH", "uTrue": "UNKNOWN", "uFalse": "NO_MATCH", "uNone": "UNKNOWN"}
+    counts = {"m": (2, 0, 0), "n": (1, 1, 0), "u": (1, 0, 1)}
+    assert got == {k: (v, *counts[k[0]]) for k, v in verdicts.items()}
+
+
+def test_folded_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "Straße STRASSE ﬁne Fine", "x", "y"), (2, None, "x", "y"), (3, "A ÉCOLE école", "x", "y")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(text_queries.folded_tokens(spark, str(tmp_path)).collect()) == {1: 2, 2: 0, 3: 1}
+
+
+def test_new_rows_and_recompiled_rules(spark):
+    from verdict.plans.rules import Field, RuleError, recompiled
+    from verdict.sources.tables import new_rows
+
+    schema = "a int, b int, c string"
+    incoming = spark.createDataFrame([(1, 1, "y"), (1, 1, "x"), (2, 1, "z"), (None, 1, "n"), (None, 1, "n")], schema)
+    existing = spark.createDataFrame([(2, 1, "old"), (None, 1, "n")], schema)
+    assert sorted(map(str, (tuple(r) for r in new_rows(incoming, existing, ["a", "b"]).collect()))) == sorted(map(str, [(1, 1, "x"), (None, 1, "n"), (None, 1, "n")]))
+    document = {"schema_version": "1", "rule_kind": "eligibility", "required": True, "input_field_paths": ["A.kind"], "expression": {"op": "present", "field": "A.kind"}, "result_reason_code": "CHECKED", "evidence_ids": ["e1"]}
+    stored = {"name": "r", "kind": "eligibility", "required": True, "reason": "CHECKED", "fields": ["A.kind"]}
+    assert recompiled(document, stored, {"A.kind": Field("string")}).name == "r"
+    try:
+        recompiled(document, stored | {"required": False}, {"A.kind": Field("string")})
+        raise AssertionError
+    except RuleError as e:
+        assert e.code == "RULE_METADATA_MISMATCH"

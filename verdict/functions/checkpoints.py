@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a new one of our own only where that is unset and all runs on this machine."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """df with its lineage cut, kept in spark.checkpoint.dir; a folder of our own only where that setting is unset."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
+
+
+def written(df: DataFrame, by: str) -> DataFrame:
+    """df as it is read again from a compressed table in the shared folder, one part for each value of `by`, so that what filters
+    by it reads these alone. For rows that a checkpoint would hold in full."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder).select(*df.columns)

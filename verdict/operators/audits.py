@@ -112,3 +112,18 @@ def benchmark_score(cases: DataFrame) -> DataFrame:
         ratio(F.count_if(nothing & (F.size(given) > 0)), F.count_if(nothing)).alias("unrelated_rate"),
         ratio(F.count_if(F.col("answerable") & F.col("held")), F.count_if(F.col("answerable"))).alias("unnecessary_hold_rate"),
     )
+
+
+def negative_controls(cases: DataFrame, pool: str) -> DataFrame:
+    """(control, measures): the scores of predictions that are wrong on purpose, one row each; a scorer that passes one is broken.
+
+    all_hold gives nothing and holds every case, all_primary and all_conditional give the whole pool of a case as one group.
+    """
+    none = F.array().cast(dict(cases.dtypes)[pool])
+    controls = {"all_hold": (none, none, True), "all_primary": (F.col(pool), none, False), "all_conditional": (none, F.col(pool), False)}
+    out = None
+    for name, (primary, conditional, held) in controls.items():
+        own = benchmark_score(cases.withColumn("primary", primary).withColumn("conditional", conditional).withColumn("held", F.lit(held)))
+        own = own.select(F.lit(name).alias("control"), *own.columns)
+        out = own if out is None else out.unionByName(own)
+    return out

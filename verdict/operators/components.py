@@ -37,7 +37,11 @@ def reachable(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame
 
     A fixpoint with distinct rows, so cycles end; each round only follows what the last one found.
     """
-    found = checkpoint(start.select("root", F.col("root").alias("node")).distinct())
+    return _fixpoint(edges, start.select("root", F.col("root").alias("node")).distinct(), most)
+
+
+def _fixpoint(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
+    found = checkpoint(start)
     fresh = found
     for _ in range(most):
         reached = fresh.join(edges.select(F.col("a").alias("node"), F.col("b").alias("_to")), "node").select("root", F.col("_to").alias("node")).distinct()
@@ -46,3 +50,9 @@ def reachable(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame
             return found
         found = checkpoint(found.unionByName(fresh))
     raise RuntimeError("REACHABILITY_LIMIT")
+
+
+def reached(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+    """(node): the start nodes (node) and everything that edges (a, b) lead to from any of them; each node once."""
+    one = start.select(F.lit(0).alias("root"), "node").distinct()
+    return _fixpoint(edges, one, most).select("node")

@@ -6,23 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdict.functions.checkpoints import checkpoint
-from verdict.operators.components import reachable
+from verdict.operators.components import reachable, reached
 
 DEPTH = 32
 
 
 def lineage(nodes: DataFrame, node: str, parent: str, depth: int = DEPTH) -> DataFrame:
-    """(node, ancestor, distance) of every node, itself at 0, up to `depth`; a cycle ends where it closes."""
-    spark = nodes.sparkSession
-    nodes.select(F.col(node).alias("n"), F.col(parent).alias("p")).createOrReplaceTempView("_lineage_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE chain (node, ancestor, next, distance, path) AS (
-          SELECT n, n, p, 0, array(n) FROM _lineage_nodes
-          UNION ALL
-          SELECT c.node, x.n, x.p, c.distance + 1, array_append(c.path, x.n)
-          FROM chain c JOIN _lineage_nodes x ON c.next = x.n
-          WHERE c.distance < {int(depth)} AND NOT array_contains(c.path, x.n))
-        SELECT node, ancestor, distance FROM chain""")
+    """(node, ancestor, distance) of every node, itself at 0, up to `depth`; a cycle ends where it closes.
+
+    One join for each level, of the chains that still go on; a chain carries the nodes that it has passed.
+    """
+    up = checkpoint(nodes.select(F.col(node).alias("ancestor"), F.col(parent).alias("next")))
+    chains = up.select(F.col("ancestor").alias("node"), "ancestor", "next", F.lit(0).alias("distance"), F.array("ancestor").alias("path"))
+    found = chains.select("node", "ancestor", "distance")
+    for distance in range(1, depth + 1):
+        ahead = chains.select("node", F.col("next").alias("ancestor"), "path").where("ancestor is not null and not array_contains(path, ancestor)")
+        moved = ahead.join(up, "ancestor")
+        chains = checkpoint(moved.select("node", "ancestor", "next", F.lit(distance).alias("distance"), F.array_append("path", F.col("ancestor")).alias("path")))
+        if chains.isEmpty():
+            break
+        found = found.unionByName(chains.select("node", "ancestor", "distance"))
+    return found
 
 
 def closure(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -43,7 +47,7 @@ def closure(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = D
 def affected(edges: DataFrame, changed: DataFrame, roots: DataFrame) -> DataFrame:
     """The roots that depend, at any distance, on a changed node: (root)."""
     up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    hit = reachable(up, changed.select(F.col("node").alias("root"))).select(F.col("node").alias("root")).distinct()
+    hit = reached(up, changed.select("node")).select(F.col("node").alias("root"))
     return roots.join(hit, "root", "left_semi")
 
 

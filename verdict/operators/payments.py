@@ -108,3 +108,26 @@ def unit_amount(amount: Column, unit: Column) -> Column:
     """A table amount in its unit (1, 1,000 or 10,000), null for more than two decimals or beyond 10**16."""
     value = amount.cast("decimal(20,2)") * F.when(unit == "thousand", 1000).when(unit == "ten_thousand", 10000).otherwise(1)
     return F.when((amount == F.round(amount, 2)) & (value < F.lit(Decimal(10) ** 16)), value.cast("decimal(22,2)"))
+
+
+#: The kinds of rules that may give a fixed amount.
+FIXED_KINDS = ("fixed_amount", "rate_amount", "deductible", "limit")
+
+
+def fixed_benefit(matched: Column, executable: Column, kind: Column, evidenced: Column, currency: Column, value: Column, error: Column, rounded_last: Column) -> Column:
+    """A fixed amount or why there is none: struct(status, reason, amount). The order of the tests is part of the meaning.
+
+    value, error: of the calculation; an amount of more than two decimals needs a rule that rounds last.
+    """
+    missing = error.isin("MISSING_CALCULATION_FACT", "UNCONFIRMED_CALCULATION_FACT")
+    reason = (
+        F.when(~F.coalesce(matched, F.lit(False)), "CANDIDATE_NOT_MATCHED")
+        .when(~F.coalesce(executable, F.lit(False)), "RULE_NOT_EXECUTABLE")
+        .when(~F.coalesce(kind.isin(*FIXED_KINDS), F.lit(False)), "UNSUPPORTED_CALCULATION_RULE")
+        .when(~F.coalesce(evidenced, F.lit(False)), "RULE_EVIDENCE_UNAVAILABLE")
+        .when(currency.isNull() | missing, "MISSING_FIXED_INPUT")
+        .when(error.isNotNull(), error)
+        .when((value != F.round(value, 2)) & ~rounded_last, "ROUNDING_RULE_REQUIRED")
+    )
+    amount = F.when(reason.isNull(), value.cast("decimal(18,2)"))
+    return F.struct(F.when(reason.isNull(), "computed").otherwise("unknown").alias("status"), reason.alias("reason"), amount.alias("amount"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from verdict.functions.checkpoints import checkpoint
 from verdict.functions.text import similarity, tokens, trigrams
@@ -29,33 +35,85 @@ def search(corpus: DataFrame, query: str, *, id_column: str, title: str, text: s
     return hits.orderBy(F.col("matched").desc(), F.col("similarity").desc(), id_column).limit(limit).drop("_asked")
 
 
-def overlap_top(queries: DataFrame, passages: DataFrame, query_id: str, passage_id: str, text: str, *, per_query: int = 2, least: int = 1, common: float = 0.2) -> DataFrame:
+def overlap_top(queries: DataFrame, passages: DataFrame, query_id: str, passage_id: str, text: str, *, per_query: int = 2, least: int = 1, query_block: int = 4096) -> DataFrame:
     """For each query the passages that share most distinct tokens with it: (query_id, position, passage_id, score).
 
-    Tokens are joined as rows. Those in more than `common` of all passages would pair nearly everything, so the others
-    find passages first. A passage found by none of these shares at most the query's common tokens: where their
-    number reaches the query's last score so far, all passages are scored, by a join that no key deals out.
+    Every query is scored against every passage, common tokens included. Queries have at most 64 tokens each; a block
+    of `query_block` queries is broadcast as lists of queries by token, passages are read once for each block, and a
+    task keeps its best `per_query` passages of each query, so only these are shuffled. Ties go to the smaller id. A
+    query without tokens, or that shares fewer than `least` with every passage, has no row. Ids of queries are unique.
     """
-    p = passages.select(passage_id, tokens(F.col(text)).alias("_p"))
-    q = queries.select(query_id, tokens(F.col(text), 64).alias("_q"))
-    words = p.select(passage_id, F.explode("_p").alias("_w"))
-    total = passages.count()
-    held = words.groupBy("_w").count().withColumn("_rare", F.col("count") <= F.lit(max(1.0, common * total)))
-    rare, frequent = held.where("_rare").select("_w"), held.where("not _rare").select("_w")
-    asked = q.select(query_id, F.explode("_q").alias("_w"))
+    spark = queries.sparkSession
+    asked = checkpoint(queries.select(query_id, tokens(F.col(text), 64).alias("_q")).where(F.size("_q") > 0))
+    blocks = max(1, -(-asked.count() // query_block))
+    q_kind, p_kind = dict(queries.dtypes)[query_id], dict(passages.dtypes)[passage_id]
+    held = passages.select(passage_id, tokens(F.col(text)).alias("_p"))
+    found = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).collect()
+        by_token: dict[str, list[int]] = {}
+        for i, (_, words) in enumerate(rows):
+            for w in words:
+                by_token.setdefault(w, []).append(i)
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], {w: np.array(x, np.int32) for w, x in by_token.items()}))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, by_token = shared.value
+            score = np.zeros((per_query, len(ids)), np.int64)
+            passage = np.full((per_query, len(ids)), None, object)
+            for batch in batches:
+                for own, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    lists = [x for w in words or () if (x := by_token.get(w)) is not None]
+                    if own is None or not lists:
+                        continue
+                    n = np.bincount(np.concatenate(lists), minlength=len(ids))
+                    for i in np.flatnonzero((n >= least) & (n >= score[-1])):
+                        at = next((k for k in range(per_query) if (-n[i], own) < (-score[k, i], passage[k, i]) or passage[k, i] is None), None)
+                        if at is not None:
+                            score[at + 1 :, i], passage[at + 1 :, i] = score[at:-1, i].copy(), passage[at:-1, i].copy()
+                            score[at, i], passage[at, i] = n[i], own
+            k, i = np.nonzero(score)
+            columns = ([ids[x] for x in i], passage[k, i].tolist(), score[k, i].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], names)
+
+        names = [query_id, passage_id, "score"]
+        kinds = list(to_arrow_schema(StructType([queries.schema[query_id], passages.schema[passage_id], StructField("score", IntegerType())])))
+        own = held.mapInArrow(best, f"`{query_id}` {q_kind}, `{passage_id}` {p_kind}, score int")
+        found = own if found is None else found.unionByName(own)
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), passage_id))
-    shared = F.size(F.array_intersect("_q", "_p")).alias("score")
-    pairs = asked.join(rare, "_w", "left_semi").join(words, "_w").select(query_id, passage_id).distinct()
-    scored = pairs.join(p, passage_id).join(q, query_id).select(query_id, passage_id, shared).where(F.col("score") >= least)
-    first = checkpoint(scored.withColumn("position", place).where(F.col("position") <= per_query))
-    unseen = asked.join(frequent, "_w", "left_semi").groupBy(query_id).agg(F.count(F.lit(1)).alias("_most"))
-    last = first.where(F.col("position") == per_query).select(query_id, F.col("score").alias("_last"))
-    open_ = checkpoint(unseen.join(last, query_id, "left").where(F.col("_most") >= F.greatest(F.coalesce("_last", F.lit(0)), F.lit(least))).select(query_id))
-    again = q.join(F.broadcast(open_), query_id, "left_semi").join(p, F.arrays_overlap("_q", "_p")).select(query_id, passage_id, shared).where(F.col("score") >= least)
-    again = again.withColumn("position", place).where(F.col("position") <= per_query)
-    return first.join(F.broadcast(open_), query_id, "left_anti").unionByName(again).select(query_id, "position", passage_id, "score")
+    return found.withColumn("position", place).where(F.col("position") <= per_query).select(query_id, "position", passage_id, "score")
 
 
 def substring_score(text, asked):
     """How many of the tokens in the array occur in the text as substrings."""
     return F.size(F.filter(asked, lambda w: F.contains(text, w)))
+
+
+def in_force(corpus: DataFrame, editions: DataFrame, edition: str, *, only: object | None = None, on: object | None = None, insurer: str | None = None, product: str | None = None) -> DataFrame:
+    """The rows of corpus whose edition passes the filters that are set: itself, in force on a day, of an insurer, of a product.
+
+    editions: edition, start, end (inclusive, null is open), insurer, product. The filters reach the editions before the join.
+    """
+    kept = editions
+    if only is not None:
+        kept = kept.where(F.col(edition) == F.lit(only))
+    if on is not None:
+        day = F.lit(on).cast("date")
+        kept = kept.where(F.coalesce(F.col("start") <= day, F.lit(True)) & F.coalesce(F.col("end") >= day, F.lit(True)))
+    if insurer is not None:
+        kept = kept.where(F.col("insurer") == insurer)
+    if product is not None:
+        kept = kept.where(F.col("product") == product)
+    return corpus.join(kept.select(edition).distinct(), edition, "left_semi")
+
+
+def recommended(scored: DataFrame, coverage: str, order: list[str], *, per_coverage: int = 2, most: int = 12) -> DataFrame:
+    """The best associations of passages with coverages: two for each coverage and priority, twelve in all.
+
+    scored: coverage, priority (1, 2), score, coverage_score, clause_score and the columns of order, which break ties. Priority 2
+    needs a score, priority 1 also words of the coverage and of the clause; priority 2 comes first.
+    """
+    usable = ((F.col("priority") == 2) & (F.col("score") > 0)) | ((F.col("priority") == 1) & (F.col("coverage_score") > 0) & (F.col("clause_score") > 0))
+    place = F.row_number().over(Window.partitionBy(coverage, "priority").orderBy(F.col("score").desc(), *order))
+    kept = scored.where(usable).withColumn("place", place).where(F.col("place") <= per_coverage)
+    return kept.orderBy(F.col("priority").desc(), "place", F.col("score").desc(), coverage, *order).limit(most)

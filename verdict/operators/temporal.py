@@ -16,19 +16,29 @@ def status_as_of(probes: DataFrame, history: DataFrame, keys: list[str], day: st
     """
     moments = history.where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.collect_set(status).alias("_states"))
     renamed = moments.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(at).alias("_at"), "_states")
-    numbered = probes.withColumn("_probe", F.monotonically_increasing_id())
+    # The answer depends on keys and day alone, so each of these is looked up once.
+    asked = probes.select(*keys, day).distinct()
     on = F.col("_at") < F.date_add(F.col(day).cast("date"), 1).cast("timestamp_ntz")
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    latest = numbered.join(renamed, on).groupBy("_probe").agg(F.max_by("_states", "_at").alias("_states"))
-    out = numbered.join(latest, "_probe", "left")
+    latest = asked.join(renamed, on).groupBy(*keys, day).agg(F.max_by("_states", "_at").alias("_states"))
+    out = _beside(probes, latest, [*keys, day])
     state = (
         F.when(F.col(day).isNull(), current)
         .when(F.col("_states").isNull() | (F.size("_states") == 0), "unknown")
         .when(F.size("_states") > 1, "conflicting")
         .otherwise(F.col("_states")[0])
     )
-    return out.withColumn("as_of", state).drop("_probe", "_states")
+    return out.withColumn("as_of", state).drop("_states")
+
+
+def _beside(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of found, which has one row for each of the keys at most; nulls are equal."""
+    renamed = found.select(*(F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)), *(c for c in found.columns if c not in keys))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_b{i}"))
+    return rows.join(renamed, on, "left").drop(*(f"_b{i}" for i in range(len(keys))))
 
 
 def within(day: Column, start: Column, end: Column) -> Column:
@@ -39,28 +49,44 @@ def within(day: Column, start: Column, end: Column) -> Column:
 def overlay(events: DataFrame, changes: DataFrame, scope: list[str], day: str, start: str, end: str, choice: str) -> DataFrame:
     """events with the choice of the most specific change in force on the day; several distinct ones conflict.
 
-    A change's null scope column matches any value. The join is by each set of scope columns that changes fill in,
-    so it is an equality join for each, and specificity is the number of columns filled in.
+    A change's null scope column matches any value. The answer depends on scope and day alone, so each of these is looked
+    up once. The join is by each set of scope columns that changes fill in, so it is an equality join for each, and
+    specificity is the number of columns filled in; changes without any are joined by the months that they are in force.
     """
-    event = events.withColumn("_event", F.monotonically_increasing_id())
-    patterns = [m for m in range(2 ** len(scope))]
+    asked = events.select(*scope, day).where(F.col(day).isNotNull()).distinct()
+    month = lambda d: F.year(d) * 12 + F.month(d)
     found = None
-    for mask in patterns:
+    for mask in range(2 ** len(scope)):
         on = [c for i, c in enumerate(scope) if mask >> i & 1]
-        filled = [F.col(c).isNotNull() if c in on else F.col(c).isNull() for c in scope]
         own = changes
-        for f in filled:
-            own = own.where(f)
+        for c in scope:
+            own = own.where(F.col(c).isNotNull() if c in on else F.col(c).isNull())
         own = own.select(*on, F.col(start).alias("_from"), F.col(end).alias("_to"), F.col(choice).alias("_choice"))
-        pairs = event.select("_event", day, *on)
-        joined = pairs.join(own, on) if on else pairs.join(own, within(F.col(day), F.col("_from"), F.col("_to")))
-        joined = joined.where(within(F.col(day), F.col("_from"), F.col("_to"))).select("_event", "_choice", F.lit(len(on)).alias("_depth"))
-        found = joined if found is None else found.unionByName(joined)
-    top = found.groupBy("_event", "_depth").agg(F.countDistinct("_choice").alias("_n"), F.min("_choice").alias("_one"))
-    best = top.groupBy("_event").agg(F.max_by(F.struct("_n", "_one", "_depth"), "_depth").alias("_best"))
-    out = event.join(best, "_event", "left")
-    state = F.when(F.col("_best").isNull(), "NONE").when(F.col("_best._n") > 1, "COMPETING").otherwise("APPLIED")
-    return out.withColumn("choice", F.when(F.col("_best._n") == 1, F.col("_best._one"))).withColumn("specificity", F.col("_best._depth")).withColumn("state", state).drop("_event", "_best")
+        pairs = asked.select(*on, day).distinct()
+        if on:
+            joined = pairs.join(own, on)
+        else:
+            first, last = asked.agg(F.min(month(F.col(day))), F.max(month(F.col(day)))).first()
+            months = F.sequence(F.greatest(F.coalesce(month(F.col("_from")), F.lit(first)), F.lit(first)), F.least(F.coalesce(month(F.col("_to")), F.lit(last)), F.lit(last)))
+            inside = F.coalesce(month(F.col("_from")) <= F.lit(last), F.lit(True)) & F.coalesce(month(F.col("_to")) >= F.lit(first), F.lit(True))
+            inside &= F.coalesce(month(F.col("_from")) <= month(F.col("_to")), F.lit(True))
+            if first is None:
+                continue
+            joined = pairs.withColumn("_month", month(F.col(day))).join(own.where(inside).withColumn("_month", F.explode(months)), "_month")
+        top = joined.where(within(F.col(day), F.col("_from"), F.col("_to"))).groupBy(*on, day).agg(F.countDistinct("_choice").alias("_n"), F.min("_choice").alias("_one"))
+        best = F.struct(F.lit(len(on)).alias("_depth"), F.col("_n"), F.col("_one"))
+        placed = asked.join(top.withColumnRenamed(day, "_day"), [*on] if on else (F.col(day) == F.col("_day"))) if not on else asked.join(top, [*on, day])
+        placed = placed.select(*scope, day, best.alias("_best"))
+        found = placed if found is None else found.unionByName(placed)
+    if found is None:
+        found = asked.where("false").withColumn("_best", F.lit(None).cast("struct<_depth: int, _n: bigint, _one: string>"))
+    # Sets of equal depth that name several choices conflict.
+    deepest = found.groupBy(*scope, day, F.col("_best._depth").alias("_depth")).agg(F.max("_best._n").alias("_n"), F.min("_best._one").alias("_one"), F.max("_best._one").alias("_last"))
+    best = deepest.groupBy(*scope, day).agg(F.max_by(F.struct("_n", "_one", "_last", "_depth"), "_depth").alias("_best"))
+    out = _beside(events, best, [*scope, day])
+    single = (F.col("_best._n") == 1) & (F.col("_best._one") == F.col("_best._last"))
+    state = F.when(F.col("_best").isNull(), "NONE").when(single, "APPLIED").otherwise("COMPETING")
+    return out.withColumn("choice", F.when(single, F.col("_best._one"))).withColumn("specificity", F.col("_best._depth")).withColumn("state", state).drop("_best")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

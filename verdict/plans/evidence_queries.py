@@ -65,7 +65,7 @@ def chosen_page_text(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").where("role <> 'system'")
     blocks = turns.select(F.col("conv_id").alias("page"), F.when(F.col("role") == "user", "native").otherwise("scan").alias("origin"), F.col("turn").alias("position"), F.coalesce("text", F.lit("")).alias("text"))
     pages = blocks.select("page").distinct().withColumn("needs_scan", F.col("page") % 3 == 0)
-    return evidence.chosen_text(pages, blocks, most_blocks=2)
+    return evidence.chosen_text(pages, blocks)
 
 
 LABELS = {"name": ["small", "red"], "amount": ["ring", "bolt"], "period": ["widget"]}
@@ -139,7 +139,7 @@ n AS (SELECT *, sum((reach IS NULL OR a > reach)::INT) OVER (PARTITION BY user_i
 SELECT user_id, min(a) AS start, max(b) AS "end" FROM n GROUP BY user_id, run""",
     "chosen_page_text": """
 WITH b AS (SELECT conv_id AS page, role = 'assistant' AS scan, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS spot FROM conversations WHERE role <> 'system'),
-t AS (SELECT page, string_agg(text, ' ' ORDER BY spot) FILTER (scan) AS s, string_agg(text, ' ' ORDER BY spot) FILTER (NOT scan) AS n FROM b WHERE spot <= 2 GROUP BY page)
+t AS (SELECT page, string_agg(text, ' ' ORDER BY spot) FILTER (scan) AS s, string_agg(text, ' ' ORDER BY spot) FILTER (NOT scan) AS n FROM b WHERE spot <= 64 GROUP BY page)
 SELECT page, CASE WHEN page % 3 = 0 AND coalesce(length(s), 0) > 0 THEN 'scan' ELSE 'native' END AS origin,
   substr(CASE WHEN page % 3 = 0 AND coalesce(length(s), 0) > 0 THEN s ELSE coalesce(n, '') END, 1, 240) AS text FROM t""",
     "table_headers": """

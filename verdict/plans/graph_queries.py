@@ -29,7 +29,7 @@ def _dependencies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _roots(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").where("p_size >= 49").select(F.col("p_partkey").alias("root"))
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("root"))
 
 
 def closure_cycle(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +38,8 @@ def closure_cycle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def affected_roots(spark: SparkSession, folder: str) -> DataFrame:
-    changed = table(spark, folder, "part").where("p_partkey % 101 = 7").select(F.col("p_partkey").alias("node"))
+    """Parts that depend on one that came back in a large lot."""
+    changed = table(spark, folder, "lineitem").where("l_returnflag = 'R' and l_quantity >= 50").select(F.col("l_partkey").alias("node"))
     return graphs.affected(_dependencies(spark, folder), changed, _roots(spark, folder))
 
 
@@ -53,12 +54,11 @@ def components(spark: SparkSession, folder: str) -> DataFrame:
 
 def replacement_chains(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as editions: most are replaced by the one ten keys on; some fork, some lead back."""
-    key = F.col("o_orderkey")
-    editions = table(spark, folder, "orders").where(key <= 600).select(key.alias("edition"))
-    plain = editions.where("edition % 7 <> 0 and edition + 10 <= 600").select(F.col("edition").alias("previous"), (F.col("edition") + 10).alias("next"))
-    forks = editions.where("edition % 90 = 5 and edition + 20 <= 600").select(F.col("edition").alias("previous"), (F.col("edition") + 20).alias("next"))
-    loops = editions.where("edition % 210 = 0 and edition > 0").select(F.col("edition").alias("previous"), (F.col("edition") - 20).alias("next"))
-    out = graphs.replacements(editions, plain.unionByName(forks).unionByName(loops))
+    editions = table(spark, folder, "orders").select(F.col("o_orderkey").alias("edition"))
+    step = lambda rows, by: rows.select(F.col("edition").alias("previous"), (F.col("edition") + by).alias("next"))
+    edges = step(editions.where("edition % 7 <> 0"), 10).unionByName(step(editions.where("edition % 90 = 5"), 20)).unionByName(step(editions.where("edition % 210 = 0"), -20))
+    edges = edges.join(editions.select(F.col("edition").alias("next")), "next", "left_semi")
+    out = graphs.replacements(editions, edges)
     return out.select("edition", F.coalesce("current", F.lit(-1)).alias("current"), "state")
 
 
@@ -69,7 +69,7 @@ e AS (
   SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1
   UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2
   UNION ALL SELECT p_partkey, p_partkey * 2 FROM part WHERE p_partkey % 50 = 0),
-r AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_size >= 49 UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a)"""
+r AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a)"""
 
 SQL = {
     "lineage_recursive": """
@@ -84,17 +84,16 @@ WITH RECURSIVE {_DEPENDS},
 n AS (SELECT root, count(*) - 1 AS n_dependencies, count(*) FILTER (p_partkey IS NULL) AS n_missing FROM r LEFT JOIN part ON node = p_partkey GROUP BY root),
 c AS (SELECT DISTINCT r.root FROM r JOIN e ON e.a = r.node AND e.b = r.root)
 SELECT n.root, n_dependencies, n_missing, CASE WHEN c.root IS NOT NULL THEN 'CYCLE' WHEN n_missing > 0 THEN 'MISSING' ELSE 'COMPLETE' END AS state FROM n LEFT JOIN c ON n.root = c.root""",
-    "affected_roots": f"WITH RECURSIVE {_DEPENDS} SELECT DISTINCT root FROM r WHERE node % 101 = 7 AND node IN (SELECT p_partkey FROM part)",
+    "affected_roots": f"WITH RECURSIVE {_DEPENDS} SELECT DISTINCT root FROM r WHERE node IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50)",
     "components": """
 WITH RECURSIVE d AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 48),
 e AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM d x JOIN d y ON x.l_partkey = y.l_partkey),
 r AS (SELECT s_suppkey AS node, s_suppkey AS other FROM supplier UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a)
 SELECT node, min(other) AS component FROM r GROUP BY node""",
     "replacement_chains": """
-WITH RECURSIVE x AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey <= 600),
-e AS (
-  SELECT k AS p, k + 10 AS n FROM x WHERE k % 7 <> 0 AND k + 10 <= 600 UNION SELECT k, k + 20 FROM x WHERE k % 90 = 5 AND k + 20 <= 600
-  UNION SELECT k, k - 20 FROM x WHERE k % 210 = 0 AND k > 0),
+WITH RECURSIVE x AS (SELECT o_orderkey AS k FROM orders),
+s AS (SELECT k AS p, k + 10 AS n FROM x WHERE k % 7 <> 0 UNION SELECT k, k + 20 FROM x WHERE k % 90 = 5 UNION SELECT k, k - 20 FROM x WHERE k % 210 = 0),
+e AS (SELECT p, n FROM s WHERE n IN (SELECT k FROM x)),
 o AS (SELECT p, min(n) AS n, count(*) > 1 AS fork FROM e GROUP BY p),
 w AS (
   SELECT k AS edition, k AS node, 0 AS step, FALSE AS fork, FALSE AS loop, [k] AS path FROM x

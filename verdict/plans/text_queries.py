@@ -164,9 +164,7 @@ SELECT p_name, n::DOUBLE / (m - n) AS similarity FROM y WHERE n::DOUBLE / (m - n
     "overlap_topk": f"""
 WITH {_D}, p AS (SELECT doc_id, unnest({_TOKENS.format(x="text")}) AS w FROM d),
 q AS (SELECT item_id, unnest({_TOKENS.format(x="text")}[1:64]) AS w FROM benchmark),
-rare AS (SELECT w FROM p GROUP BY w HAVING count(*) <= greatest(1.0, 0.2 * (SELECT count(*) FROM d))),
-f AS (SELECT DISTINCT item_id, doc_id FROM q JOIN rare USING (w) JOIN p USING (w)),
-s AS (SELECT f.item_id, f.doc_id, count(*) AS score FROM f JOIN q ON f.item_id = q.item_id JOIN p ON p.doc_id = f.doc_id AND p.w = q.w GROUP BY 1, 2)
+s AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN p USING (w) GROUP BY 1, 2)
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS position, doc_id, score::INT AS score FROM s QUALIFY position <= 2""",
     "substring_score": f"WITH {_D} SELECT doc_id, (contains(text, 'the')::INT + contains(text, 'tion')::INT + contains(text, 'ung')::INT + contains(text, 'que')::INT + contains(text, 'zzz')::INT) AS score FROM d",
     "text_normalization": rf"""

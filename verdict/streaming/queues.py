@@ -48,29 +48,56 @@ def lease_step(state: tuple[str, int, pd.Timestamp | None], kind: str, at: pd.Ti
     return status, tries, until
 
 
-def leases(events: DataFrame, *, lease: str = "5 minutes", most: int = 3) -> DataFrame:
-    """The latest status of each job of a stream of events (job, kind, at), by a fold over keyed state."""
-    span = pd.Timedelta(lease)
+def leases(events: DataFrame, *, lease: str = "5 minutes", most: int = 3, lateness: str = "1 hour", keep: str = "7 days") -> DataFrame:
+    """The latest status of each job of a stream of events (job, kind, at), by a fold over keyed state.
+
+    A lease that runs out is settled when the watermark passes its end, without another event. Jobs that are done or dead are
+    forgotten `keep` after their last event, so state is bounded by the jobs that are open or recent.
+    """
+    span, kept = pd.Timedelta(lease), pd.Timedelta(keep)
+    millis = lambda t: int(pd.Timestamp(t).timestamp() * 1000)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = tuple(state.get) if state.exists else ("queued", 0, None)
-        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
-        for r in rows.itertuples(index=False):
-            own = lease_step(own, r.kind, r.at, span, most)
+        now = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        if state.hasTimedOut:
+            if own[0] in ("done", "dead"):
+                state.remove()
+                return
+            own = lease_step(own, "", max(now, own[2] + pd.Timedelta("1ms")), span, most)
+            last = now
+        else:
+            rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+            for r in rows.itertuples(index=False):
+                own = lease_step(own, r.kind, r.at, span, most)
+            last = rows["at"].iloc[-1]
         state.update(own)
+        until = own[2] if own[0] == "leased" else last + kept if own[0] in ("done", "dead") else None
+        if until is not None:
+            state.setTimeoutTimestamp(max(millis(until), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job": [key[0]], "status": [own[0]], "attempts": [own[1]]})
 
-    return events.groupBy("job").applyInPandasWithState(fold, LEASE_OUT, LEASE_STATE, "update", GroupStateTimeout.NoTimeout)
+    marked = events.withWatermark("at", lateness)
+    return marked.groupBy("job").applyInPandasWithState(fold, LEASE_OUT, LEASE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def leases_batch(events: DataFrame, *, lease: str = "5 minutes", most: int = 3) -> DataFrame:
-    """The same fold over a whole batch."""
+    """The same fold over a whole batch, in one pass over each task's sorted events: only a job's state is held."""
     span = pd.Timedelta(lease)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        own = ("queued", 0, None)
-        for r in frame.sort_values(["at", "kind"], kind="stable").itertuples(index=False):
-            own = lease_step(own, r.kind, r.at, span, most)
-        return pd.DataFrame({"job": [frame["job"].iloc[0]], "status": [own[0]], "attempts": [own[1]]})
-
-    return events.groupBy("job").applyInPandas(fold, LEASE_OUT)
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, own = None, ("queued", 0, None)
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                if r.job != job:
+                    if job is not None:
+                        out.append((job, *own[:2]))
+                    job, own = r.job, ("queued", 0, None)
+                own = lease_step(own, r.kind, r.at, span, most)
+            yield pd.DataFrame(out, columns=["job", "status", "attempts"])
+        if job is not None:
+            yield pd.DataFrame([(job, *own[:2])], columns=["job", "status", "attempts"])
+
+    ordered = events.where("job is not null").select("job", "kind", "at").repartition("job").sortWithinPartitions("job", "at", "kind")
+    return ordered.mapInPandas(fold, LEASE_OUT)
