@@ -37,6 +37,7 @@ from verdict.llm.common import checkpoint, hashed_words, unused
 from verdict.operators.components import components as connected_components
 
 BANDS, ROWS, LOAD, LEAF = 32, 3, 8, 32
+MOST_SENT = 100_000
 
 _draw = np.random.default_rng(2)
 _A = _draw.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -336,9 +337,11 @@ def linked_rows(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     routes = checkpoint(keyed.join(counts, "key").select("leader", "k", "n", "h").distinct())
     sets = checkpoint(_sets(hashed, routes.select("k", "h").distinct(), width))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / most)).cast("int")
-    large = routes.groupBy("leader").agg(blocks.alias("blocks"))
+    # Few groups need more than one block, so their list is mostly small enough to send everywhere; else it is joined.
+    large = checkpoint(routes.groupBy("leader").agg(blocks.alias("blocks")).where("blocks > 1"))
+    joined = routes.join(F.broadcast(large) if large.count() <= MOST_SENT else large, "leader", "left")
     side = F.pmod(F.xxhash64("k", "leader"), F.col("blocks")).cast("int")
-    placed = checkpoint(routes.join(large, "leader").select("leader", "k", "blocks", side.alias("side")))
+    placed = checkpoint(joined.withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("leader", "k", "blocks", side.alias("side")))
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("side") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("side"))
     first = placed.join(sets, "k").select("leader", F.lit(0).alias("low"), F.explode(others).alias("high"), "k", "side", F.col("k").alias("component"), "own")
     links = checkpoint(_linked(first, percent))
