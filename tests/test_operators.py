@@ -287,3 +287,13 @@ def test_new_rows_and_recompiled_rules(spark):
         raise AssertionError
     except RuleError as e:
         assert e.code == "RULE_METADATA_MISMATCH"
+
+
+def test_phrases_with_endings(spark):
+    entries = [("위암", "Event.kind", "x", 2), ("갑상선 암", "Event.kind", "y", 2), ("암", "Event.kind", "z", 1), ("clinic", "Event.place", "c", 1)]
+    cases = {"위암을 진단": {"Event.kind": ("x", "RESOLVED")}, "갑상선의 암으로부터": {"Event.kind": ("y", "RESOLVED")}, "위암 갑상선 암": {"Event.kind": (None, "CONFLICTING")}, "위암종 clinics": {}, "a clinic, 암": {"Event.kind": ("z", "RESOLVED"), "Event.place": ("c", "RESOLVED")}}
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, t string").select("id", text.folded("t").alias("folded"))
+    got = {t: {} for t in cases}
+    for r in decisions.phrase_facts(df, "id", "folded", entries).collect():
+        got[list(cases)[r["id"]]][r["path"]] = (r["value"], r["state"])
+    assert got == cases

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +95,31 @@ def unique_or_conflict(rows: DataFrame, keys: list[str], priority: str, value: s
     kept = rows.withColumn("_top", top).where(F.col(priority) == F.col("_top"))
     out = kept.groupBy(*keys).agg(F.countDistinct(value).alias("n_values"), F.min(value).alias("_value"))
     return out.select(*keys, F.when(F.col("n_values") == 1, F.col("_value")).alias("value"), F.when(F.col("n_values") > 1, "CONFLICTING").otherwise("RESOLVED").alias("state"))
+
+
+#: Case endings that a Korean word of a phrase may carry.
+ENDINGS = (
+    "으로부터", "에게서", "에서", "으로", "까지", "부터", "에게", "께서", "처럼", "보다", "이나",
+    "은", "는", "이", "가", "을", "를", "에", "의", "와", "과", "도", "만", "로", "나",
+)
+
+
+def phrase_facts(texts: DataFrame, key: str, folded: str, entries: list[tuple[str, str, str, int]]) -> DataFrame:
+    """(key, path, value, state): what a dictionary's phrases say of each text, resolved by `unique_or_conflict`.
+
+    folded: texts after compatibility composition and case folding. entries: phrase, path, value, priority; phrases are folded too.
+    A phrase counts where its words (letters, digits, underscores) stand side by side in the text; a Korean word may carry a
+    case ending. The dictionary is bounded rules, one pattern each; all are tested in one pass over the texts.
+    """
+    words = F.concat(F.lit(" "), F.regexp_replace(F.col(folded), r"(?U)[^\p{L}\p{N}_]+", " "), F.lit(" "))
+    ending = "(?:" + "|".join(ENDINGS) + ")?"
+    found = []
+    for phrase, path, value, priority in entries:
+        parts = [re.escape(w) + (ending if re.search("[가-힣]", w) else "") for w in re.findall(r"\w+", phrase)]
+        if not parts:
+            raise ValueError("EMPTY_PHRASE")
+        said = F.struct(F.lit(path).alias("path"), F.lit(value).alias("value"), F.lit(priority).alias("priority"))
+        found.append(F.when(F.col("_words").rlike(" " + " ".join(parts) + " "), said))
+    marked = texts.select(key, F.regexp_replace(words, " +", " ").alias("_words"))
+    rows = marked.select(key, F.explode(F.array_compact(F.array(*found))).alias("f")).select(key, "f.*")
+    return unique_or_conflict(rows, [key, "path"], "priority", "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdict.operators import audits, documents, grounding, search, situations
+from verdict.operators import audits, decisions, documents, grounding, search, situations
 from verdict.plans.decision_queries import IN_AMOUNT, IN_DAYS, IS_FP
 from verdict.plans.rules import compile_witnesses
 from verdict.plans.stand_ins import FACTS_SQL, FIELDS, order_facts
@@ -38,6 +38,16 @@ def situation_documents(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", situations.guard(F.col("body"), F.col("other")).alias("g")).groupBy("doc_id", "g.state", "g.reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+PHRASES = [("of the", "Event.kind", "A", 2), ("in the", "Event.kind", "B", 2), ("the", "Event.kind", "C", 1), ("and", "Event.place", "D", 1), ("the and", "Event.place", "E", 1)]
+
+
+def phrase_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What a small dictionary says of documents; texts are lower-cased, which is all that SQL can fold."""
+    lower = table(spark, folder, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("folded"))
+    out = decisions.phrase_facts(lower, "doc_id", "folded", PHRASES)
+    return out.select("doc_id", "path", F.coalesce("value", F.lit("")).alias("value"), "state")
+
+
 RELEVANCE = {"op": "all", "args": [{"op": "any", "args": [IS_FP, IN_AMOUNT]}, {"op": "any", "args": [IN_DAYS, {"op": "present", "field": "Event.day"}, {"op": "not", "args": [IN_AMOUNT]}]}]}
 
 
@@ -124,7 +134,7 @@ def negative_controls(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("control", *(F.coalesce(F.col(c), F.lit(-1.0)).alias(c) for c in out.columns if c != "control"))
 
 
-QUERIES = {f.__name__: f for f in (situation_reading, situation_documents, relevance_witness, candidate_grounding, footnotes, line_groups, search_filters, json_documents, json_windows, dedup_before_write, negative_controls)}
+QUERIES = {f.__name__: f for f in (phrase_facts, situation_reading, situation_documents, relevance_witness, candidate_grounding, footnotes, line_groups, search_filters, json_documents, json_windows, dedup_before_write, negative_controls)}
 
 
 def _said(*facts: tuple[int, str, str, str, str]) -> str:
@@ -132,6 +142,15 @@ def _said(*facts: tuple[int, str, str, str, str]) -> str:
 
 
 SQL = {
+    "phrase_facts": r"""
+WITH w AS (SELECT doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g') || ' ' AS t FROM documents),
+u AS (SELECT doc_id, regexp_replace(t, ' +', ' ', 'g') AS t FROM w),
+f AS (
+  SELECT doc_id, 'Event.kind' AS path, 'A' AS value, 2 AS p FROM u WHERE contains(t, ' of the ') UNION ALL SELECT doc_id, 'Event.kind', 'B', 2 FROM u WHERE contains(t, ' in the ')
+  UNION ALL SELECT doc_id, 'Event.kind', 'C', 1 FROM u WHERE contains(t, ' the ') UNION ALL SELECT doc_id, 'Event.place', 'D', 1 FROM u WHERE contains(t, ' and ')
+  UNION ALL SELECT doc_id, 'Event.place', 'E', 1 FROM u WHERE contains(t, ' the and ')),
+m AS (SELECT *, max(p) OVER (PARTITION BY doc_id, path) AS top FROM f)
+SELECT doc_id, path, CASE WHEN count(DISTINCT value) = 1 THEN min(value) ELSE '' END AS value, CASE WHEN count(DISTINCT value) > 1 THEN 'CONFLICTING' ELSE 'RESOLVED' END AS state FROM m WHERE p = top GROUP BY 1, 2""",
     "situation_reading": f"""
 WITH t AS (SELECT o_orderkey, o_orderkey % 8 AS w, (o_custkey % 30)::VARCHAR AS days, o_totalprice::DECIMAL(16,2)::DECIMAL(18,2)::VARCHAR AS price FROM orders)
 {_said(
