@@ -41,9 +41,9 @@ def _integers(vectors: np.ndarray) -> np.ndarray:
     return vectors if most * most * max(1, vectors.shape[1]) < 2.0**53 else np.array([[int(x) for x in v] for v in vectors], object).reshape(vectors.shape)
 
 
-def _blocks(rows: DataFrame, name: str, count: int) -> DataFrame:
+def _blocks(rows: DataFrame, name: str, count: int, dealt_by: Column) -> DataFrame:
     """One row for each block of rows: their ids, the lengths of their vectors, the vectors' components and the cutoffs, in the same order."""
-    block = F.pmod(F.xxhash64("id", "vector"), F.lit(count))
+    block = F.pmod(F.xxhash64(dealt_by), F.lit(count))
     packed = rows.groupBy(block.alias(name)).agg(F.collect_list(F.struct("id", "vector", "cutoff")).alias("rows"))
     take = lambda c: F.transform("rows", lambda r: r[c])
     return packed.select(name, take("id").alias("ids"), F.transform("rows", lambda r: F.size(r["vector"])).alias("sizes"), F.flatten(take("vector")).alias("flat"), take("cutoff").alias("cutoffs"))
@@ -58,12 +58,13 @@ def search(table: DataFrame, is_query: Column, *, id_column: str = "vec_id", vec
     queries = rows.where("is_query").select("id", "vector")
     n, n_queries = rows.count(), queries.count()
     row_blocks, query_blocks = -(-n // rows_in_block) or 1, -(-n_queries // queries_in_block) or 1
-    candidates = checkpoint(_blocks(rows, "row_block", row_blocks)).drop("cutoffs")
+    # The rows are read from a checkpoint, so each has the same place there every time; equal rows go to different blocks.
+    candidates = checkpoint(_blocks(rows, "row_block", row_blocks, F.monotonically_increasing_id())).drop("cutoffs")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long")))
 
     def work(queries: DataFrame, phase, schema: str) -> DataFrame:
         """phase(ids, vectors, query ids, query vectors, cutoffs) for each pair of blocks."""
-        asked = _blocks(queries, "query_block", query_blocks).select(F.col("ids").alias("q_ids"), F.col("sizes").alias("q_sizes"), F.col("flat").alias("q_flat"), "cutoffs", everywhere.alias("row_block"))
+        asked = _blocks(queries, "query_block", query_blocks, F.struct("id", "vector")).select(F.col("ids").alias("q_ids"), F.col("sizes").alias("q_sizes"), F.col("flat").alias("q_flat"), "cutoffs", everywhere.alias("row_block"))
         pairs = asked.join(candidates, "row_block").drop("row_block")
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
