@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.llm import byte_bpe, chat_format, exact_topk, jaccard_join, mixing, pitman_yor, quality_mil, token_counts, toxicity_crf, vector_dedup
+from verdict.llm import byte_bpe, centroid_clusters, chat_format, exact_topk, jaccard_join, mixing, pitman_yor, quality_mil, token_counts, toxicity_crf, vector_dedup
 from verdict.llm.common import fold, table
 
 
@@ -64,13 +64,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup, op10_lm_score, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup, op10_lm_score, op12_centroid_clusters, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": exact_topk.SEARCH_SQL, "op7_chat_format": chat_format.FORMAT_SQL, "op8_source_mix": mixing.MIX_SQL, "op9_vector_dedup": vector_dedup.DEDUP_SQL}
+    return {"op6_exact_topk": exact_topk.SEARCH_SQL, "op7_chat_format": chat_format.FORMAT_SQL, "op8_source_mix": mixing.MIX_SQL, "op9_vector_dedup": vector_dedup.DEDUP_SQL, "op12_centroid_clusters": centroid_clusters.CLUSTER_SQL}
