@@ -16,7 +16,7 @@ The first centroids are the kept vectors with the smallest sha256 of salt + id,
 repeat are vectors each. A null id is kept and clustered, but is first centroid only where too few ids are not null.
 Vectors that are null, of another length than `dims`, or with null or non-finite components are left out. Fewer
 vectors than `k` give fewer clusters; an empty table gives no rows. Other columns are ignored, whatever their names.
-Components of any finite size are taken exactly; a squared distance beyond 64 bits raises an error.
+Components are taken exactly; one beyond 64 bits, or a squared distance beyond them, raises an error.
 """
 
 from __future__ import annotations
@@ -71,11 +71,6 @@ class Simplex:
             return np.column_stack([flat, np.sqrt(np.maximum(0, d[:, 0] - (flat**2).sum(1)))])
 
 
-def _floats(x: np.ndarray) -> np.ndarray:
-    """As doubles; integers beyond them become 1e300, with its sign."""
-    return np.clip(x, -(10**300), 10**300).astype(np.float64) if x.dtype == object else x.astype(np.float64)
-
-
 def bounds(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the distances of the vectors with apexes x to those with apexes y."""
     with np.errstate(over="ignore", invalid="ignore"):
@@ -91,6 +86,8 @@ def integers(x: np.ndarray, scale: int) -> np.ndarray:
     """floor(scale * x), in 64 bits where no component is beyond SMALL, else in Python's integers."""
     if np.abs(x).max(initial=0) * scale < SMALL:
         return np.floor(x * scale).astype(np.int64)
+    if np.abs(x).max() >= 2.0**62 / scale:
+        raise ArithmeticError("a component leaves 64 bits")
     return np.array([[math.floor(Fraction(float(c)) * scale) for c in row] for row in x], object).reshape(x.shape)
 
 
@@ -104,7 +101,7 @@ def nearest(vectors: np.ndarray, apexes: np.ndarray, centroids: np.ndarray, plac
 
     low, high = (np.nan_to_num(x, nan=n) for x, n in zip(bounds(apexes, placed), (0, np.inf), strict=True))
     first = low.argmin(1)
-    most = np.minimum(high.min(1), np.sqrt(_floats(squares(np.arange(len(v)), first))) * (1 + 1e-9))
+    most = np.minimum(high.min(1), np.sqrt(squares(np.arange(len(v)), first).astype(np.float64)) * (1 + 1e-9))
     i, c = np.nonzero(low <= most[:, None])
     d = squares(i, c)
     best = np.minimum.reduceat(d, np.searchsorted(i, np.arange(len(v))))
@@ -133,13 +130,13 @@ def cluster(table: DataFrame, *, id_column: str = "vec_id", vector_column: str =
     seeds = kept.orderBy(F.sha2(F.concat(F.lit(salt), F.col("vec_id").cast("string")), 256).asc_nulls_last(), "vector").limit(k).collect()
     if not seeds:
         return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
-    centroids = np.array([[math.floor(Fraction(x) * scale) for x in r["vector"]] for r in seeds], object)
-    simplex = Simplex(_floats(centroids), pivots)
+    centroids = integers(np.array([r["vector"] for r in seeds]), scale).astype(object)
+    simplex = Simplex(centroids.astype(np.float64), pivots)
     width = len(simplex.pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            apexes = simplex.apexes(_floats(integers(_matrix(b.column(1), dims), scale)))
+            apexes = simplex.apexes(integers(_matrix(b.column(1), dims), scale).astype(np.float64))
             ends = np.arange(0, apexes.size + 1, width, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, apexes.ravel())], ["vec_id", "vector", "apex"])
 
@@ -148,7 +145,7 @@ def cluster(table: DataFrame, *, id_column: str = "vec_id", vector_column: str =
     def assigned(b: pa.RecordBatch, now: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         vectors = integers(_matrix(b.column(1), dims), scale)
         now = now.astype(np.int64) if max(abs(int(x)) for x in now.flat) < SMALL else now
-        to, distance, _ = nearest(vectors, _matrix(b.column(2), width), now, simplex.apexes(_floats(now)))
+        to, distance, _ = nearest(vectors, _matrix(b.column(2), width), now, simplex.apexes(now.astype(np.float64)))
         return vectors, to, distance
 
     def sums(now):
