@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.llm import byte_bpe, centroid_clusters, chat_format, exact_topk, jaccard_join, mixing, pitman_yor, quality_mil, token_counts, toxicity_crf, vector_dedup
+from verdict.llm import byte_bpe, centroid_clusters, chat_format, exact_topk, jaccard_join, language_id, mixing, pitman_yor, quality_mil, token_counts, toxicity_crf, vector_dedup
 from verdict.llm.common import fold, table
 
 
@@ -68,12 +68,17 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3, 1)
+    return language_id.predict(docs, language_id.fit(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup, op10_lm_score, op12_centroid_clusters, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup, op10_lm_score, op12_centroid_clusters, op13_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
