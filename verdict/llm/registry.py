@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.llm import byte_bpe, centroid_clusters, chat_format, exact_topk, jaccard_join, language_id, mixing, pitman_yor, quality_mil, token_counts, toxicity_crf, vector_dedup
+from verdict.llm import byte_bpe, centroid_clusters, chat_format, exact_topk, jaccard_join, language_id, mixing, pitman_yor, quality_mil, token_alignment, token_counts, toxicity_crf, vector_dedup
 from verdict.llm.common import fold, table
 
 
@@ -64,6 +64,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return token_alignment.link_report(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -78,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup, op10_lm_score, op12_centroid_clusters, op13_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_toxicity, op4_quality, op5_byte_bpe, op6_exact_topk, op7_chat_format, op8_source_mix, op9_vector_dedup, op10_lm_score, op11_token_alignment, op12_centroid_clusters, op13_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
