@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from verdict.functions import money, text
 from verdict.functions.tristate import collapse, fold, label
-from verdict.operators import audits, decisions, documents, graphs, payments, search, situations, temporal
+from verdict.operators import audits, decisions, documents, graphs, payments, search, temporal
 from verdict.operators.components import components, reachable
 from verdict.plans import text_queries
 from verdict.sources.tables import manifest, package_problems, read_package
@@ -225,35 +225,6 @@ def test_line_groups_by_centre(spark):
     assert {(r["page"], r["block"]): r["line"] for r in documents.line_groups(df).collect()} == want
 
 
-def test_situations(spark):
-    cases = {
-        "입원을 했고 수술은 받지 않았다": {"Event.admission": ("true", "CONFIRMED"), "Event.surgery": ("false", "CONFIRMED")},
-        "3일간 입원했다": {"Event.admission": ("true", "CONFIRMED"), "Event.admission_days": ("3", "CONFIRMED")},
-        "아버지가 입원했다, 수술 예정": {"Event.admission": (None, "UNKNOWN"), "Event.surgery": (None, "UNKNOWN")},
-        "Kim had surgery": {"Event.surgery": ("true", "CONFIRMED")},
-        "my wife had surgery; Kim was admitted": {"Event.surgery": (None, "UNKNOWN"), "Event.admission": ("true", "CONFIRMED")},
-        "paid medical cost about 100 EUR": {"Receipt.billed": (None, "UNKNOWN")},
-        "영수증 진료비 1,234만원": {"Receipt.billed": ("12340000.00", "CONFIRMED")},
-        "coverage for surgery": {"Event.surgery": (None, "UNKNOWN")},
-        "": {},
-    }
-    df = spark.createDataFrame(list(enumerate(cases)), "id int, t string")
-    out = situations.merged(situations.facts(situations.clauses(df, "id", "t", ("Kim",)), "id"), "id").collect()
-    got = {t: {} for t in cases}
-    for r in out:
-        got[list(cases)[r["id"]]][r["path"]] = (r["value"], r["state"])
-    assert got == cases
-    places = situations.clauses(df, "id", "t").where("id = 4").orderBy("clause").collect()
-    assert [r["start"] for r in places] == [0, len("my wife had surgery;")]
-
-
-def test_whole_texts_in_clauses(spark):
-    df = spark.createDataFrame([(1, "no surgery. " * 5000)], "id int, t string")
-    read = situations.clauses(df, "id", "t")
-    assert read.count() == 5000
-    assert situations.facts(read, "id").where("value = 'false' and state = 'CONFIRMED'").count() == 5000
-
-
 def test_decide_with_a_precondition(spark):
     results = {"m": [True, True], "n": [True, False], "u": [True, None]}
     rows = [(f"{k}{p}", r, p) for k, rs in results.items() for p in (True, False, None) for r in rs]

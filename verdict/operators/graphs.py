@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdict.functions.checkpoints import checkpoint
@@ -74,3 +74,28 @@ def replacements(editions: DataFrame, replaced: DataFrame) -> DataFrame:
     done = way.join(ends, "to", "left").select("edition", F.coalesce("to", "edition").alias("node"), "competing", (F.col("to").isNull() | F.col("_goes_on").isNull()).alias("done"))
     state = F.when(F.col("competing"), "COMPETING").when(~F.col("done"), "CYCLIC").otherwise("APPLIED")
     return done.select("edition", F.when(state == "APPLIED", F.col("node")).alias("current"), state.alias("state"))
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(graph, node, layer, rank) of every node of the edges (graph, a, b): graphs peeled from those without edges into them.
+
+    A node's layer is the longest way to it; rank orders the nodes of a layer by their last predecessor's rank, then by node. Nodes on
+    a cycle or behind one have neither. One round for each layer, over the nodes that are left and the edges out of the last layer.
+    """
+    edges = checkpoint(edges.select("graph", "a", "b").distinct())
+    into = edges.groupBy("graph", F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("left"))
+    nodes = edges.select("graph", F.col("a").alias("node")).unionByName(into.select("graph", "node")).distinct()
+    left = checkpoint(into)
+    by_node = Window.partitionBy("graph").orderBy("node")
+    last = nodes.join(into, ["graph", "node"], "left_anti").select("graph", "node", F.lit(0).alias("layer"), F.row_number().over(by_node).alias("rank"))
+    found, layer = checkpoint(last), 0
+    last = found
+    while not last.isEmpty() and not left.isEmpty():
+        layer += 1
+        met = edges.join(last.withColumnRenamed("node", "a"), ["graph", "a"]).groupBy("graph", F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.max("rank").alias("_last"))
+        left = checkpoint(left.join(met, ["graph", "node"], "left").select("graph", "node", (F.col("left") - F.coalesce("_n", F.lit(0))).alias("left"), "_last"))
+        ready = Window.partitionBy("graph").orderBy("_last", "node")
+        last = checkpoint(left.where("left = 0").select("graph", "node", F.lit(layer).alias("layer"), F.row_number().over(ready).alias("rank")))
+        left = left.where("left > 0").select("graph", "node", "left")
+        found = found.unionByName(last)
+    return found.unionByName(left.select("graph", "node", F.lit(None).cast("int").alias("layer"), F.lit(None).cast("int").alias("rank")))

@@ -12,30 +12,39 @@ from verdict.plans.stand_ins import FACTS_SQL, FIELDS, order_facts
 from verdict.sources.tables import new_rows, table
 
 
-def _told(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders told in words, in eight ways."""
-    key, days = F.col("o_orderkey"), (F.col("o_custkey") % 30).cast("string")
-    price = F.col("o_totalprice").cast("decimal(16,2)").cast("string")
-    ways = (
-        F.concat(F.lit("Admitted for "), days, F.lit(" days. Had surgery")), F.lit("no surgery; admission planned"), F.lit("My mother was admitted"),
-        F.lit("surgery cancelled! received outpatient care"), F.concat(F.lit("paid medical cost "), price, F.lit(" EUR")),
-        F.lit("had surgery. did not have surgery"), F.concat(F.lit("admission scheduled for "), days, F.lit(" days? estimated hospital bill "), price, F.lit(" USD")), F.lit("nothing said, nothing known"),
-    )
-    text = ways[-1]
-    for i, way in reversed(list(enumerate(ways[:-1]))):
-        text = F.when(key % 8 == i, way).otherwise(text)
-    return table(spark, folder, "orders").select("o_orderkey", text.alias("text"))
+#: What is said of an order, in its days {d}, price {p} and date {t}. An order's text is two of them.
+SAID = (
+    "admitted for {d} days", "had surgery", "did not have surgery", "surgery is planned", "my mother was admitted", "surgery cancelled", "received outpatient care",
+    "paid medical cost {p} EUR", "estimated hospital bill {p} USD", "had surgery on {t}", "surgery consultation completed", "was diagnosed", "수술을 받았습니다", "{d}일간 입원했습니다",
+    "작년에 수술했습니다", "수술하지 않았습니다", "visit date {t}", "paid medical cost about {p} EUR", "maybe admitted", "nothing more today", "admitted for 3 to 5 days", "never diagnosed", "수술 상담을 받았습니다",
+)
+
+
+def _said_sql(cast: str) -> str:
+    """The texts of orders, and the day that each is read for, in either SQL."""
+    fill = lambda s: "concat(" + ", ".join(repr(x) if x not in "dpt" else {"d": "d", "p": "p", "t": "t"}[x] for x in s.replace("{", "\0").replace("}", "\0").split("\0") if x) + ")"
+    of = lambda n: "CASE " + " ".join(f"WHEN {n} % {len(SAID)} = {i} THEN {fill(s)}" for i, s in enumerate(SAID)) + " END"
+    return f"""
+SELECT o_orderkey, concat({of("o_orderkey")}, CASE WHEN o_custkey % 2 = 0 THEN '; ' ELSE ' but ' END, {of("k2")}) AS text, day FROM (
+  SELECT o_orderkey, o_custkey, CAST(floor(o_orderkey / {len(SAID)}) AS BIGINT) + o_custkey AS k2, CAST(o_custkey % 30 AS {cast}) AS d, CAST(CAST(o_totalprice AS DECIMAL(16,2)) AS {cast}) AS p,
+    CAST(CAST(o_orderdate AS DATE) AS {cast}) AS t, CASE WHEN o_custkey % 3 = 0 THEN date_trunc('month', o_orderdate)::DATE WHEN o_custkey % 3 = 1 THEN o_orderdate::DATE END AS day
+  FROM orders) x"""
 
 
 def situation_reading(spark: SparkSession, folder: str) -> DataFrame:
-    found = situations.facts(situations.clauses(_told(spark, folder), "o_orderkey", "text"), "o_orderkey")
-    return situations.merged(found, "o_orderkey").select("o_orderkey", "path", F.coalesce("value", F.lit("")).alias("value"), "state", "reason")
+    """What told orders say, read for the order's day, for another day, or for none."""
+    told = spark.sql(_said_sql("STRING").replace("FROM orders", "FROM {orders}"), orders=table(spark, folder, "orders"))
+    found = situations.merged(situations.facts(situations.clauses(told, "o_orderkey", "text", event_date="day"), "o_orderkey"), "o_orderkey")
+    return found.select("o_orderkey", "path", F.coalesce("value", F.lit("")).alias("value"), "state", F.coalesce("currency", F.lit("")).alias("currency"), F.array_join("reasons", ",").alias("reasons"))
 
 
 def situation_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """What whole documents say of clauses: how many are negated, planned, uncertain."""
-    read = situations.clauses(table(spark, folder, "documents").where("text is not null").dropDuplicates(["doc_id"]), "doc_id", "text")
-    return read.select("doc_id", situations.guard(F.col("body"), F.col("other")).alias("g")).groupBy("doc_id", "g.state", "g.reason").agg(F.count(F.lit(1)).alias("n"))
+    """What whole documents say of clauses: how many are negated, planned, uncertain. Rows that repeat an id and text are read once."""
+    own = table(spark, folder, "documents").select("doc_id", "text").where("text is not null").distinct()
+    own = own.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("text")))
+    said = situations.guard(F.col("body"), F.col("reasons"), F.lit(0), F.length("body"))
+    read = situations.clauses(own, "_key", "text").select(F.col("_key.doc_id").alias("doc_id"), said.alias("g"))
+    return read.select("doc_id", "g.state", F.array_join("g.reasons", ",").alias("reason")).groupBy("doc_id", "state", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 PHRASES = [("of the", "Event.kind", "A", 2), ("in the", "Event.kind", "B", 2), ("the", "Event.kind", "C", 1), ("and", "Event.place", "D", 1), ("the and", "Event.place", "E", 1)]
@@ -137,10 +146,6 @@ def negative_controls(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (phrase_facts, situation_reading, situation_documents, relevance_witness, candidate_grounding, footnotes, line_groups, search_filters, json_documents, json_windows, dedup_before_write, negative_controls)}
 
 
-def _said(*facts: tuple[int, str, str, str, str]) -> str:
-    return " UNION ALL ".join(f"SELECT o_orderkey, '{path}' AS path, {value} AS value, '{state}' AS state, '{reason}' AS reason FROM t WHERE w = {way}" for way, path, value, state, reason in facts)
-
-
 SQL = {
     "phrase_facts": r"""
 WITH w AS (SELECT doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g') || ' ' AS t FROM documents),
@@ -152,13 +157,44 @@ f AS (
 m AS (SELECT *, max(p) OVER (PARTITION BY doc_id, path) AS top FROM f)
 SELECT doc_id, path, CASE WHEN count(DISTINCT value) = 1 THEN min(value) ELSE '' END AS value, CASE WHEN count(DISTINCT value) > 1 THEN 'CONFLICTING' ELSE 'RESOLVED' END AS state FROM m WHERE p = top GROUP BY 1, 2""",
     "situation_reading": f"""
-WITH t AS (SELECT o_orderkey, o_orderkey % 8 AS w, (o_custkey % 30)::VARCHAR AS days, o_totalprice::DECIMAL(16,2)::DECIMAL(18,2)::VARCHAR AS price FROM orders)
-{_said(
-    (0, "Event.admission", "'true'", "CONFIRMED", "ACTIVITY_PERFORMED"), (0, "Event.admission_days", "days", "CONFIRMED", "ADMISSION_DAYS"), (0, "Event.surgery", "'true'", "CONFIRMED", "ACTIVITY_PERFORMED"),
-    (1, "Event.surgery", "'false'", "CONFIRMED", "ACTIVITY_NEGATED"), (1, "Event.admission", "''", "SCENARIO", "ACTIVITY_PLANNED"), (2, "Event.admission", "''", "UNKNOWN", "OTHER_SUBJECT"),
-    (3, "Event.surgery", "''", "UNKNOWN", "PLAN_CANCELLED"), (3, "Event.outpatient", "'true'", "CONFIRMED", "ACTIVITY_PERFORMED"), (4, "Receipt.billed", "price", "CONFIRMED", "BILLED_COST"),
-    (5, "Event.surgery", "''", "UNKNOWN", "LOCAL_FACT_CONFLICT"), (6, "Event.admission", "''", "UNKNOWN", "STATEMENT_UNCERTAIN"), (6, "Receipt.estimated", "price", "SCENARIO", "ESTIMATED_COST"),
-)}""",
+WITH told AS ({_said_sql("VARCHAR")}),
+c AS (SELECT o_orderkey AS k, day, unnest(string_split_regex(text, ';| but ')) AS b, generate_subscripts(string_split_regex(text, ';| but '), 1) AS i, contains(text, 'today') AS now FROM told),
+m AS (SELECT *, try_cast(nullif(regexp_extract(b, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), '') AS DATE) AS t, contains(b, 'visit date') AS visit FROM c),
+w AS (
+  SELECT *, bool_or(contains(b, 'mother')) OVER o AS other, last_value(CASE WHEN NOT visit THEN t END IGNORE NULLS) OVER o AS prior,
+    coalesce(last_value(CASE WHEN contains(b, '작년') THEN now WHEN contains(b, 'today') THEN false END IGNORE NULLS) OVER o, false) AS old,
+    coalesce(day IS NULL AND min(CASE WHEN NOT visit THEN t END) OVER (PARTITION BY k) <> max(CASE WHEN NOT visit THEN t END) OVER (PARTITION BY k), false) AS several
+  FROM m WINDOW o AS (PARTITION BY k ORDER BY i)),
+r AS (
+  SELECT *, list_filter([CASE WHEN other THEN 'SUBJECT_UNRESOLVED' END, CASE WHEN NOT visit AND (old OR several OR coalesce(prior <> day, false)) THEN 'OTHER_EVENT_TIME' END], lambda x: x IS NOT NULL) AS why,
+    CASE WHEN regexp_matches(b, '\\bcancelled\\b') THEN 'UNKNOWN:PLAN_CANCELLED' WHEN regexp_matches(b, '\\bmaybe\\b') THEN 'UNKNOWN:STATEMENT_UNCERTAIN'
+      WHEN regexp_matches(b, '\\b(?:not|never)\\b|않') THEN 'NEGATED:ACTIVITY_NEGATED' WHEN regexp_matches(b, '\\bplanned\\b') THEN 'PLANNED:ACTIVITY_PLANNED' ELSE 'AFFIRMED:' END AS said,
+    regexp_matches(b, '\\badmitted\\b|입원했') AS stayed FROM w),
+g AS (SELECT *, CASE WHEN len(why) > 0 THEN 'UNKNOWN' ELSE split_part(said, ':', 1) END AS s, CASE WHEN len(why) > 0 THEN array_to_string(why, ',') ELSE split_part(said, ':', 2) END AS q FROM r),
+a AS (
+  SELECT k, i, 'admission' AS what, s, q, stayed AS done FROM g WHERE regexp_matches(b, '\\badmitted\\b|입원')
+  UNION ALL SELECT k, i, 'outpatient', s, q, contains(b, 'received outpatient care') FROM g WHERE contains(b, 'outpatient')
+  UNION ALL SELECT k, i, 'surgery', CASE WHEN s <> 'UNKNOWN' AND talk OR talk AND len(why) = 0 THEN 'UNKNOWN' ELSE s END, CASE WHEN talk AND len(why) = 0 THEN 'ACTIVITY_UNRESOLVED' ELSE q END, regexp_matches(b, 'had surgery|수술을 받았|수술했')
+    FROM (SELECT *, regexp_matches(b, 'surgery consultation|수술 상담') AS talk FROM g) WHERE regexp_matches(b, '\\bsurgery\\b|수술')),
+n AS (SELECT *, regexp_extract(b, '(?:admitted for |^ ?)([0-9]+)(?: days|일간 입원)', 1) AS d, regexp_extract(b, '([0-9]+(?:\\.[0-9]{{1,2}})?) (EUR|USD)', ['p', 'u']) AS money FROM g),
+f AS (
+  SELECT k, i, 'Event.' || what AS path, CASE WHEN s = 'NEGATED' THEN 'false' WHEN s = 'AFFIRMED' AND done THEN 'true' ELSE '' END AS value,
+    CASE WHEN s = 'NEGATED' OR s = 'AFFIRMED' AND done THEN 'CONFIRMED' WHEN s = 'PLANNED' THEN 'SCENARIO' ELSE 'UNKNOWN' END AS state, '' AS currency,
+    CASE WHEN s = 'AFFIRMED' THEN CASE WHEN done THEN 'ACTIVITY_PERFORMED' ELSE 'ACTIVITY_UNRESOLVED' END ELSE q END AS reasons FROM a
+  UNION ALL SELECT k, i, 'Event.treatment_kind', 'surgery', 'CONFIRMED', '', 'ACTIVITY_PERFORMED' FROM a WHERE what = 'surgery' AND s = 'AFFIRMED' AND done
+  UNION ALL SELECT k, i, 'Event.diagnosis_confirmed', CASE WHEN s = 'NEGATED' THEN 'false' WHEN s = 'AFFIRMED' THEN 'true' ELSE '' END, CASE WHEN s = 'UNKNOWN' THEN s ELSE 'CONFIRMED' END, '',
+    CASE WHEN s = 'AFFIRMED' THEN 'DIAGNOSIS_CONFIRMED' ELSE q END FROM g WHERE contains(b, 'diagnosed')
+  UNION ALL SELECT k, i, 'Event.admission_days', CASE WHEN s = 'AFFIRMED' THEN d ELSE '' END, CASE WHEN s = 'AFFIRMED' THEN 'CONFIRMED' ELSE 'UNKNOWN' END, '', CASE WHEN s = 'AFFIRMED' THEN 'ADMISSION_DAYS' ELSE q END FROM n WHERE d <> '' AND NOT contains(b, ' to ')
+  UNION ALL SELECT k, i, path, CASE WHEN sure THEN money.p::DECIMAL(18,2)::VARCHAR ELSE '' END, CASE WHEN NOT sure THEN 'UNKNOWN' WHEN path = 'Receipt.estimated' THEN 'SCENARIO' ELSE 'CONFIRMED' END, CASE WHEN sure THEN money.u ELSE '' END,
+    CASE WHEN NOT sure THEN CASE WHEN s = 'UNKNOWN' THEN q ELSE 'COST_UNRESOLVED' END WHEN path = 'Receipt.estimated' THEN 'ESTIMATED_COST' ELSE 'BILLED_COST' END
+    FROM (SELECT *, CASE WHEN contains(b, 'estimated') THEN 'Receipt.estimated' ELSE 'Receipt.billed' END AS path, s = 'AFFIRMED' AND NOT contains(b, 'about') AS sure FROM n WHERE regexp_matches(b, 'medical cost|hospital bill'))
+  UNION ALL SELECT k, i, CASE WHEN visit THEN 'Event.visit_date' ELSE 'Event.event_date' END, CASE WHEN s = 'UNKNOWN' THEN '' ELSE t::VARCHAR END, CASE WHEN s = 'UNKNOWN' THEN s ELSE 'CONFIRMED' END, '', CASE WHEN s = 'UNKNOWN' THEN q ELSE 'EXPLICIT_DATE' END
+    FROM g WHERE t IS NOT NULL AND (visit OR coalesce(t = day, true))),
+x AS (SELECT *, state = 'UNKNOWN' AND len(list_filter(string_split(reasons, ','), lambda y: y NOT IN ('SUBJECT_UNRESOLVED', 'OTHER_EVENT_TIME'))) = 0 AS aside FROM f),
+y AS (SELECT * FROM x QUALIFY NOT aside OR bool_and(aside) OVER (PARTITION BY k, path)),
+z AS (SELECT k, path, count(DISTINCT (value, state, currency)) = 1 AS one, min(value) AS v, min(state) AS s, min(currency) AS c, list(reasons ORDER BY i) AS why FROM y GROUP BY k, path)
+SELECT k AS o_orderkey, path, CASE WHEN one THEN v ELSE '' END AS value, CASE WHEN one THEN s ELSE 'UNKNOWN' END AS state, CASE WHEN one THEN c ELSE '' END AS currency,
+  CASE WHEN NOT one THEN 'FACT_CONFLICT' WHEN len(why) = 1 OR why[1] = why[2] THEN why[1] WHEN contains(why[2], why[1]) THEN why[2] WHEN contains(why[1], why[2]) THEN why[1] ELSE why[1] || ',' || why[2] END AS reasons FROM z""",
     "relevance_witness": f"""
 WITH {FACTS_SQL},
 x AS (SELECT o_orderkey, is_fp, in_amount, in_days, CASE WHEN is_fp THEN 'CONFIRMED_EVENT' WHEN is_fp IS NULL AND o_custkey % 3 = 0 THEN 'LOCAL_TOPIC' END AS kind, CASE WHEN day IS NOT NULL THEN TRUE END AS dated FROM leaves),
