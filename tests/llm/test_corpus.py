@@ -176,6 +176,16 @@ def plain_mix(rows):
     return taken
 
 
+@pytest.mark.parametrize("rows", [[], [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "de", "t", 11), (None, None, None, None, None), (2, "a b c d e f g", "en", None, 13)]])
+def test_pipeline_without_rows_or_labels(spark, tmp_path, rows):
+    """Without labels both classifiers keep all; one of the copies stays, rows without words go, on each run the same."""
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = [sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) for _ in range(2)]
+    assert out[0] == out[1]
+    assert {r[0] for r in out[0]} == ({1, 2} if rows else set())
+
+
 def test_mix_stage_agrees_with_a_plain_version(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]

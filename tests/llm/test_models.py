@@ -287,6 +287,8 @@ def test_hashed_words_are_those_of_words():
         assert seen.setdefault(word, h) == h
     assert len(set(seen.values())) == len(seen)
     assert [len(x) for x in hashed_words(pa.array([], pa.string()))] == [0, 0]
+    large = hashed_words(array.cast(pa.large_string()))  # as a session with large variable types sends them
+    assert (large[0] == hashes).all() and (large[1] == counts).all()
 
 
 def test_lm_numbers_of_hot_words():

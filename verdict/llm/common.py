@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from verdict.functions.checkpoints import checkpoint
 from verdict.sources.tables import table
 
-__all__ = ["WORD", "checkpoint", "fold", "hashed_words", "labelled_sample", "mix", "table", "unused", "words"]
+__all__ = ["WORD", "checkpoint", "fold", "hashed_words", "labelled_sample", "mix", "most_frequent", "table", "unused", "words"]
 
 #: Words are runs of anything but these bytes; bytes.split() splits on the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,7 +58,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Bytes of words of up to 64 bytes are taken in together, the first of all words, the second of those that have one, and
     so on; longer ones are hashed one by one.
     """
-    texts = pc.fill_null(texts, "")
+    texts = pc.fill_null(texts, "").cast(pa.string())  # 32-bit offsets, whatever the session sends
     edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     if not len(texts) or edges[0] == edges[-1]:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
@@ -107,3 +107,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     sample = sample.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("label", "text")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     return sample, {v: max(1.0, counts.get(v, 0) / most) for v, most in per_class.items()}
+
+
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """At most `most` rows of counts: all whose n reaches a bound that a histogram of n gives. (The next lower step would be too many.)"""
+    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(n)) - 4, F.lit(0)))
+    level = (F.floor(F.col(n) / unit) * unit).cast("long")  # five leading bits
+    least, taken = None, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():  # a few hundred rows
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["level"]
+    return counts.where(F.lit(False)) if least is None else counts.where(F.col(n) >= least)

@@ -379,6 +379,8 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     repeated = found.where("h = kept_h and count > 1").select(F.col("h").alias(h), F.lit(True).alias(again))
     if repeated.isEmpty():
         return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
-    marked = kept.join(repeated, h, "left")
-    whole = marked.where(F.col(again).isNull()).unionByName(marked.where(again).dropDuplicates([h]))
+    marked, row = kept.join(repeated, h, "left"), F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")  # the same on every run; rows of one hash are equal
+    single = marked.where(again).groupBy(h).agg(first).select("row.*")
+    whole = marked.where(F.col(again).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(single)
     return whole.select(*(F.col(f"`{c}`") for c in docs.columns))

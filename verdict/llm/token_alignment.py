@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdict.functions.checkpoints import written
+from verdict.llm.common import most_frequent
 from verdict.llm.token_counts import PLAIN, tiered
 
 #: Ends of the shorter list that gallop together; characters aligned at once; links expanded at once.
@@ -268,7 +269,8 @@ def link_report(docs: DataFrame, path_a: str, pattern: str, path_b: str, *, id_c
     highest = counts.groupBy(F.floor(F.col("pair") / pieces).alias("a")).agg(F.max("n").alias("n")).toPandas()  # a row for each id of A at most
     best = np.zeros(int(highest["a"].max()) + 1 if len(highest) else 1, np.int64)
     best[highest["a"].to_numpy(np.int64)] = highest["n"]
-    tables = context.broadcast((best, *_hot(counts, hot_pairs)))
+    hot = most_frequent(counts, hot_pairs).select("pair", "n").toPandas().sort_values("pair")
+    tables = context.broadcast((best, hot["pair"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, hot, hot_n = tables.value
@@ -291,19 +293,3 @@ def link_report(docs: DataFrame, path_a: str, pattern: str, path_b: str, *, id_c
     totals = found.select("row", "n_best", "count_sum").unionByName(rare).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     facts = aligned.select("row", id_column, "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     return facts.join(totals, "row").select(id_column, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-
-
-def _hot(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pairs, at most `most`, ascending, and their counts: all with a count of a bound that a histogram gives, or more."""
-    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("n")) - 4, F.lit(0)))
-    level = (F.floor(F.col("n") / unit) * unit).cast("long")  # five leading bits
-    least, taken = None, 0
-    for r in counts.groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():  # a few hundred rows
-        taken += r["count"]
-        if taken > most:
-            break
-        least = r["level"]
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hot = counts.where(F.col("n") >= least).select("pair", "n").toPandas().sort_values("pair")
-    return hot["pair"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)

@@ -10,7 +10,8 @@ Texts that the plain split could treat otherwise than the library go to the libr
 of an added token, and those with characters outside PLAIN, for which the split's Unicode tables may be of
 another version. Tokenizers of other kinds (word BPE, SentencePiece) encode whole texts in the workers.
 
-Null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each. Other columns are ignored.
+Null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each. Other columns are ignored. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
