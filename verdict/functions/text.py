@@ -32,6 +32,11 @@ def excerpt(text: Column, limit: int = 320) -> Column:
     return F.substring(text, 1, limit)
 
 
+def words(text: Column) -> Column:
+    """The runs of letters and digits, in lower case, in their order."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+
+
 def tokens(text: Column, most: int | None = None) -> Column:
     """The distinct tokens of 2 to 64 letters and digits, in lower case and in order; the first `most` of them."""
     words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " ")

@@ -1,61 +1,193 @@
-"""Whether a candidate value stands in the text that it is said to come from: columns over text and value.
+"""Whether the fields of a candidate stand in the text that they are said to come from: columns over field and text.
 
-Texts compare after compatibility composition, case folding and collapsing of white space (`functions.text.folded`); the
-columns here take texts that are folded already. A value that the text does not prove is not grounded.
+Texts compare after compatibility composition, case folding and collapsing of white space (`functions.text.folded`, one Arrow batch at a
+time). A value that the text does not prove is not grounded: an amount or a date needs its label, and exactly one of it.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Unit words of amounts and what they stand for, and words of the kinds of a benefit.
-UNITS = {"백만원": 1_000_000, "만원": 10_000, "천원": 1_000, "억원": 100_000_000, "원": 1}
-CURRENCIES = ("KRW", "USD", "EUR", "JPY")
+from verdict.functions.text import folded
+
+# Labels, units, words of kinds and conditions, and what says that a rider is not enrolled.
+DATE_LABELS = {
+    "contract_start": r"계약(?:시작|개시)일|보험(?:시작|개시)일|contract start",
+    "contract_end": r"계약(?:종료|만기)일|보험(?:종료|만기)일|contract end",
+    "coverage_start": r"보장(?:시작|개시)일|coverage start",
+    "coverage_end": r"보장(?:종료|만기)일|coverage end",
+}
+DATE = r"\s*[:：|]?\s*([0-9]{4})[-./년]\s*([0-9]{1,2})[-./월]\s*([0-9]{1,2})(?:일)?(?![0-9])"
+UNITS = {"원": 1, "천원": 1000, "만원": 10000, "백만원": 1000000, "억원": 100000000}
+AMOUNT = (
+    r"(?:가입금액|보험가입금액|sum assured)\s*[:：|]?\s*"
+    r"([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?)\s*"
+    r"(백만원|만원|천원|억원|원|KRW|USD|EUR|JPY)(?!\w)"
+)
 KINDS = {"fixed": ("정액", "fixed"), "indemnity": ("실손", "indemnity")}
-_AMOUNT = r"(?i)(?<![\w.,])([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)\s*(" + "|".join([*UNITS, *CURRENCIES]) + r")(?!\w)"
+RENEWABLE = {"true": ("갱신형", "renewable: true"), "false": ("비갱신", "비갱신형", "renewable: false")}
+ISSUER = r"(?:보험사|보험회사|인수회사|발급회사|발급기관|발행기관|insurer|issuer)"
+ENROLLED = r"(?:담보명|특약명|가입담보|가입특약|rider name|enrolled rider)"
+TITLE_END = "_보험증권"
+UNENROLLED = (
+    r"^(?:미가입|미선택|가입\s*예시|not enrolled|example only)$",
+    r"\s(?:미가입|미선택|가입\s*예시|not\s+enrolled|example\s+only)$",
+    r"\((?:미가입|미선택|가입\s*예시)\)",
+    r"^(?:이|해당)\s*(?:표|담보|특약)(?:는|은)?\s*(?:가입\s*예시|미가입|가입하지\s*않)",
+    r"^미가입\s*(?:담보|특약)\s*(?:목록|내역)?$",
+)
+UNENROLLED_LINE = r"^\s*(?:미가입|미선택|not enrolled|example only)\s*$"
+NOTICE = r"^\s*(?:이|해당)\s*표"
+# Fixed values end.
+
+MOST_EVIDENCE = 16
+#: What splits lines.
+LINES = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 
 def spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _quoted(value: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _like(text: Column, before: str, value: Column, after: str) -> Column:
+    """Whether a folded text has a folded value between two patterns; never for an empty value."""
+    own = spaced(value)
+    return F.coalesce((own != "") & F.regexp_like(spaced(text), F.concat(F.lit(f"(?U){before}"), _quoted(own), F.lit(after))), F.lit(False))
+
+
 def names(text: Column, value: Column) -> Column:
     """Whether a folded text holds a folded value between word boundaries."""
-    own = spaced(value)
-    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(own, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
-    return F.coalesce((own != "") & F.regexp_like(spaced(text), quoted), F.lit(False))
+    return _like(text, r"(?<!\w)", value, r"(?!\w)")
+
+
+def lines(text: Column) -> Column:
+    return F.split(text, LINES, -1)
+
+
+def issued(text: Column, value: Column) -> Column:
+    """Whether a line of a folded text names the value as the issuer, by a label."""
+    return F.exists(lines(text), lambda line: _like(line, rf"^{ISSUER}\s*[:：]\s*", value, r"(?:$|\s*[;|])"))
+
+
+def titled(text: Column, value: Column) -> Column:
+    """Whether a line of a folded text ends in the value and the label of a certificate."""
+    return F.exists(lines(text), lambda line: _like(line, r"(?<!\w)", value, f"{TITLE_END}$"))
 
 
-def dated(text: Column, labels: tuple[str, ...], value: Column) -> Column:
-    """Whether exactly one labelled date stands in the text, and it is the value."""
-    any_of = "|".join(labels)
-    pattern = rf"(?i)(?:{any_of})\s*[:：|]?\s*([0-9]{{4}})[-./년]\s*([0-9]{{1,2}})[-./월]\s*([0-9]{{1,2}})(?:일)?(?![0-9])"
+def enrolled(text: Column, folded_text: Column, name: Column) -> Column:
+    """Whether a text enrols a rider by name: after a label, or at its beginning beside the one amount."""
+    plain = F.regexp_replace(spaced(folded_text), r"(?U)^\s*(?:(?:[0-9]+[.)]|[-•·])\s*)?", "")
+    return _like(folded_text, rf"^{ENROLLED}\s*[:：]\s*", name, r"(?!\w)") | (_like(plain, "^", name, r"(?!\w)") & (F.regexp_count(text, F.lit(f"(?iU){AMOUNT}")) == 1))
+
+
+def unenrolled(text: Column) -> Column:
+    """Whether a part of a text (between line ends, tabs and bars) says that something is not enrolled, or only an example."""
+    parts = F.transform(F.split(text, r"[\n\t|]", -1), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+    return F.exists(parts, lambda p: p.rlike("(?iU)" + "|".join(f"(?:{u})" for u in UNENROLLED)))
+
+
+def dated(text: Column, labels: str, value: Column) -> Column:
+    """Whether exactly one date with such a label stands in the text, and it is the value."""
+    pattern = f"(?iU)(?:{labels}){DATE}"
     part = lambda i: F.regexp_extract(text, pattern, i).try_cast("int")
     found = F.try_make_timestamp(part(1), part(2), part(3), F.lit(0), F.lit(0), F.lit(0)).cast("date")
     return F.coalesce((F.regexp_count(text, F.lit(pattern)) == 1) & (found == value), F.lit(False))
 
 
 def priced(text: Column, amount: Column, currency: Column) -> tuple[Column, Column]:
-    """Whether exactly one amount stands in the text: the amount's grounding, with its unit word, and the currency's."""
-    single = F.regexp_count(text, F.lit(_AMOUNT)) == 1
-    unit = F.upper(F.regexp_extract(text, _AMOUNT, 2))
+    """Whether exactly one amount with its label stands in the text: the amount's grounding, with its unit word, and the currency's."""
+    pattern = f"(?iU){AMOUNT}"
+    single = F.regexp_count(text, F.lit(pattern)) == 1
+    unit = F.upper(F.regexp_extract(text, pattern, 2))
     times = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair)), unit), F.lit(1))
-    number = F.regexp_replace(F.regexp_extract(text, _AMOUNT, 1), ",", "").try_cast("decimal(18,2)")
+    number = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "").try_cast("decimal(24,6)")
     of = F.when(unit.isin(*UNITS), "KRW").otherwise(unit)
     return F.coalesce(single & (number * times == amount), F.lit(False)), F.coalesce(single & (of == currency), F.lit(False))
 
 
+def one_of(text: Column, value: Column, words: dict[str, tuple[str, ...]]) -> Column:
+    """Whether a folded text holds words of exactly one of the conditions, and it is the value."""
+    has = {k: F.lit(False) for k in words}
+    for k, own in words.items():
+        for w in own:
+            has[k] |= names(text, F.lit(w))
+    found, right = sum((h.cast("int") for h in has.values()), F.lit(0)), F.lit(False)
+    for k, h in has.items():
+        right |= (value == k) & h
+    return F.coalesce((found == 1) & right, F.lit(False))
+
+
 def kind(text: Column, value: Column) -> Column:
     """Whether the words of exactly one kind stand in a folded text, and it is the value; "unknown" always holds."""
-    has = {k: F.lit(False) for k in KINDS}
-    for k, words in KINDS.items():
-        for w in words:
-            has[k] |= text.rlike(rf"(?U)(?<!\w){re.escape(w)}(?!\w)")
-    found = sum((h.cast("int") for h in has.values()), F.lit(0))
-    own = F.lit(False)
-    for k, h in has.items():
-        own |= (value == k) & h
-    return F.coalesce((value == "unknown") | ((found == 1) & own), F.lit(False))
+    return F.coalesce(value == "unknown", F.lit(False)) | one_of(text, value, KINDS)
+
+
+def _rider_text(text: Column, folded_lines: Column, name: Column) -> tuple[Column, Column]:
+    """Of several enrolment rows in one text the one that names the rider (empty where not exactly one does), and whether a row
+    of its own, the line after it or a notice says that it is not enrolled."""
+    own = lines(text)
+    named = F.transform(folded_lines, lambda line: names(line, name))
+    rows = F.array_distinct(F.filter(own, lambda line, i: F.get(named, i)))
+    after = F.filter(own, lambda line, i: (i > 0) & F.get(named, i - 1) & line.rlike(f"(?iU){UNENROLLED_LINE}"))
+    notices = F.filter(own, lambda line: line.rlike(f"(?U){NOTICE}"))
+    return F.when(F.size(rows) == 1, rows[0]).otherwise(""), unenrolled(F.array_join(F.concat(rows, after, notices), "\n"))
+
+
+def ground(fields: DataFrame, *, certificate_titles: bool = False, issuer_labels: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The candidates (candidate, status, issue) and their fields (candidate, position, field, value), judged by their texts.
+
+    fields: candidate, kind (rider, policy_contract), status, position, field, value (text), text (all that is cited, line by line),
+    primary (whether a primary policy source is cited), n_evidence, missing (whether a cited source is absent).
+
+    Only candidates in status AI_VERIFIED are judged; one stays so if every field is grounded, else it is NEEDS_REVIEW with the issue
+    of its first field that is not: NOT_ENROLLED or INVENTED_FIELD. A rider said not to be enrolled has the issue in any status.
+    A rider without a kind of benefit gets "unknown", and a named kind that its enrolment line does not tell becomes so.
+    """
+    own = Window.partitionBy("candidate")
+    name = F.max(F.when(F.col("field") == "rider_name", F.struct("value", "text", "primary", "n_evidence", "missing"))).over(own)
+    x = fields.withColumn("_name", name).withColumn("_benefit", F.max(F.when(F.col("field") == "benefit_type", F.col("value"))).over(own)).withColumn("_last", F.max("position").over(own))
+    x = x.withColumn("_rider", F.col("kind") == "rider")
+    gets = x.where("_rider and _benefit is null and field = 'rider_name'").select(
+        *(c for c in x.columns if c not in ("position", "field", "value")), (F.col("_last") + 1).alias("position"), F.lit("benefit_type").alias("field"), F.lit("unknown").alias("value")
+    )
+    x = x.unionByName(gets).withColumn("_unclassified", F.coalesce(F.col("_benefit"), F.when(F.col("_rider"), F.lit("unknown"))) == "unknown")
+    x = x.withColumn("_text_folded", folded("text")).withColumn("_n", folded(F.col("_name.value"))).withColumn("_v", folded("value"))
+    whole_lines = lines(F.col("_text_folded"))
+    of_rider = F.col("_rider") & F.col("_name.value").isNotNull()
+    row, excluded = _rider_text(F.col("text"), whole_lines, F.col("_n"))
+    x = x.withColumn("_row", F.when(of_rider, row).otherwise(F.col("text"))).withColumn("_excluded", F.coalesce(of_rider & excluded, F.lit(False)))
+    x = x.withColumn("_seen", folded("_row"))
+    text, seen, value = F.col("_row"), F.col("_seen"), F.col("value")
+    line = enrolled(text, seen, F.col("_n"))
+    any_kind = F.lit(False)
+    for w in (w for own_words in KINDS.values() for w in own_words):
+        any_kind |= names(seen, F.lit(w))
+    told = (F.col("field") == "benefit_type") & value.isin(*KINDS) & of_rider & line & ~any_kind
+    x = x.withColumn("value", F.when(told, "unknown").otherwise(value))
+    unnamed = (F.col("field") == "rider_name") & F.col("_unclassified") & of_rider & ~line
+    key = lambda c: F.regexp_replace(c, r"(?U)[\W_]+", "")
+    amount, currency = priced(text, value.try_cast("decimal(24,6)"), value)
+    field = F.col("field")
+    proof = F.when(field.isin("rider_status", "policy_status"), value == "unknown")
+    proof = proof.when(field == "insurer", names(seen, F.col("_v")) & (issued(seen, F.col("_v")) if issuer_labels else F.lit(True)))
+    proof = proof.when(field == "product_name", names(seen, F.col("_v")) | (titled(seen, F.col("_v")) & (F.col("kind") == "policy_contract") if certificate_titles else F.lit(False)))
+    proof = proof.when(field == "rider_name", names(seen, F.col("_v")))
+    proof = proof.when(field == "rider_key", (key(F.col("_v")) != "") & (key(F.col("_v")) == key(F.col("_n"))) & names(seen, F.col("_n")))
+    for which, labels in DATE_LABELS.items():
+        proof = proof.when(field == which, dated(text, labels, value.try_cast("date")))
+    proof = proof.when(field == "sum_assured", amount).when(field == "currency", currency).when(field == "benefit_type", kind(seen, F.col("value"))).when(field == "renewable", one_of(seen, value, RENEWABLE))
+    cited = F.col("primary") & ~F.col("missing") & F.col("n_evidence").between(1, MOST_EVIDENCE)
+    issue = F.when(F.col("_excluded"), "NOT_ENROLLED").when(unnamed | ~F.coalesce(cited, F.lit(False)) | ~F.coalesce(proof, F.lit(False)), "INVENTED_FIELD")
+    judged = x.select("candidate", "status", "position", "field", "value", F.col("field").eqNullSafe("rider_name").alias("_is_name"), "_excluded", "primary", issue.alias("issue"))
+    out = judged.groupBy("candidate").agg(
+        F.min("status").alias("_was"), F.min(F.when(F.col("issue").isNotNull(), F.struct("position", "issue"))).alias("_first"), F.coalesce(F.bool_or(F.col("_is_name") & F.col("_excluded") & F.col("primary")), F.lit(False)).alias("_out")
+    )
+    verified = F.col("_was") == "AI_VERIFIED"
+    code = F.when(F.col("_out"), "NOT_ENROLLED").when(verified, F.col("_first.issue"))
+    states = out.select("candidate", F.when(verified & code.isNotNull(), "NEEDS_REVIEW").otherwise(F.col("_was")).alias("status"), code.alias("issue"))
+    return states, judged.select("candidate", "position", "field", "value")

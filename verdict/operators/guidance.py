@@ -5,7 +5,7 @@ Every operator is a set of columns or one join and one aggregation over all rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The decisions that a coverage needs besides its enrolment, and statuses that end it.
@@ -198,8 +198,9 @@ def overlaid_facts(read: DataFrame, keys: list[str]) -> DataFrame:
     and is not true.
     """
     of = lambda origin, what: F.when(F.col("origin") == origin, what)
-    distinct = lambda origin: F.count_distinct(of(origin, F.col("value")))
     least = lambda origin: F.min(of(origin, F.col("value")))
+    # How many values there are, up to two: that is all that is asked of them.
+    distinct = lambda origin: F.when(F.max(of(origin, F.col("value"))) != least(origin), 2).when(least(origin).isNotNull(), 1).otherwise(0)
     x = read.groupBy(*keys, "path").agg(
         F.count_if(F.col("origin") == "explicit").alias("_e"), least("explicit").alias("_ev"), F.bool_and(of("explicit", F.col("confirmed"))).alias("_ec"),
         F.count_if(F.col("origin") == "interpreted").alias("_i"), distinct("interpreted").alias("_in"), least("interpreted").alias("_iv"), F.bool_and(of("interpreted", F.col("confirmed"))).alias("_ic"),
@@ -215,9 +216,9 @@ def overlaid_facts(read: DataFrame, keys: list[str]) -> DataFrame:
     against = lambda n, v: (F.col(n) > 1) | ((F.col(n) == 1) & (F.col(v) != F.col("_ev")))
     conflict = F.when(F.col("_e") > 0, F.coalesce(against("_in", "_iv"), F.lit(False)) | F.coalesce(against("_tn", "_tv"), F.lit(False))).otherwise((F.col("_in") > 1) | (F.col("_tn") > 1))
     out = x.select(*keys, "path", value.alias("value"), provenance.alias("provenance"), conflict.alias("conflict"))
-    entered = out.where((F.col("path") == "Event.admission") & F.col("provenance").isin("EXPLICIT", "UNCONFIRMED"))
-    refuted = entered.where("value is not null and (value <> 'true' or provenance <> 'EXPLICIT')").select(*keys, F.lit(True).alias("_refuted"))
-    marked = out.join(refuted, keys, "left")
+    entered = (F.col("path") == "Event.admission") & F.col("provenance").isin("EXPLICIT", "UNCONFIRMED") & F.col("value").isNotNull()
+    refuted = entered & ((F.col("value") != "true") | (F.col("provenance") != "EXPLICIT"))
+    marked = out.withColumn("_refuted", F.bool_or(refuted).over(Window.partitionBy(*keys)))
     lost = F.coalesce("_refuted", F.lit(False)) & (F.col("path") == "Event.admission_days") & (F.col("provenance") == "DERIVED_CONFIRMED")
     return marked.select(*keys, "path", F.when(~lost, F.col("value")).alias("value"), F.when(lost, "CONFLICTING").otherwise(F.col("provenance")).alias("provenance"), (F.col("conflict") | lost).alias("conflict"))
 

@@ -6,33 +6,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from verdict.functions.binding import let
 from verdict.functions.checkpoints import checkpoint
-from verdict.functions.text import similarity, tokens, trigrams
+from verdict.functions.text import similarity, tokens, trigrams, words
 
 #: Bounds of a query.
 QUERY_CHARS, RESULTS, SIMILAR = 160, 50, 0.4
 
 
-def search(corpus: DataFrame, query: str, *, id_column: str, title: str, text: str, limit: int = 10) -> DataFrame:
-    """The rows that hold every token of the query, or whose title is similar to it; the best `limit` of them.
+#: Fixed value: what a cover without other words adds to a rank.
+COVER = 0.1
 
-    Ranked by matched tokens, then similarity of the title, then id. (A database's cover-density rank has no
-    counterpart here; this is the declared substitute.) The limit comes before any wide column is joined.
+
+def cover_density(found: Column, n_terms: Column) -> Column:
+    """The cover-density rank of a text from the places of a query's terms: array<struct<pos,term>> by place, terms from 1 to n_terms.
+
+    A cover is a stretch that holds every term and no shorter stretch that does; each adds COVER / (1 + its other words). The stretch that
+    ends at a place begins at the least of the terms' last places; it is a cover where it begins later than the one before it. One pass
+    with the last place of each term as state; 0 where a term is missing.
+    """
+    place = "struct<pos:int,nth:int>"
+    start = F.struct(F.array_repeat(F.lit(None).cast(place), n_terms).alias("last"), F.lit(0).alias("nth"), F.lit(0).alias("begun"), F.lit(0.0).alias("rank"))
+
+    def step(state: Column, x: Column) -> Column:
+        nth = (state["nth"] + 1).alias("nth")
+        own = F.struct(x["pos"].cast("int").alias("pos"), nth)
+        moved = F.transform(state["last"], lambda v, i: F.when(i + 1 == x["term"], own).otherwise(v))
+
+        def judged(last: Column) -> Column:
+            first = F.when(F.forall(last, lambda v: v.isNotNull()), F.array_min(last))
+            fresh = F.coalesce(first["pos"] > state["begun"], F.lit(False))
+            others = (x["pos"] - first["pos"]) - (state["nth"] + 1 - first["nth"])
+            return F.struct(last.alias("last"), nth, F.when(fresh, first["pos"]).otherwise(state["begun"]).alias("begun"), (state["rank"] + F.when(fresh, COVER / (1 + others)).otherwise(0.0)).alias("rank"))
+
+        return let(moved, judged)
+
+    return F.aggregate(found, start, step, lambda s: s["rank"]).cast("float")
+
+
+def ranked(corpus: DataFrame, queries: list[str], *, id_column: str, title: str, text: str, page: str | None = None, limit: int = 10) -> DataFrame:
+    """For each query its best `limit` rows: query, position, id, relevance, similarity.
+
+    A row is found that holds every token of the query in title or text, or whose title is similar to it. Order: cover-density rank,
+    similarity of the title, page, id. Each text is cut to words once for all queries; what no query finds ends there, and only the
+    best of each task are shuffled. A query is 1 to 160 characters; anything else, or another limit than 1 to 50, is INVALID_QUERY.
     """
-    query = query.strip()
-    if not 0 < len(query) <= QUERY_CHARS or not 1 <= limit <= RESULTS:
+    asked = [q.strip() for q in queries]
+    if not asked or any(not 0 < len(q) <= QUERY_CHARS for q in asked) or not 1 <= limit <= RESULTS:
         raise ValueError("INVALID_QUERY")
-    asked = tokens(F.lit(query))
-    held = tokens(F.concat_ws(" ", title, text))
-    close = similarity(trigrams(F.col(title)), trigrams(F.lit(query)))
-    scored = corpus.select(id_column, F.size(F.array_intersect(asked, held)).alias("matched"), F.size(asked).alias("_asked"), close.alias("similarity"))
-    hits = scored.where((F.col("matched") == F.col("_asked")) & (F.col("_asked") > 0) | (F.col("similarity") >= SIMILAR))
-    return hits.orderBy(F.col("matched").desc(), F.col("similarity").desc(), id_column).limit(limit).drop("_asked")
+    each = F.array(*(F.struct(F.lit(q).alias("query"), words(F.lit(q)).alias("all"), trigrams(F.lit(q)).alias("grams")) for q in asked))
+    own = corpus.select(F.col(id_column), (F.col(page) if page else F.lit(0)).alias("_page"), F.coalesce(F.col(title), F.lit("")).alias("_title"), words(F.concat_ws(" ", title, text)).alias("_words"))
+    own = own.withColumn("_held", F.array_distinct("_words")).withColumn("_grams", trigrams(F.col("_title")))
+    tried = own.select("*", F.explode(F.filter(F.transform(each, lambda q: F.struct(q["query"].alias("query"), F.array_distinct(q["all"]).alias("terms"), similarity(F.col("_grams"), q["grams"]).alias("similarity"))),
+        lambda q: (q["similarity"] >= SIMILAR) | (F.size(q["terms"]) > 0) & (F.size(F.array_except(q["terms"], F.col("_held"))) == 0))).alias("q"))
+    places = F.filter(F.transform("_words", lambda w, i: F.struct((i + 1).alias("pos"), F.array_position(F.col("q.terms"), w).alias("term"))), lambda x: x["term"] > 0)
+    scored = tried.select(F.col("q.query").alias("query"), id_column, "_page", cover_density(places, F.size("q.terms")).alias("relevance"), F.col("q.similarity").alias("similarity"))
+    best = Window.partitionBy("query").orderBy(F.col("relevance").desc(), F.col("similarity").desc(), "_page", id_column)
+    return scored.withColumn("position", F.row_number().over(best)).where(F.col("position") <= limit).select("query", "position", id_column, "relevance", "similarity")
+
+
+def search(corpus: DataFrame, query: str, **how) -> DataFrame:
+    """The best rows for one query, as `ranked` finds them."""
+    return ranked(corpus, [query], **how).drop("query")
 
 
 def overlap_top(queries: DataFrame, passages: DataFrame, query_id: str, passage_id: str, text: str, *, per_query: int = 2, least: int = 1, query_block: int = 4096) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdict.operators import audits, decisions, documents, grounding, search, situations
@@ -68,25 +68,28 @@ def relevance_witness(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("o_orderkey", F.array_join(F.transform("w", lambda x: F.concat_ws(":", x["field"], x["kind"])), ",").alias("witnesses"))
 
 
+#: Orders as certificates of a rider, some with another rider's row, and the candidates read from them, of which some are wrong.
+_CERTIFICATES = """
+SELECT k, concat('Enrolled rider: Plan ', c, ' | sum assured: ', {price}, CASE k % 3 WHEN 0 THEN ' KRW' WHEN 1 THEN ' EUR' ELSE '만원' END, ' | coverage start ', t,
+    CASE k % 4 WHEN 0 THEN ' | fixed' WHEN 1 THEN ' | indemnity' WHEN 2 THEN ' | unfixed' ELSE ' | fixed, indemnity' END,
+    CASE WHEN k % 11 = 0 THEN ' | sum assured 5 EUR' WHEN k % 7 = 0 THEN ' | premium 10 EUR' ELSE '' END, CASE WHEN k % 17 = 0 THEN ' | not enrolled' ELSE '' END,
+    CASE WHEN k % 2 = 0 THEN concat('\n', 'Plan ', c, '0 | indemnity | sum assured 7 KRW | not enrolled') ELSE '' END, CASE WHEN k % 23 = 0 THEN concat('\n', 'Plan ', c, ' again') ELSE '' END) AS text,
+  concat('plan ', c, CASE WHEN k % 6 = 0 THEN '9' ELSE '' END) AS name, n * CASE WHEN k % 3 = 2 THEN 10000 ELSE 1 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS amount,
+  CASE WHEN k % 19 = 0 THEN 'USD' WHEN k % 3 = 1 THEN 'EUR' ELSE 'KRW' END AS currency, CASE k % 8 WHEN 0 THEN 'fixed' WHEN 1 THEN 'indemnity' WHEN 2 THEN 'fixed' WHEN 3 THEN 'fixed' WHEN 4 THEN 'unknown' END AS benefit,
+  {day} AS day, CASE WHEN k % 13 = 0 THEN 'REJECTED' ELSE 'AI_VERIFIED' END AS status
+FROM (SELECT o_orderkey AS k, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS n, CAST(o_orderdate AS DATE) AS d, {point} AS t FROM orders) x"""
+
+
 def candidate_grounding(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as texts of a certificate and the candidates read from them, of which some are wrong or stand twice."""
-    key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
-    day, price = F.col("o_orderdate").cast("date"), F.floor(F.col("o_totalprice")).cast("long")
-    text = F.concat(
-        F.lit("Insurer: Customer "), cust, F.lit(" | contract date: "), F.date_format(day, "yyyy.M.d"), F.when(key % 7 == 0, " | contract date 1990-01-01").otherwise(""),
-        F.lit(" | sum "), F.format_number(price, 0), F.when(key % 3 == 0, " KRW").when(key % 3 == 1, " EUR").otherwise("만원"), F.when(key % 11 == 0, " or 5 EUR").otherwise(""),
-        F.lit(" | "), F.when(key % 4 == 0, "fixed").when(key % 4 == 1, "indemnity").when(key % 4 == 2, "fixed, indemnity").otherwise("unfixed"),
-    )
-    amount = (price * F.when(key % 3 == 2, 10000).otherwise(1) + F.when(key % 5 == 0, 1).otherwise(0)).cast("decimal(28,2)")
-    by_amount, by_currency = grounding.priced(F.col("text"), F.col("amount"), F.col("currency"))
-    rows = table(spark, folder, "orders").select(
-        "o_orderkey", text.alias("text"), F.lower(text).alias("folded"), F.concat(F.lit("customer "), F.when(key % 6 == 0, F.concat(cust, F.lit("0"))).otherwise(cust)).alias("name"),
-        F.date_add(day, F.when(key % 9 == 0, 1).otherwise(0)).alias("day"), amount.alias("amount"), F.when(key % 3 == 1, "EUR").otherwise("KRW").alias("currency"), F.when(key % 2 == 0, "fixed").otherwise("indemnity").alias("kind"),
-    )
-    return rows.select(
-        "o_orderkey", grounding.names(F.col("folded"), F.col("name")).alias("by_name"), grounding.dated(F.col("text"), ("contract date",), F.col("day")).alias("by_day"),
-        by_amount.alias("by_amount"), by_currency.alias("by_currency"), grounding.kind(F.col("folded"), F.col("kind")).alias("by_kind"),
-    )
+    """Which candidates stand in their certificate, and the kind of benefit that is left to each."""
+    how = {"price": "format_number(n, 0)", "day": "date_add(d, CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END)", "point": "date_format(o_orderdate, 'yyyy.M.d')"}
+    x = spark.sql(_CERTIFICATES.format(**how).replace("FROM orders", "FROM {orders}"), orders=table(spark, folder, "orders"))
+    said = (("rider_name", "name"), ("sum_assured", "amount"), ("currency", "currency"), ("coverage_start", "day"), ("benefit_type", "benefit"))
+    each = F.filter(F.array(*(F.struct(F.lit(i).alias("position"), F.lit(f).alias("field"), F.col(c).cast("string").alias("value")) for i, (f, c) in enumerate(said))), lambda f: f["value"].isNotNull())
+    fields = x.select(F.col("k").alias("candidate"), F.lit("rider").alias("kind"), "status", "text", F.lit(True).alias("primary"), F.lit(1).alias("n_evidence"), F.lit(False).alias("missing"), F.inline(each))
+    states, kept = grounding.ground(fields)
+    benefit = kept.where("field = 'benefit_type'").select("candidate", F.col("value").alias("benefit"))
+    return states.join(benefit, "candidate").select(F.col("candidate").alias("o_orderkey"), "status", F.coalesce("issue", F.lit("")).alias("issue"), "benefit")
 
 
 def footnotes(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,10 +125,12 @@ def json_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def json_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Beside each order the JSON of all keys of its customer, and their number: frames without bounds."""
-    whole = Window.partitionBy("o_custkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keys = F.to_json(F.sort_array(F.collect_list(F.col("o_orderkey").cast("long")).over(whole)))
-    return table(spark, folder, "orders").select("o_orderkey", F.md5(keys.cast("binary")).alias("digest"), F.count(F.lit(1)).over(whole).alias("n"))
+    """Beside each order the digest of the JSON of all keys of its customer, and their number: a frame without bounds is one row for each
+    customer, so it is made once and joined, not carried by every row."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    keys = F.to_json(F.sort_array(F.collect_list(F.col("o_orderkey").cast("long"))))
+    frames = orders.groupBy("o_custkey").agg(F.md5(keys.cast("binary")).alias("digest"), F.count(F.lit(1)).alias("n"))
+    return orders.join(frames, "o_custkey").select("o_orderkey", "digest", "n")
 
 
 def dedup_before_write(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,9 +207,23 @@ y AS (SELECT *, (is_fp OR in_amount) AS a, (in_days OR dated OR NOT in_amount) A
 SELECT o_orderkey, CASE WHEN coalesce(NOT (a AND b), FALSE) THEN '' ELSE
   concat_ws(',', CASE WHEN NOT coalesce(NOT a, FALSE) AND kind IS NOT NULL THEN 'Event.kind:' || kind END, CASE WHEN NOT coalesce(NOT a, FALSE) AND in_amount THEN 'Event.amount:CONFIRMED_EVENT' END,
             CASE WHEN NOT coalesce(NOT b, FALSE) AND dated THEN 'Event.day:CONFIRMED_EVENT' END) END AS witnesses FROM y""",
-    "candidate_grounding": """
-SELECT o_orderkey, o_orderkey % 6 <> 0 AS by_name, o_orderkey % 7 <> 0 AND o_orderkey % 9 <> 0 AS by_day, o_orderkey % 11 <> 0 AND o_orderkey % 5 <> 0 AS by_amount, o_orderkey % 11 <> 0 AS by_currency,
-  (o_orderkey % 4 = 0) OR (o_orderkey % 4 = 1) AS by_kind FROM orders""",
+    "candidate_grounding": f"""
+WITH x AS ({_CERTIFICATES.format(price="format('{:,}', n)", day="d + CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END", point="strftime(o_orderdate, '%Y.%-m.%-d')")}),
+l AS (SELECT k, name, unnest(string_split(text, chr(10))) AS line FROM x),
+h AS (SELECT k, list(DISTINCT line) AS own, bool_or(regexp_matches(line, '\\| not enrolled$')) AS out FROM l WHERE regexp_matches(lower(line), '(?:^|[^0-9a-z_])' || name || '(?:[^0-9a-z_]|$)') GROUP BY k),
+r AS (SELECT x.*, CASE WHEN len(own) = 1 THEN own[1] ELSE '' END AS row, coalesce(out, false) AS out FROM x LEFT JOIN h USING (k)),
+m AS (
+  SELECT *, regexp_extract_all(row, 'sum assured:? ?[0-9,]+ ?(?:KRW|EUR|만원)') AS sums, regexp_extract(row, 'coverage start ([0-9]+)[.]([0-9]+)[.]([0-9]+)', ['y', 'm', 'd']) AS t,
+    regexp_matches(row, '\\bfixed\\b') AS fixed, regexp_matches(row, '\\bindemnity\\b') AS indemnity, regexp_matches(lower(row), '^enrolled rider: ' || name || '(?:[^0-9a-z_]|$)') AS enrolled FROM r),
+g AS (
+  SELECT *, CASE WHEN len(sums) = 1 THEN regexp_extract(sums[1], '([0-9,]+) ?(KRW|EUR|만원)', ['n', 'u']) END AS s,
+    CASE WHEN benefit IN ('fixed', 'indemnity') AND enrolled AND NOT fixed AND NOT indemnity THEN 'unknown' ELSE coalesce(benefit, 'unknown') END AS kept FROM m),
+j AS (
+  SELECT *, row <> '' AND (enrolled OR coalesce(benefit, 'unknown') <> 'unknown') AND coalesce(try_cast(replace(s.n, ',', '') AS BIGINT) * CASE WHEN s.u = '만원' THEN 10000 ELSE 1 END = amount, false)
+    AND coalesce(CASE WHEN s.u = 'EUR' THEN 'EUR' ELSE 'KRW' END = currency AND s.u IS NOT NULL, false) AND coalesce(make_date(try_cast(t.y AS INT), try_cast(t.m AS INT), try_cast(t.d AS INT)) = day, false)
+    AND (kept = 'unknown' OR kept = 'fixed' AND fixed AND NOT indemnity OR kept = 'indemnity' AND indemnity AND NOT fixed) AS proved FROM g)
+SELECT k AS o_orderkey, CASE WHEN status = 'AI_VERIFIED' AND (out OR NOT proved) THEN 'NEEDS_REVIEW' ELSE status END AS status,
+  CASE WHEN out THEN 'NOT_ENROLLED' WHEN status = 'AI_VERIFIED' AND NOT proved THEN 'INVENTED_FIELD' ELSE '' END AS issue, kept AS benefit FROM j""",
     "footnotes": """
 WITH t AS (SELECT p_partkey % 50 AS page, p_partkey AS id, p_size AS l, p_size + 30 AS r, p_partkey % 7 * 40 AS b FROM part),
 c AS (SELECT p_partkey AS id, '*' || p_partkey % 2 AS m FROM part WHERE p_partkey % 3 <> 0 UNION SELECT p_partkey, '*2' FROM part WHERE p_partkey % 5 = 0),

@@ -19,10 +19,20 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_and_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold all tokens of a query; the first 320 characters of each come from a join after the limit."""
+    """The best documents that hold all tokens of a query, or have them in their title; their first 320 characters come from a join after the limit."""
     docs = _docs(spark, folder).withColumn("title", F.substring("text", 1, 40))
-    hits = search.search(docs, "the there", id_column="doc_id", title="title", text="text", limit=20)
-    return hits.join(docs.select("doc_id", texts.excerpt(F.col("text")).alias("excerpt")), "doc_id").select("doc_id", "matched", "excerpt")
+    hits = search.search(docs, "is the", id_column="doc_id", title="title", text="text", limit=20)
+    own = docs.select("doc_id", texts.excerpt(F.col("text")).alias("excerpt"))
+    return hits.join(own, "doc_id").select("doc_id", "position", F.round("relevance", 4).alias("relevance"), "excerpt")
+
+
+RANKED = ("of the", "the is and", "that", "die der und", "de la", "Le  des, les", "in in the", "nowhere found")
+
+
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Several queries over whole documents in one pass, by cover density."""
+    docs = _docs(spark, folder).withColumn("title", F.substring("text", 1, 12))
+    return search.ranked(docs, list(RANKED), id_column="doc_id", title="title", text="text", limit=50).select("query", "position", "doc_id", F.round("relevance", 4).alias("relevance"))
 
 
 def trigram_titles(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +151,7 @@ def text_lines(spark: SparkSession, folder: str) -> DataFrame:
     return documents.text_lines(boxes).groupBy("page").agg((F.max("line") + 1).alias("n_lines"), F.count(F.lit(1)).alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (token_and_search, trigram_titles, overlap_topk, substring_score, text_normalization, search_tokens, folded_tokens, page_quality, page_quality_measures, redact_pii, role_classify, chunk_plan, envelope_packing, heading_regions, table_continuation, role_propagation, box_normalize, text_lines)}
+QUERIES = {f.__name__: f for f in (token_and_search, ranked_search, trigram_titles, overlap_topk, substring_score, text_normalization, search_tokens, folded_tokens, page_quality, page_quality_measures, redact_pii, role_classify, chunk_plan, envelope_packing, heading_regions, table_continuation, role_propagation, box_normalize, text_lines)}
 
 _TOKENS = r"list_sort(list_distinct(list_filter(string_split(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) BETWEEN 2 AND 64)))"
 _TRIGRAMS = r"list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -152,11 +162,32 @@ lines AS (
   FROM documents)"""
 _TABLES = "t AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_suppkey % 3 AS n_columns, min(l_partkey) AS table_id, min(l_quantity) AS l, bool_or(l_tax < 0.06::DOUBLE) AS marked FROM lineitem GROUP BY 1, 2, 3)"
 
+
+def _ranked_sql(queries: tuple[str, ...], title: int, limit: int, more: str = "") -> str:
+    """Cover density by windows: at each place of a term the last places of all terms (up to three)."""
+    split = r"list_filter(string_split(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    last = lambda c: [f"max(CASE WHEN term = {i} OR n < {i} THEN {c} END) OVER w" for i in (1, 2, 3)]
+    least = lambda c: f"CASE WHEN {' AND '.join(f'{x} IS NOT NULL' for x in last(c))} THEN least({', '.join(last(c))}) END"
+    return f"""
+WITH {_D}, t AS (SELECT doc_id, text, substr(text, 1, {title}) AS title, {split.format(x=f"substr(text, 1, {title}) || ' ' || text")} AS words, {_TRIGRAMS.format(x=f"substr(text, 1, {title})")} AS g FROM d),
+q AS (SELECT query, list_distinct({split.format(x="query")}) AS terms, {_TRIGRAMS.format(x="query")} AS h FROM (SELECT unnest({list(queries)!r}) AS query)),
+hit AS (
+  SELECT *, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h)))::DOUBLE AS similarity FROM (SELECT doc_id, words, g FROM t) CROSS JOIN q
+  WHERE len(terms) > 0 AND len(list_filter(terms, lambda x: NOT list_contains(words, x))) = 0 OR len(list_intersect(g, h)) >= 0.4 * (len(g) + len(h) - len(list_intersect(g, h)))),
+p AS (SELECT query, doc_id, len(terms) AS n, pos, list_position(terms, words[pos]) AS term FROM hit, unnest(range(1, len(words) + 1)) AS r(pos) WHERE list_contains(terms, words[pos])),
+o AS (SELECT *, row_number() OVER (PARTITION BY query, doc_id ORDER BY pos) AS nth FROM p),
+s AS (SELECT *, {least("pos")} AS begun, {least("nth")} AS begun_nth FROM o WINDOW w AS (PARTITION BY query, doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT * FROM s QUALIFY begun IS NOT NULL AND begun > coalesce(lag(begun) OVER (PARTITION BY query, doc_id ORDER BY pos), 0)),
+r AS (SELECT query, doc_id, sum(0.1::DOUBLE / (1 + (pos - begun) - (nth - begun_nth)) ORDER BY pos)::FLOAT AS relevance FROM c GROUP BY query, doc_id),
+z AS (
+  SELECT query, (row_number() OVER (PARTITION BY query ORDER BY coalesce(relevance, 0) DESC, similarity DESC, doc_id))::INT AS position, doc_id, coalesce(relevance, 0)::FLOAT AS relevance
+  FROM hit LEFT JOIN r USING (query, doc_id) QUALIFY position <= {limit})
+SELECT {more or "query"}, doc_id, position, round(relevance, 4)::FLOAT AS relevance FROM z{" JOIN d USING (doc_id)" if more else ""}"""
+
+
 SQL = {
-    "token_and_search": f"""
-WITH {_D}, x AS (SELECT doc_id, text, {_TOKENS.format(x="substr(text, 1, 40) || ' ' || text")} AS held FROM d)
-SELECT doc_id, 2 AS matched, substr(text, 1, 320) AS excerpt FROM x WHERE list_contains(held, 'the') AND list_contains(held, 'there')
-ORDER BY doc_id LIMIT 20""",
+    "token_and_search": _ranked_sql(("is the",), 40, 20, "substr(text, 1, 320) AS excerpt"),
+    "ranked_search": _ranked_sql(RANKED, 12, 50),
     "trigram_titles": f"""
 WITH x AS (SELECT DISTINCT p_name, {_TRIGRAMS.format(x="p_name")} AS a, {_TRIGRAMS.format(x="'smal widgett'")} AS b FROM part),
 y AS (SELECT p_name, len(list_intersect(a, b)) AS n, len(a) + len(b) AS m FROM x)
