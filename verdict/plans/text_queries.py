@@ -151,7 +151,22 @@ def text_lines(spark: SparkSession, folder: str) -> DataFrame:
     return documents.text_lines(boxes).groupBy("page").agg((F.max("line") + 1).alias("n_lines"), F.count(F.lit(1)).alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (token_and_search, ranked_search, trigram_titles, overlap_topk, substring_score, text_normalization, search_tokens, folded_tokens, page_quality, page_quality_measures, redact_pii, role_classify, chunk_plan, envelope_packing, heading_regions, table_continuation, role_propagation, box_normalize, text_lines)}
+def line_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of pages in two columns, some in rows of tables, some of another layer, as views of lines; how many compete with another column."""
+    words = _pages(spark, folder).select(F.col("page_id").alias("page"), F.posexplode(F.split("html", r"\s+")).alias("position", "word"))
+    row, place = F.floor(F.col("position") / 6), F.col("position") % 6
+    left = (row % 2) * 300.0 + place * 48.0 + F.when(F.col("position") % 11 == 0, 16.0).otherwise(0.0)
+    top = F.floor(row / 2) * 14.0 + F.when(F.length("word") % 5 == 0, 3.0).otherwise(0.0)
+    nodes = words.select(
+        "page", "position", F.concat_ws("-", "page", "position").alias("node"), F.when(F.length("word") % 17 == 0, "TABLE_ROW").otherwise("BLOCK").alias("kind"), (F.length("word") % 19 != 0).alias("schedulable"),
+        F.col("position").alias("reading_order"), F.when(F.length("word") % 13 == 0, "ocr").otherwise("native").alias("layer"), F.col("word").alias("text"), left.alias("left"), top.alias("top"),
+        (left + F.least(F.length("word"), F.lit(12)) * 4.0).alias("right"), (top + 10).alias("bottom"),
+    )
+    views, _ = documents.line_views(nodes)
+    return views.groupBy("page").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.size("spans")).alias("n_words"), F.count("issue").alias("n_unresolved"), F.sum(F.length("text")).alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (line_views, token_and_search, ranked_search, trigram_titles, overlap_topk, substring_score, text_normalization, search_tokens, folded_tokens, page_quality, page_quality_measures, redact_pii, role_classify, chunk_plan, envelope_packing, heading_regions, table_continuation, role_propagation, box_normalize, text_lines)}
 
 _TOKENS = r"list_sort(list_distinct(list_filter(string_split(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) BETWEEN 2 AND 64)))"
 _TRIGRAMS = r"list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
