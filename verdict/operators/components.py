@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from verdict.functions.checkpoints import checkpoint
 
 
+#: Rounds of a fixpoint whose parts stay apart.
+PARTS = 16
+
+
 def _mark(df: DataFrame, *columns: str) -> tuple:
     """What tells two row sets apart, whatever their order."""
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
@@ -43,12 +47,15 @@ def reachable(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame
 def _fixpoint(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     found = checkpoint(start)
     fresh = found
-    for _ in range(most):
+    for n in range(1, most + 1):
         reached = fresh.join(edges.select(F.col("a").alias("node"), F.col("b").alias("_to")), "node").select("root", F.col("_to").alias("node")).distinct()
         fresh = checkpoint(reached.join(found, ["root", "node"], "left_anti"))
         if fresh.isEmpty():
             return found
-        found = checkpoint(found.unionByName(fresh))
+        # What each round finds is kept as a part of its own, not written again with all before; only long chains are put together.
+        found = found.unionByName(fresh)
+        if n % PARTS == 0:
+            found = checkpoint(found)
     raise RuntimeError("REACHABILITY_LIMIT")
 
 

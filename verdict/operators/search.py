@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,6 +20,8 @@ from verdict.functions.text import similarity, tokens, trigrams, words
 QUERY_CHARS, RESULTS, SIMILAR = 160, 50, 0.4
 
 
+#: Passages that are counted against a block of queries at once.
+PASSAGES = 128
 #: Fixed value: what a cover without other words adds to a rank.
 COVER = 0.1
 
@@ -79,7 +82,7 @@ def overlap_top(queries: DataFrame, passages: DataFrame, query_id: str, passage_
     """For each query the passages that share most distinct tokens with it: (query_id, position, passage_id, score).
 
     Every query is scored against every passage, common tokens included. Queries have at most 64 tokens each; a block
-    of `query_block` queries is broadcast as lists of queries by token, passages are read once for each block, and a
+    of `query_block` queries is broadcast as lists of queries by token, passages are cut to tokens once, and a
     task keeps its best `per_query` passages of each query, so only these are shuffled. Ties go to the smaller id. A
     query without tokens, or that shares fewer than `least` with every passage, has no row. Ids of queries are unique.
     """
@@ -87,31 +90,49 @@ def overlap_top(queries: DataFrame, passages: DataFrame, query_id: str, passage_
     asked = checkpoint(queries.select(query_id, tokens(F.col(text), 64).alias("_q")).where(F.size("_q") > 0))
     blocks = max(1, -(-asked.count() // query_block))
     q_kind, p_kind = dict(queries.dtypes)[query_id], dict(passages.dtypes)[passage_id]
-    held = passages.select(passage_id, tokens(F.col(text)).alias("_p"))
+    held = passages.select(passage_id, F.array_distinct(F.filter(words(F.col(text)), lambda w: F.length(w).between(2, 64))).alias("_p"))
+    held = checkpoint(held) if blocks > 1 else held  # cut to tokens once for all blocks
     found = None
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).collect()
         by_token: dict[str, list[int]] = {}
-        for i, (_, words) in enumerate(rows):
-            for w in words:
+        for i, (_, asked_words) in enumerate(rows):
+            for w in asked_words:
                 by_token.setdefault(w, []).append(i)
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], {w: np.array(x, np.int32) for w, x in by_token.items()}))
+        ends = np.cumsum([0, *map(len, by_token.values())])
+        of_token = np.array([i for own in by_token.values() for i in own], np.int64)
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], list(by_token), ends, of_token))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, by_token = shared.value
+            ids, vocabulary, ends, of_token = shared.value
+            vocabulary = pa.array(vocabulary, pa.string())
+            every = np.arange(len(ids))
             score = np.zeros((per_query, len(ids)), np.int64)
             passage = np.full((per_query, len(ids)), None, object)
             for batch in batches:
-                for own, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    lists = [x for w in words or () if (x := by_token.get(w)) is not None]
-                    if own is None or not lists:
-                        continue
-                    n = np.bincount(np.concatenate(lists), minlength=len(ids))
-                    for i in np.flatnonzero((n >= least) & (n >= score[-1])):
-                        at = next((k for k in range(per_query) if (-n[i], own) < (-score[k, i], passage[k, i]) or passage[k, i] is None), None)
-                        if at is not None:
-                            score[at + 1 :, i], passage[at + 1 :, i] = score[at:-1, i].copy(), passage[at:-1, i].copy()
-                            score[at, i], passage[at, i] = n[i], own
+                own_ids = batch.column(0).to_pylist()
+                order = sorted((j for j, x in enumerate(own_ids) if x is not None), key=own_ids.__getitem__)
+                for start in range(0, len(order), PASSAGES):
+                    part = order[start : start + PASSAGES]
+                    lists = batch.column(1).take(pa.array(part))
+                    of = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                    token = pc.index_in(lists.flatten().cast(pa.string()), vocabulary)
+                    asked_for = pc.is_valid(token).to_numpy(zero_copy_only=False)
+                    token, of = pc.drop_null(token).to_numpy(), of[asked_for]
+                    many = ends[token + 1] - ends[token]
+                    inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    cell = np.repeat(of, many) * len(ids) + of_token[np.repeat(ends[token], many) + inside]
+                    n = np.bincount(cell, minlength=len(part) * len(ids)).reshape(len(part), len(ids))
+                    for _ in range(per_query):
+                        top = n.argmax(0)  # the first of equals, which has the smallest id
+                        most = n[top, every]
+                        n[top, every] = 0
+                        for i in np.flatnonzero((most >= least) & (most >= score[-1])):
+                            own = own_ids[part[top[i]]]
+                            at = next((k for k in range(per_query) if passage[k, i] is None or (-most[i], own) < (-score[k, i], passage[k, i])), None)
+                            if at is not None:
+                                score[at + 1 :, i], passage[at + 1 :, i] = score[at:-1, i].copy(), passage[at:-1, i].copy()
+                                score[at, i], passage[at, i] = most[i], own
             k, i = np.nonzero(score)
             columns = ([ids[x] for x in i], passage[k, i].tolist(), score[k, i].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], names)
