@@ -268,3 +268,9 @@ def test_phrases_with_endings(spark):
     for r in decisions.phrase_facts(df, "id", "folded", entries).collect():
         got[list(cases)[r["id"]]][r["path"]] = (r["value"], r["state"])
     assert got == cases
+
+
+def test_closure_follows_ways_longer_than_any_depth(spark):
+    edges = spark.range(1, 36).selectExpr("id AS a", "id + 1 AS b")
+    got = graphs.closure(edges, spark.range(1, 36).withColumnRenamed("id", "node"), spark.createDataFrame([(1,)], "root long"))
+    assert [tuple(r) for r in got.collect()] == [(1, 35, 1, "MISSING")]

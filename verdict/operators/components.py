@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +38,19 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """(root, node): everything that edges (a, b) lead to from each start node (root), the root itself included.
 
-    A fixpoint with distinct rows, so cycles end; each round only follows what the last one found.
+    A fixpoint with distinct rows, so cycles end; each round only follows what the last one found. It goes on until a round finds
+    nothing; with `most`, a longer way is an error.
     """
     return _fixpoint(edges, start.select("root", F.col("root").alias("node")).distinct(), most)
 
 
-def _fixpoint(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
+def _fixpoint(edges: DataFrame, start: DataFrame, most: int | None) -> DataFrame:
     found = checkpoint(start)
     fresh = found
-    for n in range(1, most + 1):
+    for n in count(1) if most is None else range(1, most + 1):
         reached = fresh.join(edges.select(F.col("a").alias("node"), F.col("b").alias("_to")), "node").select("root", F.col("_to").alias("node")).distinct()
         fresh = checkpoint(reached.join(found, ["root", "node"], "left_anti"))
         if fresh.isEmpty():
@@ -59,7 +62,7 @@ def _fixpoint(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     raise RuntimeError("REACHABILITY_LIMIT")
 
 
-def reached(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+def reached(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """(node): the start nodes (node) and everything that edges (a, b) lead to from any of them; each node once."""
     one = start.select(F.lit(0).alias("root"), "node").distinct()
     return _fixpoint(edges, one, most).select("node")

@@ -29,10 +29,10 @@ def lineage(nodes: DataFrame, node: str, parent: str, depth: int = DEPTH) -> Dat
     return found
 
 
-def closure(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """For each root how many nodes it depends on, and its problems: MISSING targets and CYCLE through it.
+def closure(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """For each root how many nodes it depends on, at any distance, and its problems: MISSING targets and CYCLE through it.
 
-    edges: (a, b), a depends on b; nodes: those that exist; roots: column root.
+    edges: (a, b), a depends on b; nodes: those that exist; roots: column root. With `depth`, a longer way is an error.
     """
     within = reachable(edges, roots, depth)
     known = nodes.select(F.col("node"), F.lit(1).alias("_known"))
