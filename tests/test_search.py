@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdict.operators import grounding, search
+from verdict.plans import reading_queries
 
 WORDS = "a b c d e".split()
 
@@ -98,3 +99,8 @@ def test_contracts(spark):
         cited.append((len(cited), *cited[0][1:7], primary, n, missing))
     states = {r["candidate"]: r["status"] for r in grounding.ground(spark.createDataFrame(cited, FIELD))[0].collect()}
     assert states == {0: "AI_VERIFIED", 1: "NEEDS_REVIEW", 2: "NEEDS_REVIEW", 3: "NEEDS_REVIEW", 4: "NEEDS_REVIEW"}
+
+
+def test_a_text_is_judged_once_for_all_its_fields(spark, small):
+    plan = reading_queries.candidate_grounding(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("ArrowEvalPython [") == 1

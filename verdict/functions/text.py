@@ -23,6 +23,13 @@ def folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def folded_each(texts: pd.Series) -> pd.Series:
+    """Each text of an array, folded; the texts of a row cross to Python together."""
+    fold = lambda x: None if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold()
+    return texts.map(lambda row: None if row is None else [fold(x) for x in row])
+
+
 def spaced(text: Column) -> Column:
     """Punctuation (Unicode P) becomes a space, white space collapses, ends are trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\p{P}", " "), r"\s+", " "))

@@ -87,9 +87,8 @@ def candidate_grounding(spark: SparkSession, folder: str) -> DataFrame:
     said = (("rider_name", "name"), ("sum_assured", "amount"), ("currency", "currency"), ("coverage_start", "day"), ("benefit_type", "benefit"))
     each = F.filter(F.array(*(F.struct(F.lit(i).alias("position"), F.lit(f).alias("field"), F.col(c).cast("string").alias("value")) for i, (f, c) in enumerate(said))), lambda f: f["value"].isNotNull())
     fields = x.select(F.col("k").alias("candidate"), F.lit("rider").alias("kind"), "status", "text", F.lit(True).alias("primary"), F.lit(1).alias("n_evidence"), F.lit(False).alias("missing"), F.inline(each))
-    states, kept = grounding.ground(fields)
-    benefit = kept.where("field = 'benefit_type'").select("candidate", F.col("value").alias("benefit"))
-    return states.join(benefit, "candidate").select(F.col("candidate").alias("o_orderkey"), "status", F.coalesce("issue", F.lit("")).alias("issue"), "benefit")
+    benefit = F.inline(F.transform(F.filter("fields", lambda f: f["field"] == "benefit_type"), lambda f: F.struct(f["value"].alias("benefit"))))
+    return grounding.grounded(fields).select(F.col("candidate").alias("o_orderkey"), "status", F.coalesce("issue", F.lit("")).alias("issue"), benefit)
 
 
 def footnotes(spark: SparkSession, folder: str) -> DataFrame:
