@@ -158,6 +158,16 @@ def test_bounded_learning(spark):
     assert lid.fit(df, F.lit(True), characters=20000).predict(["they have this from that"])[0][0] == "en"
 
 
+def test_every_language_is_learnt(spark):
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 700)]
+    of = {f"l{i:02}": "".join(alphabet[10 * i : 10 * i + 10]) for i in range(70)}
+    rng = random.Random(10)
+    rows = [(i, " ".join("".join(rng.choices(own, k=4)) for _ in range(9)), x) for i, (x, own) in enumerate((y for y in of.items() for _ in range(1 if y[0] == "l69" else 6)))]
+    model = lid.fit(table(spark, rows), F.lit(True))
+    assert model.languages == sorted(of)
+    assert [x[0] for x in model.predict([t for _, t, _ in rows])] == [x for *_, x in rows]
+
+
 def test_nothing_to_learn_from(spark):
     df = table(spark, [(1, "some text", None), (2, None, "en"), (3, "77", "de")])
     for learn in (F.lit(True), F.lit(False)):

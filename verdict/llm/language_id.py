@@ -14,9 +14,11 @@ these pieces' cross-entropies, less their mean and times the root of their lengt
 above); a text above that of its language (longer ones taken at the longest piece's length) is `rejected`: its language is
 probably none of those learnt.
 
-Learning is bounded by documented parameters: the `languages` most frequent languages, about `characters` characters
-of each (fewer where there are more than 16 languages), in windows that a hash of their own content picks from all rows, copies once.
-Totals and letters are counted over all rows. Where the arrays would pass `CELLS` cells, the rarest n-grams are left out.
+Every language of the rows is learnt (unless `languages` asks for the most frequent alone), from about `characters` characters of each
+(fewer where there are more than 16 languages, but at least `LEAST_WINDOWS` windows), in windows that a hash of their own content
+picks from all rows, copies once. A language whose windows all fall to calibration is counted by them. Totals and letters are counted over
+all rows. Languages lie in arrays by `BLOCK`; where all these would pass `CELLS` cells, the rarest n-grams are left out, of each
+language never its most frequent ones.
 
 A text that is null or has no letter is `und`, with score 0, no cross-entropy, and rejected; so is every text where nothing
 could be learnt. Rows with a null language teach nothing; a null id is held out by `fold`. Texts are taken whole. Repeated
@@ -40,9 +42,9 @@ from verdict.llm.common import checkpoint, mix
 
 ORDER, BITS = 5, 12
 OTHER = (1 << BITS) - 1
-CELLS = 1 << 25
+CELLS, BLOCK = 1 << 25, 16
 #: Characters of a window for learning, and of the pieces that windows for calibration are cut into, in turn.
-WINDOW, PIECES = 1024, (24, 100, 400, 500)
+WINDOW, PIECES, LEAST_WINDOWS = 1024, (24, 100, 400, 500), 8
 #: Characters that are scored at once.
 CHUNK = 1 << 19
 
@@ -162,19 +164,22 @@ class Model:
         known = [i for i, (keys, _) in enumerate(counted) if len(keys)]
         self.languages, self.letters = [languages[i] for i in known], letters
         counted, least = [counted[i] for i in known], 1
-        while sum(int((c >= least).sum()) for _, c in counted) * len(known) * ORDER > CELLS:
+        blocks = [counted[i : i + BLOCK] for i in range(0, len(counted), BLOCK)]
+        while sum(len(own) * sum(int((c >= least).sum()) for _, c in own) for own in blocks) * ORDER > CELLS and any((c < least).sum() < len(c) for _, c in counted):
             least += 1
-        models = [KneserNey(k[c >= least], c[c >= least], len(letters)) for k, c in counted if (c >= least).any()]
-        if len(models) < len(known):
-            self.languages = [x for x, (_, c) in zip(self.languages, counted, strict=True) if (c >= least).any()]
+        kept = [c >= min(least, c.max()) for _, c in counted]
+        models = [KneserNey(k[x], c[x], len(letters)) for (k, c), x in zip(counted, kept, strict=True)]
         self.floor = -np.log(len(letters) + 2.0)
-        self.tables: list[tuple] = []
-        for n in range(ORDER, 0, -1) if models else ():
-            grams, contexts = (np.unique(np.concatenate([m.levels[ORDER - n][j] for m in models])) for j in (0, 2))
-            found, above = HashArray(grams), HashArray(contexts)
-            log = np.log(np.stack([m.probability(grams, n) for m in models], 1))[found.order].astype(np.float32)
-            down = np.log(np.stack([m.handed_down(contexts, n) for m in models], 1))[above.order].astype(np.float32)
-            self.tables.append((found, log, above, down))
+        self.blocks: list[list[tuple]] = []
+        for first in range(0, len(models), BLOCK):
+            own, tables = models[first : first + BLOCK], []
+            for n in range(ORDER, 0, -1):
+                grams, contexts = (np.unique(np.concatenate([m.levels[ORDER - n][j] for m in own])) for j in (0, 2))
+                found, above = HashArray(grams), HashArray(contexts)
+                log = np.log(np.stack([m.probability(grams, n) for m in own], 1))[found.order].astype(np.float32)
+                down = np.log(np.stack([m.handed_down(contexts, n) for m in own], 1))[above.order].astype(np.float32)
+                tables.append((found, log, above, down))
+            self.blocks.append(tables)
         self.sharpness, self.mean, self.spread, self.most = 1.0, np.zeros(len(models)), np.ones(len(models)), np.full(len(models), np.inf)
         if models:
             self._calibrate([held[languages.index(x)] for x in self.languages], reject)
@@ -192,9 +197,12 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "codes"}
 
     def _logs(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(keys), len(self.languages)), np.float32)
+        return np.concatenate([self._block_logs(tables, keys) for tables in self.blocks], 1)
+
+    def _block_logs(self, tables: list[tuple], keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(keys), tables[0][1].shape[1]), np.float32)
         rest = np.arange(len(keys))
-        for n, (found, log, above, down) in zip(range(ORDER, 0, -1), self.tables, strict=True):
+        for n, (found, log, above, down) in zip(range(ORDER, 0, -1), tables, strict=True):
             at = found.find(keys)
             hit = at >= 0
             out[rest[hit]] += log[at[hit]]
@@ -277,7 +285,7 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield first, part
 
 
-def fit(docs: DataFrame, learn: Column, *, text_column: str = "text", lang_column: str = "lang", languages: int = 64, letters: int = 4000, characters: int = 1_000_000, calibration: int = 8, reject: float = 0.005) -> Model:
+def fit(docs: DataFrame, learn: Column, *, text_column: str = "text", lang_column: str = "lang", languages: int | None = None, letters: int = 4000, characters: int = 1_000_000, calibration: int = 8, reject: float = 0.005) -> Model:
     """A model from the rows for which learn holds. letters: at most 4094. One of `calibration` windows is not counted."""
     known = docs.where(learn & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"))
 
@@ -294,12 +302,14 @@ def fit(docs: DataFrame, learn: Column, *, text_column: str = "text", lang_colum
                 yield pa.RecordBatch.from_arrays([pa.array(of[0][(pairs >> np.uint64(32)).astype(int)].tolist(), pa.string()), pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "letter", "n"])
 
     counted = checkpoint(known.mapInArrow(count, "lang string, letter int, n long").groupBy("lang", "letter").agg(F.sum("n").alias("n")))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "lang").limit(languages)
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    if languages is not None:
+        totals = totals.orderBy(F.col("total").desc(), "lang").limit(languages)
     total = {r["lang"]: r["total"] for r in totals.collect()}
     share = F.sum(F.col("n") / F.col("total"))
     alphabet = [r["letter"] for r in counted.join(F.broadcast(totals), "lang").groupBy("letter").agg(share.alias("share")).orderBy(F.col("share").desc(), "letter").limit(min(letters, OTHER - 1)).collect()]
     names = sorted(total)
-    rate = [min(1.0, min(characters, 16 * characters / len(names)) / total[x]) for x in names]
+    rate = [min(1.0, min(characters, max(16 * characters / len(names), LEAST_WINDOWS * WINDOW)) / total[x]) for x in names]
     model = Model([], alphabet, [], [])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +332,7 @@ def fit(docs: DataFrame, learn: Column, *, text_column: str = "text", lang_colum
     for language, window in sorted((r["lang"], bytes(r["window"])) for r in drawn):
         apart = xxhash.xxh3_64_intdigest(window, 1) % calibration == 0
         (held if apart else windows)[language].append(np.frombuffer(window, np.uint16))
+    windows = [own or spare for own, spare in zip(windows, held, strict=True)]
     return Model(names, alphabet, windows, held, reject)
 
 
