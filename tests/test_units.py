@@ -1,6 +1,7 @@
 """Units of formulas on table-driven cases."""
 
 from verdict.operators.units import bind_units
+from verdict.plans import unit_queries
 
 I, C, D, N, R = "Rider.insured_amount", "Receipt.covered_amount", "MedicalEvent.admission_days", "ClaimHistory.counted_occurrence", "MedicalEvent.reduction_applies"
 UNSUPPORTED, MISMATCH = "CALCULATION_SOURCE_UNIT_UNSUPPORTED", "CALCULATION_UNIT_MISMATCH"
@@ -66,3 +67,27 @@ def test_units_are_bound(spark):
     assert (got[100]["state"], got[100]["basis"], units[100]) == ("CURRENCY_UNRESOLVED", "INSURED_RATIO", {"/args/1": ("RATIO", None)})
     assert [got[i]["error"] for i in (101, 102, 103)] == ["CALCULATION_CURRENCY_MISMATCH", None, "CALCULATION_SOURCE_INVALID"]
     assert got[0]["state"] == "BOUND" and got[11]["state"] is None
+
+
+def test_nodes_are_read_once_whatever_the_depth(spark):
+    seen = spark.sparkContext.accumulator(0)
+    nodes = rows(1, ["add", ["add", ["add", I, 1], 2], 3])
+
+    def passed(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    formulas = spark.createDataFrame([(1, "rate_amount", "FIXED", "EUR", None)], "formula int, rule_kind string, calculation_kind string, currency string, source_currency string")
+    bound, _ = bind_units(formulas, spark.createDataFrame(nodes, NODE).mapInPandas(passed, NODE))
+    assert [r.basis for r in bound.collect()] == ["INSURED_AMOUNT"]
+    assert seen.value == len(nodes)
+
+
+def test_parts_are_dealt_before_their_nodes(spark, small):
+    part = spark.read.parquet(f"{small}/part.parquet").coalesce(1)
+    nodes = unit_queries._nodes(spark, part)
+    assert nodes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = part.selectExpr("p_partkey AS p", "CAST(p_size AS BIGINT) AS s", "explode(sequence(0L, 12L)) AS i")
+    plain = spark.sql(unit_queries._NODES.format(text="STRING").replace("FROM x", "FROM {x}"), x=x)
+    assert nodes.exceptAll(plain).isEmpty() and plain.exceptAll(nodes).isEmpty()

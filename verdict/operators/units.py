@@ -36,7 +36,7 @@ UNSUPPORTED, MISMATCH, CURRENCY = "CALCULATION_SOURCE_UNIT_UNSUPPORTED", "CALCUL
 
 def _levels(nodes: DataFrame) -> list[DataFrame]:
     """The nodes by their distance from the root, with their path."""
-    own = nodes.select("formula", "node", "parent", "position", "op", "field", "number")
+    own = checkpoint(nodes.select("formula", "node", "parent", "position", "op", "field", "number"))  # read by each level
     at = checkpoint(own.where("parent is null").withColumn("path", F.lit("/calculation")).withColumn("order", F.lit("0")))
     out = []
     while not at.isEmpty():
@@ -66,14 +66,16 @@ def _up(level: DataFrame, below: DataFrame | None, kind: DataFrame) -> DataFrame
     inside = below.groupBy("formula", F.col("parent").alias("node")).agg(F.sort_array(F.collect_list(child)).alias("c"), F.min("error").alias("_first"), F.bool_or("daily").alias("_daily"), F.array_distinct(F.flatten(F.collect_list("fields"))).alias("_fields"))
     x = level.join(inside, ["formula", "node"], "left").join(kind, "formula")
     op, c = F.col("op"), F.col("c")
-    args = F.when(op == "if", F.slice(c, 2, 1000)).otherwise(c)
-    dims = F.transform(F.filter(args, lambda a: ~a["unit"].isin("NUMBER", "RATIO")), lambda a: a["unit"])
+    # Columns of their own, so that what reads them doesn't compute them again.
+    x = x.withColumn("_args", F.when(op == "if", F.slice(c, 2, 1000)).otherwise(c))
+    args, dims = F.col("_args"), F.col("_dims")
+    x = x.withColumn("_dims", F.transform(F.filter(args, lambda a: ~a["unit"].isin("NUMBER", "RATIO")), lambda a: a["unit"]))
     first, last = F.get(c, F.lit(0)), F.get(c, F.lit(1))
     money, days = F.when(first["unit"] == "MONEY", first).otherwise(last), F.when(first["unit"] == "MONEY", last).otherwise(first)
     daily = (op == "multiply") & (F.size(c) == 2) & (F.array_sort(F.transform(c, lambda a: a["unit"])) == F.array(F.lit("DAYS"), F.lit("MONEY")))
     daily &= (F.col("rule_kind") == "rate_amount") & (F.col("calculation_kind") == "FIXED") & money["field"].eqNullSafe(F.lit(INSURED)) & (days["fields"] == F.array(F.lit(DAYS)))
-    daily = F.coalesce(daily, F.lit(False))
-    one = F.coalesce(F.get(F.array_distinct(dims), F.lit(0)), F.lit("NUMBER"))
+    x = x.withColumn("_by_day", F.coalesce(daily, F.lit(False))).withColumn("_one", F.coalesce(F.get(dims, F.lit(0)), F.lit("NUMBER")))
+    daily, one = F.col("_by_day"), F.col("_one")
     # Of a sum or a branch, what is of another unit must be plain numbers, which take that unit.
     unlike = F.exists(args, lambda a: (a["unit"] != one) & (F.size(a["fields"]) > 0))
     early = (op == "if") & ~F.coalesce((F.size(c) == 3) & (first["unit"] == "BOOLEAN") & first["field"].isNotNull(), F.lit(False))

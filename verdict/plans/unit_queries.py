@@ -35,11 +35,26 @@ SELECT p_partkey AS formula, CASE WHEN p_partkey % 3 = 0 THEN 'fixed_amount' ELS
   CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE 'EUR' END AS currency, CASE WHEN p_partkey % 13 = 0 THEN 'USD' END AS source_currency FROM part"""
 
 
+def _nodes(spark: SparkSession, part: DataFrame) -> DataFrame:
+    """The rows of _NODES; a part's operators are computed once, and parts dealt before their nodes are (a few bytes of them make much work)."""
+    listed = lambda values: f"array({', '.join(map(repr, values))})"
+    op = lambda i: f"CAST((p * 7 + {i} * 13 + CAST(floor(p / 11) AS BIGINT)) % 19 AS INT)"
+    dealt = part.selectExpr("p_partkey AS p", "CAST(p_size AS BIGINT) AS s").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p")
+    x = dealt.selectExpr("p", "s", f"transform(array({', '.join(map(op, range(4)))}), n -> get({listed(_OPS)}, n)) AS ops")
+    x = x.selectExpr("p", "s", "ops", "explode(sequence(0, 12)) AS i")
+    x = x.selectExpr("p", "s", "i", "get(ops, i) AS op", "CASE WHEN i > 0 THEN (i - 1) DIV 3 END AS up", "CASE WHEN i > 0 THEN (i - 1) % 3 ELSE 0 END AS position", "get(ops, CASE WHEN i > 0 THEN CAST((i - 1) DIV 3 AS INT) END) AS up_op",
+      "get(ops, CASE WHEN i > 3 THEN CAST(((i - 1) DIV 3 - 1) DIV 3 AS INT) END) AS upper_op")
+    held = lambda i, by: f"{by} IS NOT NULL AND (({i} - 1) % 3 < 2 OR {by} = 'if')"
+    x = x.where(f"i = 0 OR {held('i', 'up_op')} AND (i < 4 OR {held('up', 'upper_op')})")
+    x = x.selectExpr("*", f"CASE WHEN op IS NULL THEN CASE WHEN i > 0 AND position = 0 AND up_op = 'if' AND p % 5 <> 0 THEN 'MedicalEvent.admission' ELSE get({listed(_LEAVES)}, CAST((p * 3 + i * 5) % 17 AS INT)) END END AS field")
+    number = "CASE WHEN op IS NULL AND field IS NULL THEN CAST(CAST((s + i) % 15 AS DECIMAL(8,2)) / 10 AS STRING) END AS number"
+    return x.selectExpr("p AS formula", "CAST(i AS BIGINT) AS node", "CAST(up AS BIGINT) AS parent", "CAST(position AS INT) AS position", "op", "field", number)
+
+
 def formula_units(spark: SparkSession, folder: str) -> DataFrame:
     """What each formula is bound to, or why it is not."""
     part = table(spark, folder, "part")
-    x = part.selectExpr("p_partkey AS p", "CAST(p_size AS BIGINT) AS s", "explode(sequence(0L, 12L)) AS i")
-    nodes = spark.sql(_NODES.format(text="STRING").replace("FROM x", "FROM {x}"), x=x)
+    nodes = _nodes(spark, part)
     bound, places = units.bind_units(spark.sql(_FORMULAS.replace("FROM part", "FROM {part}"), part=part), nodes)
     n = places.groupBy("formula").pivot("unit", ["MONEY", "RATIO"]).count()
     return bound.join(n, "formula", "left").selectExpr("formula", "coalesce(state, '') AS state", "coalesce(basis, '') AS basis", "coalesce(error, '') AS error", "coalesce(RATIO, 0) AS n_ratios")
