@@ -94,3 +94,10 @@ def test_rules(whole):
     assert found[0, 0] == {code}
     assert found[1, 0] == {code}  # the line without meaning blocks the calculation, not what the appendix says
     assert found[6, 0] == {("eligibility", "range", "admission_days", "1", None), ("frequency", "not count_before", "counted_occurrence", "2", None)}
+
+
+def test_a_line_held_stripped_is_not_stripped_again_for_each_form(spark):
+    lines = spark.createDataFrame([("  Admission is required. ",), ("The maximum is 9 payable days.",), ("Else.",), (" ",), (None,)], "text string")
+    held = lines.withColumn("line", F.trim("text")).select(graphs.meaning(F.col("text"), F.col("line")).alias("m"))
+    assert "regexp_replace" not in held._jdf.queryExecution().analyzed().toString()
+    assert held.collect() == lines.select(graphs.meaning(F.col("text")).alias("m")).collect()

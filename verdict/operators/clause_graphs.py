@@ -67,9 +67,10 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^(?U)\s+|(?U)\s+$", "")
 
 
-def meaning(text: Column) -> Column:
-    """What a line means, a struct of texts (codes apart by commas), by the one form that fits all of it; null where none does."""
-    line, out = _stripped(text), F.lit(None)
+def meaning(text: Column, stripped: Column | None = None) -> Column:
+    """What a line means, a struct of texts (codes apart by commas), by the one form that fits all of it; null where none does. stripped: the
+    text without white space around it, where a column holds that; it is stripped once for each form otherwise."""
+    line, out = _stripped(text) if stripped is None else stripped, F.lit(None)
     for kind, detail, rule, field, unit, form, groups in reversed(FORMS):
         own = dict(zip(_MEANING, (kind, detail, rule, field, unit), strict=False))
         parts = {k: F.lit(v).cast("string") for k, v in own.items()}
@@ -117,12 +118,13 @@ def read(regions: DataFrame, spans: DataFrame) -> Graph:
     reasons = F.coalesce("reasons", F.array().cast("array<string>"))
     plans = regions.withColumn("excluded", F.col("complete") & (F.col("kind") == "unresolved") & (F.size(reasons) > 0) & (F.size(F.array_except(reasons, known)) == 0))
     lines = spans.join(plans.where("not excluded").select(*_KEY, F.col("label").alias("_own")), _KEY)
-    line = _stripped(F.col("text"))
+    lines, line = lines.withColumn("_line", _stripped(F.col("text"))), F.col("_line")
     first = lambda pattern, i: F.nullif(F.regexp_extract(line, f"^{pattern}$", i), F.lit(""))
     lines = lines.withColumn("_to", F.coalesce(first(REFERENCE, 1), first(REFERENCE_KO, 1))).withColumn("_by", first(OVERRIDE, 1)).withColumn("_over", first(OVERRIDE, 2))
-    lines = checkpoint(lines.withColumn("m", F.when(F.col("_to").isNull() & F.col("_by").isNull(), meaning(F.col("text")))))
+    lines = lines.withColumn("m", F.when(F.col("_to").isNull() & F.col("_by").isNull(), meaning(F.col("text"), line))).withColumn("_short", F.length("text") <= MOST_STATEMENT)
+    lines = checkpoint(lines.drop("text", "_line"))
     linked = F.col("_to").isNotNull() | F.coalesce(F.col("_by") == F.col("_own"), F.lit(False))
-    own = lines.where(~linked).select(*_KEY, "ordinal", "m", (F.col("m").isNotNull() & (F.length("text") <= MOST_STATEMENT)).alias("supported"))
+    own = lines.where(~linked).select(*_KEY, "ordinal", "m", (F.col("m").isNotNull() & F.col("_short")).alias("supported"))
     only = lines.join(own.select(*_KEY).distinct(), _KEY, "left_anti").groupBy(*_KEY).agg(F.min("ordinal").alias("ordinal"))
     nodes = own.unionByName(only.select(*_KEY, "ordinal", F.lit(None).cast(own.schema["m"].dataType).alias("m"), F.lit(False).alias("supported")))
     anchors = nodes.groupBy(*_KEY).agg(F.min(F.struct((~F.col("m.kind").eqNullSafe("calculation")).alias("_later"), "ordinal"))["ordinal"].alias("anchor"), F.min("supported").alias("_all"))
