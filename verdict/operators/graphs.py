@@ -60,16 +60,21 @@ def replacements(editions: DataFrame, replaced: DataFrame) -> DataFrame:
     edges = replaced.select("previous", "next").distinct()
     fork = edges.groupBy("previous").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("previous").alias("node"), F.lit(True).alias("_fork"))
     one = edges.groupBy("previous").agg(F.min("next").alias("to"))
-    # Pointer doubling: after r rounds each edition points 2**r steps ahead, or to where its way ends.
+    # Pointer doubling: after r rounds each edition points 2**r steps ahead, or to where its way ends. A round moves only those whose way
+    # still goes on; one that brings none to an end leaves ways that all come back.
     way = editions.join(one.withColumnRenamed("previous", "edition"), "edition", "left").join(fork.withColumnRenamed("node", "edition"), "edition", "left")
     forked = F.coalesce("_fork", F.lit(False))
     way = checkpoint(way.select("edition", F.when(~forked, F.col("to")).alias("to"), forked.alias("competing")))
-    rounds = max(1, (editions.count() + 1).bit_length())
-    for _ in range(rounds):
-        ahead = way.select(F.col("edition").alias("to"), F.col("to").alias("_far"), F.col("competing").alias("_competing"), F.lit(True).alias("_listed"))
-        moved = way.join(ahead, "to", "left")
-        to = F.when(F.coalesce("_listed", F.lit(False)), F.coalesce("_far", "to")).otherwise(F.col("to"))
-        way = checkpoint(moved.select("edition", to.alias("to"), (F.col("competing") | F.coalesce("_competing", F.lit(False))).alias("competing")))
+    moving, settled = way.where("to is not null"), way.where("to is null")
+    while True:
+        ahead = settled.withColumn("_goes_on", F.lit(False)).unionByName(moving.withColumn("_goes_on", F.lit(True)))
+        moved = moving.join(ahead.select(F.col("edition").alias("to"), F.col("to").alias("_far"), F.col("competing").alias("_competing"), "_goes_on"), "to", "left")
+        moved = checkpoint(moved.select("edition", F.coalesce("_far", "to").alias("to"), (F.col("competing") | F.coalesce("_competing", F.lit(False))).alias("competing"), F.coalesce("_goes_on", F.lit(False)).alias("_moving")))
+        ended, moving = moved.where("not _moving").drop("_moving"), moved.where("_moving").drop("_moving")
+        if ended.isEmpty():
+            break
+        settled = settled.unionByName(ended)
+    way = settled.unionByName(moving)
     ends = one.select(F.col("previous").alias("to"), F.lit(True).alias("_goes_on"))
     done = way.join(ends, "to", "left").select("edition", F.coalesce("to", "edition").alias("node"), "competing", (F.col("to").isNull() | F.col("_goes_on").isNull()).alias("done"))
     state = F.when(F.col("competing"), "COMPETING").when(~F.col("done"), "CYCLIC").otherwise("APPLIED")
