@@ -265,16 +265,18 @@ def applicability(policy: dict[str, Column], terms: dict[str, Column], reference
     return verdict, reason
 
 
-def covered_roots(members: DataFrame, spans: DataFrame, represented: DataFrame, regions: DataFrame) -> DataFrame:
+def covered_roots(members: DataFrame, spans: DataFrame, represented: DataFrame | Column, regions: DataFrame) -> DataFrame:
     """(root, covered): whether every body span of a root's regions is represented or refers to one region of the root.
 
-    members: root, region. spans: region, span, target (label that it refers to, or null). represented: root, region, span.
+    members: root, region. spans: region, span, target (label that it refers to, or null). represented: root, region, span,
+    or, where that table follows from its keys, a condition on these columns: then no pair of root and span that it holds for is shuffled.
     regions: region, label, edition, complete. A target counts if exactly one region of the edition has the label and the
     root holds it; a region that is missing or not complete leaves its root uncovered.
     """
     own = members.distinct()
     labels = regions.groupBy("edition", "label").agg(F.count(F.lit(1)).alias("_n"), F.min("region").alias("_to"))
-    body = own.join(spans, "region").join(represented.withColumn("_done", F.lit(True)).distinct(), ["root", "region", "span"], "left").where("_done is null")
+    body = own.join(spans, "region")
+    body = body.where(~F.coalesce(represented, F.lit(False))) if isinstance(represented, Column) else body.join(represented, ["root", "region", "span"], "left_anti")
     named = body.join(regions.select("region", "edition"), "region", "left").join(labels.withColumnRenamed("label", "target"), ["edition", "target"], "left")
     held = named.join(own.select("root", F.col("region").alias("_to"), F.lit(True).alias("_held")), ["root", "_to"], "left")
     failed = held.where(~F.coalesce((F.col("_n") == 1) & F.col("_held"), F.lit(False))).select("root")
