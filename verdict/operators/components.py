@@ -47,12 +47,14 @@ def reachable(edges: DataFrame, start: DataFrame, most: int | None = None) -> Da
     return _fixpoint(edges, start.select("root", F.col("root").alias("node")).distinct(), most)
 
 
-def _fixpoint(edges: DataFrame, start: DataFrame, most: int | None) -> DataFrame:
+def _fixpoint(edges: DataFrame, start: DataFrame, most: int | None, spread: bool = False) -> DataFrame:
+    """With `spread`, what a round finds is never broadcast: rounds over one root are many, and the driver would get each of them."""
+    apart = (lambda df: df.hint("merge")) if spread else (lambda df: df)
     found = checkpoint(start)
     fresh = found
     for n in count(1) if most is None else range(1, most + 1):
-        reached = fresh.join(edges.select(F.col("a").alias("node"), F.col("b").alias("_to")), "node").select("root", F.col("_to").alias("node")).distinct()
-        fresh = checkpoint(reached.join(found, ["root", "node"], "left_anti"))
+        reached = apart(fresh).join(edges.select(F.col("a").alias("node"), F.col("b").alias("_to")), "node").select("root", F.col("_to").alias("node")).distinct()
+        fresh = checkpoint(apart(reached).join(found, ["root", "node"], "left_anti"))
         if fresh.isEmpty():
             return found
         # What each round finds is kept as a part of its own, not written again with all before; only long chains are put together.
@@ -65,4 +67,4 @@ def _fixpoint(edges: DataFrame, start: DataFrame, most: int | None) -> DataFrame
 def reached(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """(node): the start nodes (node) and everything that edges (a, b) lead to from any of them; each node once."""
     one = start.select(F.lit(0).alias("root"), "node").distinct()
-    return _fixpoint(edges, one, most).select("node")
+    return _fixpoint(edges, one, most, spread=True).select("node")

@@ -48,7 +48,7 @@ def affected(edges: DataFrame, changed: DataFrame, roots: DataFrame) -> DataFram
     """The roots that depend, at any distance, on a changed node: (root)."""
     up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     hit = reached(up, changed.select("node")).select(F.col("node").alias("root"))
-    return roots.join(hit, "root", "left_semi")
+    return roots.join(hit.hint("merge"), "root", "left_semi")
 
 
 def replacements(editions: DataFrame, replaced: DataFrame) -> DataFrame:
