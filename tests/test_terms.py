@@ -3,6 +3,7 @@
 import datetime
 import random
 
+from verdict.operators import components, graphs
 from verdict.operators.graphs import layers
 from verdict.operators.terms import select_terms
 
@@ -111,3 +112,13 @@ def test_layers(spark):
         want |= {(g, n): placed.get(n, (None, None)) for n in nodes}
     got = {(r["graph"], r["node"]): (r["layer"], r["rank"]) for r in layers(spark.createDataFrame(sorted(edges), "graph int, a int, b int")).collect()}
     assert got == want
+
+
+def test_rounds_are_the_logarithm_of_the_longest_chain(spark, monkeypatch):
+    cut = []
+    for module in (components, graphs):
+        monkeypatch.setattr(module, "checkpoint", lambda df, whole=module.checkpoint: cut.append(1) or whole(df))
+    (states, fate), _ = selected(spark, [(BASE, [change(i, 9 + i, 10 + i) for i in range(1, 33)]), (BASE, FAULTS[1][0])])
+    assert {e: s for e, (s, _, _) in states.items()} == {e: "MATCH" if e == 42 else "NO_MATCH" for e in range(10, 43)}
+    assert set(fate.values()) == {("APPLIED", None)}
+    assert len(cut) < 24

@@ -68,3 +68,20 @@ def reached(edges: DataFrame, start: DataFrame, most: int | None = None) -> Data
     """(node): the start nodes (node) and everything that edges (a, b) lead to from any of them; each node once."""
     one = start.select(F.lit(0).alias("root"), "node").distinct()
     return _fixpoint(edges, one, most, spread=True).select("node")
+
+
+def led_to(edges: DataFrame) -> DataFrame:
+    """(graph, root, node): everything that one or more edges (graph, a, b) lead to from each node; a node of a cycle leads to itself.
+
+    By doubling: `ways` are those of exactly 2**n edges, `found` those of up to as many. The rounds are the logarithm of the longest way.
+    A round that finds nothing has found all.
+    """
+    found = checkpoint(edges.select("graph", F.col("a").alias("root"), F.col("b").alias("node")).distinct())
+    ways = found
+    while True:
+        by_middle = ways.select("graph", "root", F.col("node").alias("_m"))
+        onward = lambda df: by_middle.join(df.select("graph", F.col("root").alias("_m"), "node"), ["graph", "_m"]).select("graph", "root", "node").distinct()  # noqa: B023, E731
+        fresh = checkpoint(onward(found).join(found, ["graph", "root", "node"], "left_anti"))
+        if fresh.isEmpty():
+            return found
+        ways, found = checkpoint(onward(ways)), found.unionByName(fresh)

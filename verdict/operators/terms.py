@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdict.functions.checkpoints import checkpoint
-from verdict.operators.components import reachable
+from verdict.operators.components import led_to
 from verdict.operators.graphs import layers
 
 SCOPE = ("space", "contract", "member")
@@ -66,8 +66,8 @@ def _start(known: DataFrame) -> DataFrame:
     return known.groupBy("request", F.col("edition").alias("node")).agg(F.when(many, "UNKNOWN").otherwise(F.min("status")).alias("base"), reasons.alias("reasons"))
 
 
-def _seeds(kept: DataFrame, placed: DataFrame) -> DataFrame:
-    """(request, node, codes, ids): marks that make an edition, and all that follows it, unknown."""
+def _seeds(kept: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """(request, node, codes, ids): marks that make an edition, and all that follows it, unknown. cyclic: the editions on a cycle or behind one."""
     id_, faulty = F.array("relation").alias("ids"), kept.where(F.size("issues") > 0)
     codes = F.array_union("issues", "reasons").alias("codes")
     ends = F.array_compact(F.array("next", F.when(~((F.col("operation") == "ADD") & F.col("next").isNull()), F.col("previous"))))
@@ -75,7 +75,6 @@ def _seeds(kept: DataFrame, placed: DataFrame) -> DataFrame:
     edges = kept.where("previous is not null and next is not null")
     competing = edges.groupBy("request", F.col("previous").alias("node")).agg(F.min("next").alias("_a"), F.max("next").alias("_b"), F.collect_set("relation").alias("ids")).where("_a <> _b")
     competing = competing.select("request", "node", F.array(F.lit("COMPETING_TERMS_REPLACEMENTS")).alias("codes"), "ids")
-    cyclic = placed.where("layer is null").select(F.col("graph").alias("request"), "node")
     through = kept.join(cyclic.withColumnRenamed("node", "previous"), ["request", "previous"], "left_semi").groupBy("request").agg(F.collect_set("relation").alias("ids"))
     cyclic = cyclic.join(through, "request").select("request", "node", F.array(F.lit("CHANGE_CYCLE")).alias("codes"), "ids")
     sound = edges.where(F.size("issues") == 0)
@@ -85,14 +84,6 @@ def _seeds(kept: DataFrame, placed: DataFrame) -> DataFrame:
     return broken.unionByName(competing).unionByName(cyclic).unionByName(disorder)
 
 
-def _reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(request, root, node) for each root (request, node), itself included."""
-    pair = lambda c: F.struct("request", F.col(c).alias("node"))
-    way = edges.select(pair("previous").alias("a"), pair("next").alias("b"))
-    found = reachable(way, roots.select(pair("node").alias("root")).distinct())
-    return found.select(F.col("root.request").alias("request"), F.col("root.node").alias("root"), F.col("node.node").alias("node"))
-
-
 def select_terms(requests: DataFrame, editions: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The state of every edition for each request, and what became of each relation.
 
@@ -105,20 +96,21 @@ def select_terms(requests: DataFrame, editions: DataFrame, relations: DataFrame)
     unknown together with all that follows it; so does a predecessor that is not in force. Otherwise the state flows down the layers
     of the graph: what replaces takes the place of what it replaces, with the relations on the way.
     """
-    kept, led_to = changes(requests, relations)
-    edges = kept.where("previous is not null and next is not null").select("request", "previous", "next").distinct()
-    placed = checkpoint(layers(edges.select(F.col("request").alias("graph"), F.col("previous").alias("a"), F.col("next").alias("b"))))
-    seeds = checkpoint(_seeds(kept, placed))
+    kept, targets = changes(requests, relations)
+    edges = kept.where("previous is not null and next is not null").select(F.col("request").alias("graph"), F.col("previous").alias("a"), F.col("next").alias("b")).distinct()
+    ways = led_to(edges).withColumnRenamed("graph", "request")
+    cyclic = checkpoint(ways.join(ways.where("root = node").select("request", "root"), ["request", "root"], "left_semi").select("request", "node").distinct())
+    seeds = checkpoint(_seeds(kept, cyclic))
     base, key = _start(editions), ["request", "node"]
     sound = kept.where(F.size("issues") == 0)
     added = sound.where("operation = 'ADD' and next is not null").groupBy("request", F.col("next").alias("node")).agg(F.collect_set("relation").alias("ids"), _together("reasons").alias("codes"))
-    acyclic = placed.where("layer is not null").select(F.col("graph").alias("request"), "node", F.struct("layer", "rank").alias("place"))
     steps = sound.where("operation = 'REPLACE'").groupBy("request", F.col("previous").alias("node")).agg(F.collect_set("relation").alias("ids"), _together("reasons").alias("codes"), F.min("next").alias("target"))
-    steps = checkpoint(steps.join(acyclic, key))
+    steps = checkpoint(steps.join(cyclic, key, "left_anti"))
     entered = sound.where("operation = 'REPLACE'").select("request", F.col("next").alias("node")).unionByName(added.select(*key)).distinct()
     unmet = steps.select(*key).join(entered, key, "left_anti").join(base.where("base = 'MATCH'"), key, "left_anti")
 
-    reach = checkpoint(_reach(edges, edges.select("request", F.col("previous").alias("node")).unionByName(seeds.select(*key)).unionByName(steps.select(*key))))
+    itself = edges.select(F.col("graph").alias("request"), F.col("a").alias("node")).unionByName(seeds.select(*key)).unionByName(steps.select(*key)).distinct()
+    reach = checkpoint(ways.where("root <> node").unionByName(itself.select("request", F.col("node").alias("root"), "node")))
     marks = checkpoint(reach.join(seeds.withColumnRenamed("node", "root"), ["request", "root"]).groupBy(*key).agg(_together("codes").alias("codes"), _together("ids").alias("ids")))
     unsound = marks.select(*key).unionByName(reach.join(unmet.withColumnRenamed("node", "root"), ["request", "root"], "left_semi").select(*key)).distinct()
     bad, clean = checkpoint(steps.join(unsound, key, "left_semi")), checkpoint(steps.join(unsound, key, "left_anti"))
@@ -130,8 +122,14 @@ def select_terms(requests: DataFrame, editions: DataFrame, relations: DataFrame)
 
     # From steps that don't: all the edition has by then goes to all that follows it.
     reached_by_bad = checkpoint(reach.join(bad.select("request", F.col("node").alias("root")), ["request", "root"], "left_semi"))
-    first_bad = reached_by_bad.join(bad.select("request", F.col("node").alias("root"), "place"), ["request", "root"]).groupBy(*key).agg(F.min("place").alias("_bad"))
-    onto = clean.select("request", F.col("target").alias("node"), "ids", "codes", "place").join(marks.select(*key, F.lit(True).alias("_marked")), key, "left").join(first_bad, key, "left")
+    onto = checkpoint(clean.select("request", F.col("node").alias("_from"), F.col("target").alias("node"), "ids", "codes").join(marks.select(*key, F.lit(True).alias("_marked")), key, "left"))
+    # Only where both kinds of step lead to an edition does their order count, so only these requests' layers are peeled.
+    met = reached_by_bad.join(onto.where("_marked is null").select(*key).distinct(), key, "left_semi")
+    disputed = checkpoint(met.select("request").distinct())
+    placed = layers(edges.join(disputed.withColumnRenamed("request", "graph"), "graph", "left_semi")).where("layer is not null")
+    placed = checkpoint(placed.select(F.col("graph").alias("request"), F.col("node").alias("_from"), F.struct("layer", "rank").alias("place")))
+    first_bad = met.join(placed.withColumnsRenamed({"_from": "root", "place": "_place"}), ["request", "root"]).groupBy(*key).agg(F.min("_place").alias("_bad"))
+    onto = onto.join(placed, ["request", "_from"], "left").join(first_bad, key, "left").drop("_from")
     in_time = F.col("_marked").isNull() & (F.col("_bad").isNull() | (F.col("_bad") > F.col("place")))
     onto = checkpoint(onto.withColumn("held", in_time))
     ids_kind = added.schema["ids"].dataType
@@ -151,7 +149,7 @@ def select_terms(requests: DataFrame, editions: DataFrame, relations: DataFrame)
     flag = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(True))
     unknown = marks.select(*key).unionByName(fallen.select(*key))
     in_force = added.select(*key).unionByName(onto.select(*key))
-    whole = own.unionByName(fallen).unionByName(replaced).unionByName(led_to.select(*key, _none().alias("codes"), F.array().cast(ids_kind).alias("ids"))).groupBy(*key).agg(_together("codes").alias("codes"), _together("ids").alias("ids"))
+    whole = own.unionByName(fallen).unionByName(replaced).unionByName(targets.select(*key, _none().alias("codes"), F.array().cast(ids_kind).alias("ids"))).groupBy(*key).agg(_together("codes").alias("codes"), _together("ids").alias("ids"))
     whole = whole.join(base.select(*key, "base"), key, "left")
     for df, name in ((unknown, "_unknown"), (clean, "_replaced"), (in_force, "_in_force")):
         whole = whole.join(flag(df, name), key, "left")
