@@ -235,8 +235,8 @@ def applicable_topics(positions: DataFrame, keys: list[str]) -> DataFrame:
     return kept.groupBy(*keys, "path").agg(F.array_join(F.sort_array(F.collect_set("topic")), ",").alias("topics"), (F.count_distinct("topic") > 1).alias("ambiguous"))
 
 
-def applicability(policy: dict[str, Column], terms: dict[str, Column], references: bool) -> tuple[Column, Column]:
-    """(verdict, reason): whether printed terms apply to a contract, by exact references or by product and printed period.
+def applicability(policy: dict[str, Column], terms: dict[str, Column], references: bool) -> Column:
+    """struct(verdict, reason): whether printed terms apply to a contract, by exact references or by product and printed period.
 
     Both have insurer, product_code; policy has terms_reference, edition_reference and contract_date, terms have
     terms_code, edition_code, start and end. Texts are arrays of the values found: one value is known, none is absent,
@@ -259,10 +259,11 @@ def applicability(policy: dict[str, Column], terms: dict[str, Column], reference
     if references:
         cases.append((same["insurer"] & same["terms_reference"] & same["edition_reference"], "MATCH", "EXPLICIT_EDITION_REFERENCE_MATCH"))
     cases.append((same["insurer"] & same["product_code"] & day.isNotNull() & start.isNotNull(), "MATCH", "PRODUCT_CODE_PRINTED_PERIOD_MATCH"))
-    verdict, reason = F.lit("UNKNOWN"), F.lit("INSUFFICIENT_APPLICABILITY_EVIDENCE")
+    said = lambda a, b: F.struct(F.lit(a).alias("verdict"), F.lit(b).alias("reason"))
+    out = said("UNKNOWN", "INSUFFICIENT_APPLICABILITY_EVIDENCE")
     for when, a, b in reversed(cases):
-        verdict, reason = F.when(when, a).otherwise(verdict), F.when(when, b).otherwise(reason)
-    return verdict, reason
+        out = F.when(when, said(a, b)).otherwise(out)
+    return out
 
 
 def covered_roots(members: DataFrame, spans: DataFrame, represented: DataFrame | Column, regions: DataFrame) -> DataFrame:
