@@ -99,9 +99,13 @@ def pairwise_exclusive(alternatives: DataFrame, key: str, case: str, values: str
     alternatives: a row for each case with the array of values it allows. Counted by value instead of by pairs: two
     cases overlap if some value belongs to more than one.
     """
-    shared = alternatives.select(key, case, F.explode(F.array_distinct(values)).alias("_v")).groupBy(key, "_v").agg(F.count_distinct(case).alias("_n"))
-    worst = shared.groupBy(key).agg(F.max("_n").alias("_n"))
-    return worst.select(key, F.when(F.col("_n") <= 1, "MUTUALLY_EXCLUSIVE").otherwise("NOT_EXCLUSIVE").alias("relation"))
+    return exclusive(alternatives.select(key, case, F.explode(values).alias("_v")), key, case, "_v")
+
+
+def exclusive(allowed: DataFrame, key: str, case: str, value: str) -> DataFrame:
+    """The same of a row for each value that a case allows, any number of times: a value of several cases has a least and a greatest that differ."""
+    shared = allowed.groupBy(key, value).agg(F.coalesce(F.min(case) != F.max(case), F.lit(False)).alias("_shared"))
+    return shared.groupBy(key).agg(F.when(F.bool_or("_shared"), "NOT_EXCLUSIVE").otherwise("MUTUALLY_EXCLUSIVE").alias("relation"))
 
 
 def unit_amount(amount: Column, unit: Column) -> Column:

@@ -85,8 +85,7 @@ def case_range(spark: SparkSession, folder: str) -> DataFrame:
 def case_relation(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers' lines of an order as alternatives that each allow some sizes."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
-    allowed = lines.groupBy("l_orderkey", "l_suppkey").agg(F.collect_set("q").alias("allowed"))
-    return payments.pairwise_exclusive(allowed, "l_orderkey", "l_suppkey", "allowed")
+    return payments.exclusive(lines.where("q is not null"), "l_orderkey", "l_suppkey", "q")
 
 
 def unit_amounts(spark: SparkSession, folder: str) -> DataFrame:
