@@ -46,7 +46,9 @@ def rule_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         rule = compile_rule(name, document, FIELDS)
         outcome = compile_expression(rule.expression, FIELDS, reference="Event.day").struct()
         outcomes.append(F.struct(F.lit(name).alias("rule"), F.lit(rule.kind).alias("rule_kind"), F.lit(rule.required).alias("required"), outcome.alias("outcome")))
-    rows = order_facts(spark, folder).select("o_orderkey", "o_custkey", F.explode(F.array(*outcomes)).alias("r"))
+    # Each outcome is a column of its own before they become rows: a projection shares what rules have in common, a generator doesn't.
+    made = order_facts(spark, folder).select("o_orderkey", "o_custkey", *(x.alias(f"_r{i}") for i, x in enumerate(outcomes)))
+    rows = made.select("o_orderkey", "o_custkey", F.explode(F.array(*(f"_r{i}" for i in range(len(outcomes))))).alias("r"))
     return rows.select("o_orderkey", "o_custkey", "r.rule", "r.rule_kind", "r.required", "r.outcome.*")
 
 
