@@ -102,3 +102,13 @@ def test_sums_beyond_38_digits(spark):
             total = f"{sum(Decimal(t) for h, t in rows if h == g):f}"
             assert got[g] == (total.rstrip("0").rstrip(".") if "." in total else total), g
     assert got[53] is None and got[54] is None and got[55] is None
+
+
+def test_rows_move_once_by_response(spark):
+    names, more = ([x.split()[0] for x in schema.split(", ")] for schema in (CANDIDATE, SCENARIO))
+    candidates = [tuple((one("ABC"[i]) | {"response": n, "position": i})[k] for k in names) for n in range(3) for i in range(3)]
+    scenarios = [tuple((plan(0)[1] | {"response": n, "position": 0})[k] for k in more) for n in range(3)]
+    for df in project(spark.createDataFrame(candidates, CANDIDATE), spark.createDataFrame([], SOURCE), spark.createDataFrame(scenarios, SCENARIO)):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert not [x for x in lines if "Join" in x]
+        assert not [x for x in lines if "Exchange hashpartitioning" in x and any(c in x for c in ("_node", "_cover", "currency"))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 #: Digits before and behind the point that a sum can hold, and digits of a limb.
@@ -16,12 +16,13 @@ def is_amount(text: Column) -> Column:
     return F.coalesce(text.rlike(rf"^\d{{1,{WHOLE - 10}}}(\.\d{{1,{BEHIND}}})?$"), F.lit(False))
 
 
-def limb_sums(text: Column) -> Column:
-    """An aggregate: the sums of the limbs of all texts, least first. Texts that are no amount make it null."""
+def limb_sums(text: Column, over: WindowSpec | None = None) -> Column:
+    """An aggregate, or one over a window: the sums of the limbs of all texts, least first. Texts that are no amount make it null."""
+    of = (lambda x: x) if over is None else (lambda x: x.over(over))
     own = F.when(is_amount(text), text)
     digits = F.concat(F.lpad(F.substring_index(own, ".", 1), WHOLE, "0"), F.rpad(F.when(F.instr(own, ".") > 0, F.substring_index(own, ".", -1)).otherwise(""), BEHIND, "0"))
-    limb = lambda i: F.sum(F.substring(digits, i * LIMB + 1, LIMB).cast("decimal(16,0)"))
-    return F.when(F.bool_and(is_amount(text)), F.array(*(limb(i) for i in reversed(range(_N)))))
+    limb = lambda i: of(F.sum(F.substring(digits, i * LIMB + 1, LIMB).cast("decimal(16,0)")))
+    return F.when(of(F.bool_and(is_amount(text))), F.array(*(limb(i) for i in reversed(range(_N)))))
 
 
 def carried(limbs: Column) -> Column:
