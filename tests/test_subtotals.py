@@ -112,3 +112,17 @@ def test_rows_move_once_by_response(spark):
         lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
         assert not [x for x in lines if "Join" in x]
         assert not [x for x in lines if "Exchange hashpartitioning" in x and any(c in x for c in ("_node", "_cover", "currency"))]
+
+def test_lookups_keep_to_their_rows(spark):
+    """A key that is invalid, in one component, or planned in one response is none of that in another; one key fixed in two currencies; duplicates in other positions."""
+    canonical = (RIDER, "A", "v")
+    alone = ([one("A"), one("B"), one("X", kind="POLICY_TEXT")], [], [])
+    joined = ([one("A"), one("X", kind="POLICY_TEXT", canonical=canonical), one("B")], [(1, "POLICY_TEXT", "X", "v")], [])
+    strange = ([one("A"), one("X", kind="POLICY_TEXT", canonical=canonical), one("B"), one("C")], [], [])
+    twice = ([one("A"), one("A", currency="EUR"), one("B"), one("C", currency="EUR")], [], [plan(2), plan(3, currency="KRW")])
+    got = run(spark, [alone, joined, strange, twice, ([one("A"), one("B")], [], [])])
+    assert got[0] == ({(None, "KRW"): ("20", True, ["A", "B"])}, {(None, "X", "v"): "CANONICAL_CONTRACT_UNRESOLVED"})
+    assert got[1] == ({(None, "KRW"): ("20", False, ["A", "B"])}, {})
+    assert got[2] == ({(None, "KRW"): ("20", True, ["B", "C"])}, {(None, "A", "v"): "CANONICAL_IDENTITY_CONFLICT"})
+    assert got[3][0] == {("s", "KRW"): ("10", True, ["B", "C"])} and got[3][1][None, "B", "v"] == "ESTIMATE_CONTEXT_UNSUPPORTED"
+    assert got[4] == ({(None, "KRW"): ("20", False, ["A", "B"])}, {})
