@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdict.functions.checkpoints import checkpoint
+from verdict.functions.checkpoints import checkpoint, written
 from verdict.operators.components import reachable, reached
 
 DEPTH = 32
@@ -32,18 +34,92 @@ def lineage(nodes: DataFrame, node: str, parent: str, depth: int = DEPTH) -> Dat
 def closure(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """For each root how many nodes it depends on, at any distance, and its problems: MISSING targets and CYCLE through it.
 
-    edges: (a, b), a depends on b; nodes: those that exist; roots: column root. With `depth`, a longer way is an error.
+    edges: (a, b), a depends on b; nodes: those that exist; roots: column root. With `depth`, a longer way is an error. Without, what each
+    node of the edges depends on is built once (`dependencies`), from the ends of ways upwards.
     """
-    within = reachable(edges, roots, depth)
     known = nodes.select(F.col("node"), F.lit(1).alias("_known"))
-    counted = within.join(known, "node", "left").groupBy("root").agg((F.count(F.lit(1)) - 1).alias("n_dependencies"), F.count_if(F.col("_known").isNull()).alias("n_missing"))
-    back = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    cyclic = within.join(back, ["root", "node"], "left_semi").select("root").distinct().withColumn("_cycle", F.lit(True))
+    if depth is None:
+        counted, cyclic = dependencies(edges, nodes)
+        own = roots.select("root").distinct().join(known.distinct().withColumnRenamed("node", "root"), "root", "left")
+        counted = own.join(counted.withColumnRenamed("node", "root"), "root", "left")
+        none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        counted = counted.select("root", none("n_dependencies").alias("n_dependencies"), (none("n_missing") + F.col("_known").isNull().cast("long")).alias("n_missing"))
+        cyclic = cyclic.select(F.col("node").alias("root"), F.lit(True).alias("_cycle"))
+    else:
+        within = reachable(edges, roots, depth)
+        counted = within.join(known, "node", "left").groupBy("root").agg((F.count(F.lit(1)) - 1).alias("n_dependencies"), F.count_if(F.col("_known").isNull()).alias("n_missing"))
+        back = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        cyclic = within.join(back, ["root", "node"], "left_semi").select("root").distinct().withColumn("_cycle", F.lit(True))
     out = counted.join(cyclic, "root", "left")
     state = F.when(F.coalesce("_cycle", F.lit(False)), "CYCLE").when(F.col("n_missing") > 0, "MISSING").otherwise("COMPLETE")
     return out.select("root", "n_dependencies", "n_missing", state.alias("state"))
 
 
+def dependencies(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n_dependencies, n_missing) of every node that edges (a, b) lead on from, itself left out; (node) of those on a cycle.
+
+    A node takes what its targets depend on as soon as all of them are known, so each set is made once and goes up each edge once. What is
+    left then are cycles and nodes above them: nodes that no other of these leads to are put off, the rest (on cycles or between
+    them) gets its ways by a fixpoint, and the nodes above follow. A node's set is one row.
+    """
+    edges = edges.select("a", "b").where("a is not null").distinct()
+    degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    known = nodes.select(F.col("node").alias("b"), F.lit(False).alias("_gone")).distinct()
+    edges = written(edges.join(degree, "a").join(known, "b", "left").select("a", "b", "degree", F.coalesce("_gone", F.lit(True)).alias("gone")))
+    one = lambda c: F.array(c)
+    none = F.array().cast(f"array<{edges.schema['b'].dataType.simpleString()}>")
+
+    def sets(rows: DataFrame, by: list[str], *more) -> DataFrame:
+        united = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+        return rows.groupBy(*by).agg(*more, united("members"), united("gone"))
+
+    def lifted(known: DataFrame) -> DataFrame:
+        """What the nodes (node, members, gone) give to each that depends on them."""
+        rows = edges.withColumnRenamed("gone", "_gone").join(known.withColumnRenamed("node", "b"), "b")
+        return rows.select("a", "degree", F.lit(1).cast("long").alias("n"), F.array_append("members", F.col("b")).alias("members"), F.when(F.col("_gone"), F.array_append("gone", F.col("b"))).otherwise(F.col("gone")).alias("gone"))
+
+    def settle(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+        """The nodes that can be known, round by round, and what is held for those that can't."""
+        parts = []
+        while True:
+            held = written(sets(rows, ["a", "degree"], F.sum("n").alias("n")))
+            ready = held.where("n = degree").select(F.col("a").alias("node"), "members", "gone")
+            waiting = held.where("n < degree")
+            if ready.isEmpty():
+                return parts, waiting
+            parts.append(ready)
+            rows = lifted(ready).unionByName(waiting)
+
+    ends = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+    first = ends.select("a", "degree", F.lit(1).cast("long").alias("n"), one("b").alias("members"), F.when(F.col("gone"), one("b")).otherwise(none).alias("gone"))
+    parts, waiting = settle(first)
+    open_ = reduce(lambda left, part: left.join(part.select(F.col("node").alias("a")), "a", "left_anti"), [reduce(DataFrame.unionByName, parts)] if parts else [], edges)
+    core = checkpoint(open_.join(open_.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+    size = core.count()
+    while size:
+        core = checkpoint(core.join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
+        before, size = size, core.count()
+        if size == before:
+            break
+    cyclic = core.select(F.col("a").alias("node")).limit(0)
+    if size:
+        inside = core.select(F.col("a").alias("root")).distinct()
+        ways = reachable(core, inside)
+        back = core.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        cyclic = checkpoint(ways.join(back, ["root", "node"], "left_semi").select(F.col("root").alias("node")).distinct())
+        exist = nodes.select(F.col("node"), F.lit(True).alias("_known")).distinct()
+        held = waiting.select(F.col("a").alias("node"), "members", "gone")
+        own = inside.withColumnRenamed("root", "node").join(held, "node", "left").join(exist, "node", "left")
+        empty = lambda c: F.coalesce(c, none)
+        own = own.select("node", F.array_append(empty("members"), F.col("node")).alias("members"), F.when(F.col("_known").isNull(), F.array_append(empty("gone"), F.col("node"))).otherwise(empty("gone")).alias("gone"))
+        met = sets(ways.join(own, "node"), ["root"])
+        met = written(met.select(F.col("root").alias("node"), *(F.array_remove(c, F.col("root")).alias(c) for c in ("members", "gone"))))
+        above, _ = settle(lifted(met).unionByName(waiting).join(inside.withColumnRenamed("root", "a"), "a", "left_anti"))
+        parts += [met, *above]
+    counts = [p.select("node", F.size("members").alias("n_dependencies"), F.size("gone").alias("n_missing")) for p in parts]
+    return reduce(DataFrame.unionByName, counts), cyclic
+
+
 def affected(edges: DataFrame, changed: DataFrame, roots: DataFrame) -> DataFrame:
     """The roots that depend, at any distance, on a changed node: (root)."""
     up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
