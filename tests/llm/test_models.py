@@ -242,6 +242,21 @@ def test_seating_keeps_the_distribution_of_tables():
     assert np.add.reduceat(begun.sizes, np.cumsum(begun.t) - begun.t).tolist() == [2, 70, 5000] and begun.sizes.min() >= 1
 
 
+def test_root_seats_all_customers_of_frequent_words():
+    """The tables of words with so many customers against the distribution by the plain recurrence."""
+    d, w, n, draw = 0.8, 1.5, 4000, np.random.default_rng(5)
+    s = {1: 1.0}
+    for c in range(1, 600):
+        s = {t: (s.get(t - 1, 0) * w + max(c - t * d, 0) * s.get(t, 0)) / c for t in range(1, c + 2) if t < 40}
+    want = np.array([s[t] for t in range(1, 40)]) / sum(s.values())
+    got = pitman_yor._root_seats(np.concatenate((np.full(n, 600), [0, 1, 100_000])), d, w, draw)
+    assert got[-3:-1].tolist() == [0, 1] and 1 <= got[-1] < 40
+    share = np.bincount(got[:n].astype(int), minlength=40)[1:40] / n
+    assert np.abs(share - want).max() < 0.03
+    shares = np.diff(pitman_yor._table_shares(np.array([2, 600]), d, w, 100), prepend=0)
+    assert np.abs(shares[1] - want[: shares.shape[1]]).max() < 1e-9 and abs(shares[0][0] - (1 - d) / (1 - d + w)) < 1e-9
+
+
 def test_lm_hot_pairs_and_dealt_contexts(spark, monkeypatch):
     """A pair and a context of a third of all tokens: counts are whole, and the score is that of one bucket."""
     rng = np.random.default_rng(5)
