@@ -101,3 +101,14 @@ def test_a_line_held_stripped_is_not_stripped_again_for_each_form(spark):
     held = lines.withColumn("line", F.trim("text")).select(graphs.meaning(F.col("text"), F.col("line")).alias("m"))
     assert "regexp_replace" not in held._jdf.queryExecution().analyzed().toString()
     assert held.collect() == lines.select(graphs.meaning(F.col("text")).alias("m")).collect()
+
+
+def test_meanings_are_kept_compressed_and_only_regions_that_apply_others_followed(spark, monkeypatch):
+    kept, starts = [], []
+    monkeypatch.setattr(graphs, "checkpoint", lambda df, *a: kept.append(df.columns) or df)
+    monkeypatch.setattr(graphs, "reachable", lambda edges, start, *a, whole=graphs.reachable: starts.append(start.count()) or whole(edges, start, *a))
+    g = graph(spark, EDITIONS[:1] + [[("Article 1", ["Apply Article 2."]), ("Article 2", [FIXED])]])
+    assert not kept and starts == [2]
+    assert sorted((r["edition"], r["root"], r["region"]) for r in g.within.collect()) == [(0, 0, 0), (0, 0, 1), (0, 0, 2), (0, 3, 3), (1, 0, 0), (1, 0, 1), (1, 1, 1)]
+    lines = {(r["edition"], r["region"], r["ordinal"]): (r["anchor"], r["supported"]) for r in g.nodes.collect()}
+    assert lines[1, 0, 0] == (True, False) and lines[0, 0, 0] == (True, True) and lines[0, 0, 1] == (False, True) and len(lines) == 7
